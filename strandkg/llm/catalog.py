@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandkg.llm import canon, leak, lookalike, pairs, split
+from strandkg.llm import canon, leak, lookalike, neardup, pairs, split
 from strandkg.session import table
 
 
@@ -51,6 +51,19 @@ def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.repair(lookalike.values_of(table(spark, d, "results_extraction"))).select("row_id", "field", "pos", "plain")
 
 
+def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return neardup.near_duplicates(table(spark, d, "results_extraction").select(F.col("row_id").alias("id"), F.col("raw_text").alias("text")))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.all_pairs(*_near(spark, d)).select(F.col("id_a").alias("row_id_a"), F.col("id_b").alias("row_id_b"))
+
+
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row per record with its group of near-identical texts."""
+    return neardup.groups(*_near(spark, d)).withColumnRenamed("id", "row_id")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leak.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_passages"))
 
@@ -60,5 +73,5 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return p8_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p3_pieces, p4_found, p4_all_defects, p6_found, p6_repaired, p8_found, p8_items)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p3_pieces, p4_found, p4_all_defects, p6_found, p6_repaired, p7_found, p7_groups, p8_found, p8_items)}
 SQL: dict[str, str] = {}
