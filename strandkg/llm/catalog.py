@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandkg.llm import canon, leak, lookalike, neardup, pairs, split
+from strandkg.llm import abuse, canon, leak, lookalike, mix, neardup, pairs, split
 from strandkg.session import table
 
 
@@ -73,5 +73,32 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return p8_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p3_pieces, p4_found, p4_all_defects, p6_found, p6_repaired, p7_found, p7_groups, p8_found, p8_items)}
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares reached by the mixture of the largest size that all sources can serve."""
+    return mix.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mix.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return abuse.score_documents(documents, abuse.train(documents, table(spark, d, "content_labels")))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    found = F.array(*[F.when(F.col(f"has_{c}"), F.lit(c)) for c in abuse.CATEGORIES])
+    return _scored(spark, d).select("doc_id", F.explode(F.array_compact(found)).alias("category"))
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).select("doc_id", *abuse.CATEGORIES)
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.source_rates(_scored(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p3_pieces, p4_found, p4_all_defects, p6_found, p6_repaired, p7_found, p7_groups, p8_found, p8_items, p9_shares, p9_mixture, p10_found, p10_scores, p10_rates)}
 SQL: dict[str, str] = {}
