@@ -3,7 +3,7 @@
 MinHash LSH forest. Every text in plain form is a set of its runs of ``WIDTH`` characters; its signature of min-hashes is cut into
 ``trees`` sequences, each the path of a leaf in a prefix trie. In the sorted order of the paths, texts that share a prefix stand together. Prefixes start at
 full depth and are shortened until two texts at the threshold share one in some tree with the target recall (``depth_for``); the texts that meet at
-that depth are candidates. Candidates are thinned by a 64-bit sketch while they are joined, and what is left is verified exactly on the whole texts.
+that depth are candidates. Candidates are thinned by a sketch of one bit a hash while they are joined, and what is left is verified exactly on the whole texts.
 
 Scale: exact copies (equal in plain form) are set aside first by a pre-aggregated minimum, so a text repeated for a third of all rows takes part once; only its
 membership is kept. Buckets of the trie meet in an equi-join, so that AQE splits a hot bucket; nothing is collected per bucket, no bucket is
@@ -28,8 +28,8 @@ from strandkg.llm.textarrays import code_points, mixed, window_hashes
 from strandkg.session import written
 
 WIDTH, THRESHOLD, TREES, TARGET, MAX_DEPTH = 3, 0.7, 25, 0.99, 8
-#: Of 64 sketch bits two texts at the threshold differ in 9.6 on average (deviation 2.9); beyond this many they are not looked at.
-SKETCH_BITS = 22
+#: Bits of a sketch, in two words.
+SKETCH = 128
 MAP_BITS = 1 << 24
 
 
@@ -41,8 +41,14 @@ def depth_for(threshold: float, trees: int = TREES, target: float = TARGET, deep
     return depth
 
 
+def most_unlike(threshold: float, bits: int) -> int:
+    """In how many of so many sketch bits two texts at the threshold may differ: the mean and four deviations, so that 1 in 30,000 such pairs is lost."""
+    p = (1 - threshold) / 2
+    return int(bits * p + 4 * (bits * p * (1 - p)) ** 0.5)
+
+
 def signatures(texts: list[str], trees: int, depth: int, width: int = WIDTH, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """(texts x trees prefixes, 64-bit sketches) of texts that have one run at least."""
+    """(texts x trees prefixes, texts x 2 words of sketch) of texts that have one run at least."""
     k = trees * depth
     rng = np.random.default_rng(seed)
     factors, shifts = rng.integers(0, 1 << 31, k, np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, k, np.uint32)
@@ -64,9 +70,9 @@ def signatures(texts: list[str], trees: int, depth: int, width: int = WIDTH, see
             least[i, first:last] = np.minimum.reduceat(out, at)
         first = last
     values = mixed(least.astype(np.uint64) + np.arange(k, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15))
-    sketch = np.zeros(len(texts), np.uint64)
-    for i in range(64):
-        sketch |= ((values[i % k] >> np.uint64(i // k)) & np.uint64(1)) << np.uint64(i)
+    sketch = np.zeros((len(texts), 2), np.uint64)
+    for i in range(min(k, SKETCH)):
+        sketch[:, i // 64] |= (values[i] & np.uint64(1)) << np.uint64(i % 64)
     paths = np.zeros((trees, len(texts)), np.uint64)
     for tree in range(trees):
         for level in range(depth):
@@ -84,7 +90,7 @@ def similarity(a: set[str], b: set[str]) -> float:
 
 
 def _signed(trees: int, depth: int):  # noqa: ANN202
-    schema = pa.schema([("id", pa.int64()), ("same", pa.int64()), ("same2", pa.int64()), ("sketch", pa.int64()), ("paths", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("same", pa.int64()), ("same2", pa.int64()), ("sketch", pa.int64()), ("sketch2", pa.int64()), ("paths", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,7 +103,7 @@ def _signed(trees: int, depth: int):  # noqa: ANN202
             digest = np.array([xxhash.xxh3_128_intdigest(t.encode("utf-8", "surrogatepass")).to_bytes(16) for t in texts], "S16")
             same = np.frombuffer(b"".join(x.ljust(16, b"\0") for x in digest.tolist()), np.int64).reshape(-1, 2)
             flat = pa.ListArray.from_arrays(np.arange(0, (len(texts) + 1) * trees, trees, dtype=np.int32), pa.array(np.ascontiguousarray(paths).view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(same[:, 0]), pa.array(same[:, 1]), pa.array(sketch.view(np.int64)), flat], schema=schema)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(same[:, 0]), pa.array(same[:, 1]), *[pa.array(np.ascontiguousarray(sketch[:, i]).view(np.int64)) for i in (0, 1)], flat], schema=schema)
 
     return run
 
@@ -155,12 +161,13 @@ def near_duplicates(texts: DataFrame, threshold: float = THRESHOLD, trees: int =
     """
     depth = depth_for(threshold, trees, target)
     texts = texts.select("id", "text").where("id is not null and text is not null")
-    signed = written(texts.mapInArrow(_signed(trees, depth), "id long, same long, same2 long, sketch long, paths array<long>"), "signatures")
-    reps = signed.groupBy("same", "same2").agg(F.min("id").alias("rep"), F.min_by(F.struct("sketch", "paths"), "id").alias("of"))
+    signed = written(texts.mapInArrow(_signed(trees, depth), "id long, same long, same2 long, sketch long, sketch2 long, paths array<long>"), "signatures")
+    reps = signed.groupBy("same", "same2").agg(F.min("id").alias("rep"), F.min_by(F.struct("sketch", "sketch2", "paths"), "id").alias("of"))
     members = signed.select("id", "same", "same2").join(signed.groupBy("same", "same2").agg(F.min("id").alias("rep")), ["same", "same2"]).select("id", "rep")
-    leaves = reps.select(F.col("rep").alias("a"), F.col("of.sketch").alias("sketch_a"), F.explode("of.paths").alias("prefix"))
-    other = leaves.select(F.col("a").alias("b"), F.col("sketch_a").alias("sketch_b"), "prefix")
-    alike = F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) <= SKETCH_BITS
+    leaves = reps.select(F.col("rep").alias("a"), F.col("of.sketch").alias("s_a"), F.col("of.sketch2").alias("t_a"), F.explode("of.paths").alias("prefix"))
+    other = leaves.select(F.col("a").alias("b"), F.col("s_a").alias("s_b"), F.col("t_a").alias("t_b"), "prefix")
+    unlike = F.bit_count(F.col("s_a").bitwiseXOR(F.col("s_b"))) + F.bit_count(F.col("t_a").bitwiseXOR(F.col("t_b")))
+    alike = unlike <= most_unlike(threshold, min(SKETCH, trees * depth))
     candidates = written(leaves.join(other, "prefix").where((F.col("a") < F.col("b")) & alike).select("a", "b").distinct(), "candidates")
     ids = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     needed = _needed(texts, ids)
