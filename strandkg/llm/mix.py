@@ -101,7 +101,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total: float | None = None
         raise ValueError(f"more than {MAX_SOURCES} target sources")
     wanted = {r["source"]: (float(r["weight"] or 0.0), int(r["max_repeats"] if r["max_repeats"] is not None else 1)) for r in rows}
     spark = documents.sparkSession
-    counted = written(count_tokens(documents, path).where(F.col("source").isin(*wanted)) if wanted else count_tokens(documents, path).limit(0), "tokens")
+    counted = written(count_tokens(documents.where(F.col("source").isin(*wanted) if wanted else F.lit(False)), path), "tokens")
     histogram = written(counted.groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("n")), "histogram")
     state = solve(histogram, wanted, total)
     solved = spark.createDataFrame([(k, max(-1e6, min(1e6, s["lam"])), s["mean"], s["cap"]) for k, s in state.items()], "source string, lam double, mean double, cap double")
