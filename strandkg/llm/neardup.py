@@ -80,15 +80,6 @@ def signatures(texts: list[str], trees: int, depth: int, width: int = WIDTH, see
     return paths.T, sketch
 
 
-def runs(text: str, width: int = WIDTH) -> set[str]:
-    return {text[i : i + width] for i in range(len(text) - width + 1)}
-
-
-def similarity(a: set[str], b: set[str]) -> float:
-    both = len(a & b)
-    return both / (len(a) + len(b) - both) if both else 0.0
-
-
 def _signed(trees: int, depth: int):  # noqa: ANN202
     schema = pa.schema([("id", pa.int64()), ("same", pa.int64()), ("same2", pa.int64()), ("sketch", pa.int64()), ("sketch2", pa.int64()), ("paths", pa.list_(pa.int64()))])
 
@@ -138,16 +129,36 @@ def _needed(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.select("id", "text", spot).mapInArrow(run, "id long, text string")
 
 
+def _codes(points: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """The distinct runs of each text, sorted: three code points of 21 bits each make one exact number."""
+    p = points.astype(np.uint64)
+    runs_ = (p[:-2] << np.uint64(42)) | (p[1:-1] << np.uint64(21)) | p[2:] if len(p) > 2 else p[:0]
+    return [np.unique(runs_[starts[i] : max(starts[i], starts[i + 1] - WIDTH + 1)]) for i in range(len(starts) - 1)]
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
+
+
 def _verify(threshold: float):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_id, last_runs = None, None
         for batch in batches:
-            found: list[tuple] = []
-            for a, b, text_a, text_b in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
-                if a != last_id:
-                    last_id, last_runs = a, runs(plain_form(text_a))
-                if (s := similarity(last_runs, runs(plain_form(text_b)))) >= threshold:
-                    found.append((a, b, s))
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            sides = {}
+            for c, ids in (("text_a", a), ("text_b", b)):
+                texts = batch.column(c)
+                for i, x in enumerate(ids):
+                    if x not in sides:
+                        sides[x] = plain_form(texts[i].as_py())
+            known = dict(zip(sides, _codes(*code_points(list(sides.values()))), strict=True))
+            found = []
+            for x, y in zip(a, b, strict=True):
+                both = _common(known[x], known[y])
+                if both and (s := both / (len(known[x]) + len(known[y]) - both)) >= threshold:
+                    found.append((x, y, s))
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "similarity"])
 
     return run
