@@ -101,4 +101,20 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p3_pieces, p4_found, p4_all_defects, p6_found, p6_repaired, p7_found, p7_groups, p8_found, p8_items, p9_shares, p9_mixture, p10_found, p10_scores, p10_rates)}
-SQL: dict[str, str] = {}
+
+_WIDE = "".join(chr(c) for c in (*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B)))
+_HALF = "".join(chr(ord(c) - 0xFEE0) for c in _WIDE)
+
+
+def _grams(source: str, key: str, column: str) -> str:
+    """All runs of 60 letters of a table, one row each."""
+    letters = f"regexp_replace(lower(translate({column}, '{_WIDE}', '{_HALF}')), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+    return f"select {key}, unnest(list_transform(range(1, greatest(length(l) - 58, 1)), lambda i: substr(l, i, 60))) as gram from (select {key}, {letters} as l from {source} where {column} is not null)"
+
+
+_LEAKS = f"select distinct d.doc_id, p.item_id from ({_grams('documents', 'doc_id', 'text')}) d join ({_grams('eval_passages', 'item_id', 'passage')}) p on d.gram = p.gram"
+SQL = {
+    "p3_found": "select row_id, case when regexp_matches(raw_text, '[^。！？；\\n]{601,}') then 'yes' else 'no' end as forced from results_extraction where length(raw_text) > 600",
+    "p8_found": _LEAKS,
+    "p8_items": f"select item_id, count(*) as n_documents from ({_LEAKS}) group by item_id",
+}

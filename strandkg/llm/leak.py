@@ -6,7 +6,7 @@ Winnowing: of every window of ``w`` hashes in a row of ``k`` letters the smalles
 
 The join is on the fingerprint. The passages' side is the small one: its fingerprints are counted, and while they stay under
 ``MAX_PRINTS`` they go to the tasks as one sorted array (8 bytes each), so that documents without a hit leave the scan at once and no document is shuffled. Beyond that number
-the same rows meet in a shuffled join, where a frequent fingerprint splits by AQE. A document's hits are extended where the document is.
+the same rows meet in a shuffled join, where a frequent fingerprint splits by AQE.
 
 Letters and digits only count (Unicode letters and numbers), case and width are equal. Null, blank and short texts and passages match nothing. Whole texts are read. Repeated documents
 give rows each; repeated passages under several item ids too. Empty tables give an empty result.
@@ -73,24 +73,22 @@ def fingerprints(texts: list[str], k: int = K, shared: int = SHARED) -> tuple[np
 
 def spans(document: str, passage: str, hits: list[tuple[int, int]], shared: int = SHARED) -> bool:
     """Whether a span of ``shared`` equal letters grows from one of ``hits`` (position in document, in passage)."""
-    done: set[int] = set()
-    for i, j in hits:
-        if (i - j) in done and len(hits) > 64:
+    grown: dict[int, int] = {}  # shift -> up to where in the document the span there was followed
+    for i, j in sorted(hits):
+        if i < grown.get(i - j, -1):
             continue
-        if document[i] != passage[j]:
-            continue
-        a = 0
+        a = b = 0
         while i - a > 0 and j - a > 0 and document[i - a - 1] == passage[j - a - 1]:
             a += 1
-        b = 0
         while i + b < len(document) and j + b < len(passage) and document[i + b] == passage[j + b]:
             b += 1
-        if a + b >= shared:
+        if a + b >= shared and b:
             return True
+        grown[i - j] = i + b
     return False
 
 
-def find_leaks(documents: DataFrame, passages: DataFrame, shared: int = SHARED, k: int = K) -> DataFrame:
+def find_leaks(documents: DataFrame, passages: DataFrame, shared: int = SHARED, k: int = K, most: int = MAX_PRINTS) -> DataFrame:
     """(doc_id, item_id) where ``shared`` letters in a row of a passage occur in a document.
 
     ``documents``: (doc_id, text); ``passages``: (item_id, passage).
@@ -105,7 +103,7 @@ def find_leaks(documents: DataFrame, passages: DataFrame, shared: int = SHARED,
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(at, pa.int32()), pa.array(hashes.view(np.int64)), texts], names=["item_id", "item_at", "print", "letters"])
 
     held = written(passages.select("item_id", "passage").where("item_id is not null").mapInArrow(prints, "item_id long, item_at int, print long, letters string"), "prints")
-    if held.count() <= MAX_PRINTS:
+    if held.count() <= most:
         rows = held.toPandas()
         return documents.select("doc_id", "text").where("text is not null").mapInArrow(_matcher(rows, shared, k), "doc_id long, item_id long")
     return _joined(documents, held, shared, k)
@@ -113,8 +111,7 @@ def find_leaks(documents: DataFrame, passages: DataFrame, shared: int = SHARED,
 
 def _matcher(rows, shared: int, k: int):  # noqa: ANN001, ANN202
     order = np.argsort(rows["print"].to_numpy(), kind="stable")
-    keys, items, ats = rows["print"].to_numpy()[order], rows["item_id"].to_numpy()[order], rows["item_at"].to_numpy()[order]
-    passage_of = dict(zip(rows["item_id"], rows["letters"], strict=True))
+    keys, items, ats, passages = (rows[c].to_numpy()[order] for c in ("print", "item_id", "item_at", "letters"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,18 +119,20 @@ def _matcher(rows, shared: int, k: int):  # noqa: ANN001, ANN202
             owner, at, hashes = fingerprints(folded, k, shared)
             left = np.searchsorted(keys, hashes.view(np.int64), "left")
             right = np.searchsorted(keys, hashes.view(np.int64), "right")
-            hits: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+            hits: dict[tuple[int, int, str], list[tuple[int, int]]] = defaultdict(list)
             for x in np.flatnonzero(right > left):
                 for y in range(left[x], right[x]):
-                    hits[int(owner[x]), int(items[y])].append((int(at[x]), int(ats[y])))
-            found = sorted((ids[d], item) for (d, item), places in hits.items() if spans(folded[d], passage_of[item], places, shared))
+                    hits[int(owner[x]), int(items[y]), passages[y]].append((int(at[x]), int(ats[y])))
+            # A document counts once per item, however many passages the item has.
+            both = dict.fromkeys((d, item) for (d, item, passage), places in hits.items() if spans(folded[d], passage, places, shared))
+            found = [(ids[d], item) for d, item in both]
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["doc_id", "item_id"])
 
     return run
 
 
 def _joined(documents: DataFrame, held: DataFrame, shared: int, k: int) -> DataFrame:
-    """The same by a shuffled join of fingerprints, for passages beyond any bound. Rows of the document side carry its letters only after the join."""
+    """The same by a shuffled join of fingerprints, for passages beyond any bound. Only the fingerprints of documents are shuffled for the join; their texts follow for those with hits."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,12 +141,13 @@ def _joined(documents: DataFrame, held: DataFrame, shared: int, k: int) -> DataF
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "item_id", "text", "letters", "hits")), strict=True)
-            found = [(d, i) for d, i, text, passage, hits in rows if spans(letters(text), passage, [(h["doc_at"], h["item_at"]) for h in hits], shared)]
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["doc_id", "item_id"])
+            rows = zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "item_id", "text", "letters", "hits")), strict=True)
+            found = [(r, d, i) for r, d, i, text, passage, hits in rows if spans(letters(text), passage, [(h["doc_at"], h["item_at"]) for h in hits], shared)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], t) for n, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["row", "doc_id", "item_id"])
 
     rows = written(documents.select("doc_id", "text").where("text is not null").withColumn("row", F.expr("uuid()")), "documents")
     made = rows.select("row", "text").mapInArrow(prints, "row string, doc_at int, print long")
-    hits = made.join(held.select("item_id", "item_at", "print"), "print").groupBy("row", "item_id").agg(F.collect_list(F.struct("doc_at", "item_at")).alias("hits"))
-    passages = held.groupBy("item_id").agg(F.first("letters").alias("letters"))
-    return rows.join(hits, "row").join(passages, "item_id").select("doc_id", "item_id", "text", "letters", "hits").mapInArrow(verify, "doc_id long, item_id long")
+    hits = made.join(held.select("item_id", "item_at", "print", F.xxhash64("letters").alias("passage")), "print").groupBy("row", "item_id", "passage").agg(F.collect_list(F.struct("doc_at", "item_at")).alias("hits"))
+    texts = held.groupBy("item_id", F.xxhash64("letters").alias("passage")).agg(F.first("letters").alias("letters"))
+    found = rows.join(hits, "row").join(texts, ["item_id", "passage"]).select("row", "doc_id", "item_id", "text", "letters", "hits").mapInArrow(verify, "row string, doc_id long, item_id long")
+    return found.distinct().select("doc_id", "item_id")

@@ -116,7 +116,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total: float | None = None
     mixed = run.select("doc_id", "source", "n_tokens", F.least(copies, F.col("cap").cast("int")).alias("copies"))
     wanted_df = spark.createDataFrame([(k, w, c, state[k]["target"] if k in state else 0.0) for k, (w, c) in wanted.items()], "source string, weight double, max_repeats int, target_tokens double")
     sums = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n_tokens").alias("available_tokens"), F.sum(F.col("copies") * F.col("n_tokens")).alias("actual_tokens"), F.max("copies").alias("most_copies"))
-    whole = sums.agg(F.sum("actual_tokens").alias("all_tokens"))
-    joined = F.broadcast(wanted_df).join(sums, "source", "left").join(F.broadcast(whole), F.lit(True), "left")  # whole is one row
+    everything = Window.partitionBy(F.lit(1))  # one row a source
+    joined = wanted_df.join(sums, "source", "left").withColumn("all_tokens", F.sum("actual_tokens").over(everything))
     report = joined.select("source", "weight", "max_repeats", "target_tokens", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_documents", "available_tokens", "actual_tokens", "most_copies")], F.coalesce(F.expr("try_divide(actual_tokens, all_tokens)"), F.lit(0.0)).alias("actual_share"))
     return mixed, report
