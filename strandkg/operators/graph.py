@@ -92,8 +92,9 @@ def triples(edges: DataFrame) -> DataFrame:
 
 
 def graph_size(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(n_nodes, n_edges)."""
-    return nodes.agg(F.count(F.lit(1)).alias("n_nodes")).join(F.broadcast(edges.agg(F.count(F.lit(1)).alias("n_edges"))), F.lit(True))  # two single rows
+    """(n_nodes, n_edges), counted in one pass over both."""
+    each = nodes.select(F.lit(1).alias("n"), F.lit(0).alias("e")).unionByName(edges.select(F.lit(0).alias("n"), F.lit(1).alias("e")))
+    return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_nodes"), F.coalesce(F.sum("e"), F.lit(0)).alias("n_edges"))
 
 
 def upsert_nodes(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -15,12 +15,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandkg.functions.plaintext import plain_form
+from strandkg.session import written
 
+#: Keys of fewer references than this are never heavy.
+HEAVY = 1000
 OPEN = "row_id long, rel_pos int, side string, key string, at timestamp"
 _OPEN = pa.schema([("row_id", pa.int64()), ("rel_pos", pa.int32()), ("side", pa.string()), ("key", pa.string()), ("at", pa.timestamp("us", "UTC"))])
 
@@ -88,11 +90,10 @@ def find_orphans(refs: DataFrame, nodes: DataFrame, heavy_share: float = 0.001)
 
     Adds ``status``: ``missing``, ``deleted`` or ``late``. The rows of a key in ``nodes`` are few (one per re-creation).
     """
-    refs = refs.persist(StorageLevel.DISK_ONLY)
+    refs = written(refs, "references")
     per_key = key_periods(refs).groupBy("key").agg(F.sum("n_refs").alias("n"))
-    total = per_key.agg(F.sum("n").alias("all_refs"))  # one row
-    bound = F.greatest(F.col("all_refs") * F.lit(heavy_share), F.lit(1000))
-    heavy = F.broadcast(per_key.join(F.broadcast(total), F.col("n") > bound).select("key"))  # at most 1 / heavy_share keys
+    bound = max(refs.count() * heavy_share, HEAVY)
+    heavy = F.broadcast(per_key.where(F.col("n") > bound).select("key"))  # at most 1 / heavy_share keys
     spans = _spans(nodes)
     heavy_spans = F.broadcast(heavy.join(spans, "key", "left"))
     heavy_part = refs.join(heavy_spans, "key")

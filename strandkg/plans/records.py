@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandkg.operators import nested, orphans
-from strandkg.session import table
+from strandkg.session import table, written
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -16,7 +16,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
-    refs = orphans.open_references(table(spark, d, "results_extraction"))
+    refs = written(orphans.open_references(table(spark, d, "results_extraction")), "references")
     return orphans.orphan_report(refs, orphans.find_orphans(refs, table(spark, d, "kg_nodes")), "results_extraction")
 
 
