@@ -23,7 +23,7 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, text) of the ``.txt`` files of a folder, not of folders below it."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(folder)
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt")
     return files.select(F.regexp_extract("_metadata.file_name", r"^(.*)\.txt$", 1).alias("doc_id"), F.regexp_replace("value", "^\\ufeff", "").alias("text"))
 
 
