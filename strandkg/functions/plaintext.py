@@ -111,10 +111,15 @@ def plain_form(text: str | None, known: Container[str] | None = None) -> str | N
     """
     if not text or not _suspect(text):
         return text
-    text = unicodedata.normalize("NFC", _full_stop.sub(".", text.translate(TABLE)))
+    text = unrepaired(text)
     return _word.sub(lambda m: _repair(m[0], known), text) if _foreign(text) else text
 
 
+def unrepaired(text: str) -> str:
+    """All steps of the plain form but the last, which brings words to one script."""
+    return unicodedata.normalize("NFC", _full_stop.sub(".", text.translate(TABLE))) if _suspect(text) else text
+
+
 def words_of(text: str) -> list[str]:
     """The Latin, Greek and Cyrillic words of a plain text."""
     return _word.findall(text)
@@ -122,7 +127,4 @@ def words_of(text: str) -> list[str]:
 
 def mixed_words(text: str) -> list[str]:
     """The words of ``text`` that mix scripts and have a reading in one, as they stand after all other steps."""
-    if not _foreign(text) and not _suspect(text):
-        return []
-    half = unicodedata.normalize("NFC", text.translate(TABLE))
-    return [w for w in _word.findall(half) if _foreign(w) and readings(w)]
+    return [w for w in _word.findall(unrepaired(text)) if _foreign(w) and readings(w)]
