@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandkg.functions.plaintext import SUSPECT, mixed_words, plain_form, readings, words_of
+from strandkg.functions.plaintext import SUSPECT, mixed_words, plain_form, readings, unrepaired, words_of
 from strandkg.session import written
 
 MAX_WORDS = 200_000
@@ -48,7 +48,7 @@ def _word_rows(mixed: bool):  # noqa: ANN202
                 if mixed:
                     seen |= {r for w in mixed_words(value) for r in (readings(w) if len(readings(w)) > 1 else ())}
                 else:
-                    seen |= {w for w in words_of(plain_form(value)) if not readings(w)}
+                    seen |= {w for w in words_of(unrepaired(value)) if not readings(w)}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.string())], names=["word"])
 
     return run
