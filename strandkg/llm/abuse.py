@@ -5,7 +5,8 @@ P(grade >= k) = logistic(w.x - theta_k) with one weight vector ``w`` for all thr
 highest of its sentences. Features are sparse: families of expressions (below) with their combinations, and hashed character n-grams.
 
 Labels are few and belong to documents, so the fit is multiple-instance: in each round a document is represented by the sentence that scores highest, then the
-weights are fitted (maximum a posteriori: the families have prior weights, the n-grams prior 0), and the sentences are chosen anew. The fit takes at most ``MAX_LABELLED`` labelled
+weights are fitted (maximum a posteriori: the families have prior weights, the n-grams prior 0), and the sentences are chosen anew. In the first round a sentence also gains by the share of its n-grams that no
+clean document has, so that expressions of no family are learned when several documents show them. The fit takes at most ``MAX_LABELLED`` labelled
 documents (chosen by a hash of their id) to the driver; all documents are scored, whole, each where it is: no shuffle, so no hot source.
 
 Texts are read as a reader would: markup, width and invisible characters taken out, marks put between the characters of a word removed, figures standing for letters read as letters.
@@ -36,7 +37,7 @@ NGRAMS = (2, 3, 4)
 # Families of expressions, one regular expression each, over text as ``readable`` gives it.
 FAMILIES = {
     "insult": r"白痴|傻子|傻[逼叉瓜]|煞笔|沙比|蠢货|蠢猪|废物|饭桶|人渣|混账|混蛋|王八蛋|王八羔子|贱货|贱人|狗东西|狗杂种|杂种|畜生|猪脑子|猪头|脑残|智障|弱智|垃圾玩意|玩意儿?$|癞蛤蟆|败类|窝囊废|\bidiots?\b|\bmorons?\b|\bimbeciles?\b|\bcretins?\b|\bscumbags?\b|\bscum\b|\blosers?\b|\bstupid pigs?\b|\bpigs\b|\bbrain-?dead\b|\bclowns?\b|\bbastards?\b|\bbitch(?:es)?\b|\bassholes?\b|\bdickheads?\b|\bmaggots?\b|\bretards?\b|\bdumb\w*\b|\bworthless\b|\bpathetic\b|\bfuck\w*\b",
-    "attack": r"\bcnm\b|\bnmsl\b|\btmd\b|操你|草泥马|尼玛|他妈的|你妈(?:生你|死|的)|你娘|你祖宗|祖宗的脸|没爹教|没爹没娘|有娘生|滚犊子|(?:赶紧|快|都)滚|滚(?:回|出|开|远|蛋|吧)|去死|全家都该|全家死|不得好死|打断你|弄死你|打死你|砍死|非打断|跳下去|给大家省|闭上你的|丢人现眼|回家哭去|抬举你|看见就想吐|看一眼都恶心|还有脸|除了吃还会|拿着工资装死|脑子扔|(?:养条)?狗都比|智商还没|才信|长得跟|shut up|\bgo to hell\b|\bget lost\b|\bdrop dead\b|\brot\b|\bhope you (?:choke|die|drown|rot|suffer|burn)|\bkill yourself\b|\bjump off\b|\bdo us a favou?r\b|\bdrowned you\b|\bbreak (?:his|her|your|their) (?:teeth|neck|legs?|arms?|jaw)|\bi will (?:find|hunt|kill|hurt)\b|\bnobody asked you\b|\bwhat a bunch of\b|\bwhoever runs\b|\byour mother\b",
+    "attack": r"\bw?cnmb?\b|\bnmsl\b|\btmd\b|\brnm\b|\bstfu\b|\bkys\b|吃屎|死全家|死妈|(?<!妈)妈的|特么|higher iq|\biq than you|操你|草泥马|尼玛|他妈的|你妈(?:生你|死|的)|你娘|你祖宗|祖宗的脸|没爹教|没爹没娘|有娘生|滚犊子|(?:赶紧|快|都)滚|滚(?:回|出|开|远|蛋|吧)|去死|全家都该|全家死|不得好死|打断你|弄死你|打死你|砍死|非打断|跳下去|给大家省|闭上你的|丢人现眼|回家哭去|抬举你|看见就想吐|看一眼都恶心|还有脸|除了吃还会|拿着工资装死|脑子扔|(?:养条)?狗都比|智商还没|才信|长得跟|shut up|\bgo to hell\b|\bget lost\b|\bdrop dead\b|\brot\b|\bhope you (?:choke|die|drown|rot|suffer|burn)|\bkill yourself\b|\bjump off\b|\bdo us a favou?r\b|\bdrowned you\b|\bbreak (?:his|her|your|their) (?:teeth|neck|legs?|arms?|jaw)|\bi will (?:find|hunt|kill|hurt)\b|\bnobody asked you\b|\bwhat a bunch of\b|\bwhoever runs\b|\byour mother\b",
     "contempt": r"血都脏|天生就是|不是好种|低等(?:货色|人|种)?|下等(?:人|货色)?|劣等|跟(?:牲口|畜生|老鼠|蟑螂)没|清除干净|赶尽杀绝|斩草除根|全赶出去|都赶出去|滚出去|一个不留|寄生虫|蝗虫|见一个.{1,8}打一个|淹死活该|死(?:光|绝)|不配(?:领|活|住|进|做)|\bsubhumans?\b|\bvermin\b|\bbreed like\b|\bdeserve to (?:drown|die|starve|suffer)|\bin their blood\b|\bdriven out\b|\bwiped? out\b|\bwill rob you\b|\bparasites?\b|\bnot human\b|\binferior (?:race|people|breed)|\bkeep the \w+(?: \w+)? out\b|\bexterminate\b|\bsend them (?:back|away)\b|\bdirty blood\b|\blike (?:animals|cockroaches)\b",
     "group": r"[一-鿿]{1,2}(?:岭外|坝下|南岸|北岸|上游|下游|山里|外乡|外地)[人佬客帮]|岭外人|坝下人|南岸佬|滩民|渡口帮|客船户|[一-鿿][佬帮]|他们|这帮|这些|\b(?:those|these|all|the) (?:lowbank|highbank|hill|river|ferry|marsh|island|up|down)\w*(?: (?:people|folk|men))?|\b\w*(?:bankers|men|folk|landers|dwellers)\b|\bferry people\b|\bthey are\b|\btheir\b",
     "explicit": r"做爱|性爱|激情戏|床戏|裸聊|裸照|约炮|一夜情|成人视频|成人影片|黄片|毛片|色情片|脱光|脱到|一丝不挂|无码|包夜|叫床|口交|援交|\bporn\w*\b|\bxxx\b|\bnaked girls?\b|\bnudes?\b|\brough sex\b|\bsex\b|\bblow ?jobs?\b|\bhorny\b|\borgasm\w*\b|\bstrip(?:ped|s)? naked\b|\btore off (?:their|her|his) clothes\b|\bmade love\b",
@@ -89,7 +90,7 @@ def readable(sentence: str) -> str:
 
 #: What ``_unmasked`` may change, and what gives a sentence features of families: as patterns of linear time (no look-around), wider than theirs.
 _MASKED = r"\p{Han}[\s./\\丶·•|~^*_、–—-]{1,2}\p{Han}|(?:^|[^a-z0-9])[a-z0-9](?:[-.*_ /·][a-z0-9]){2,}|[a-z][!0134579@$]|[0134579@$][a-z]"
-_TELLING = re.sub(r"\(\?!(?:[^()]|\([^()]*\))*\)", "", "|".join(FAMILIES[k] for k in ("insult", "attack", "contempt", "explicit", "solicit")))
+_TELLING = re.sub(r"\(\?<?!(?:[^()]|\([^()]*\))*\)", "", "|".join(FAMILIES[k] for k in ("insult", "attack", "contempt", "explicit", "solicit")))
 
 
 def readable_all(lines: list[str]) -> list[str]:
@@ -172,8 +173,13 @@ class Model:
         for c, category in enumerate(CATEGORIES):
             grade = np.array([0 if category not in x else 1 + (len(x) > 1) for x in named])
             prior = self.dense[c].copy()
-            for _ in range(rounds):
+            clean = np.zeros(BUCKETS, bool)
+            clean[buckets[(grade[bag] == 0)[owner]]] = True
+            unseen = np.bincount(owner, ~clean[buckets], len(flat)) / np.maximum(1, np.bincount(owner, minlength=len(flat)))
+            for turn in range(rounds):
                 scores = dense @ self.dense[c] + np.bincount(owner, self.hashed[c][buckets], len(flat))
+                if turn == 0:
+                    scores = scores + 4 * unseen * (grade[bag] > 0)
                 best = np.lexsort((-scores, bag))
                 first = best[np.concatenate([[True], bag[best][1:] != bag[best][:-1]])]
                 self._steps(c, dense[first], [buckets[edges[i] : edges[i + 1]] for i in first], grade, prior, steps)
