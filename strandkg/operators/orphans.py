@@ -2,8 +2,8 @@
 
 The references of a record that its own names satisfy are settled inside the record, without a shuffle. The others are counted per
 key and period before anything moves (partial sums on the map side). Keys that hold more than ``heavy_share`` of all open references are heavy:
-there are at most ``1 / heavy_share`` of them, whatever the data, so the target rows of the heavy keys are looked up from a broadcast table of that proven size while their references stay
-where they are. All other keys go through a shuffled left join. Both parts are united; no reference is dropped or counted twice.
+there are at most ``1 / heavy_share`` of them, whatever the data, so the target rows of the heavy keys are looked up from a broadcast table while their references stay
+where they are; if those rows are more than a checked bound, they are joined like the others, where AQE splits a hot key. All other keys go through a shuffled left join. Both parts are united; no reference is dropped or counted twice.
 
 Nulls: a null reference is no reference; a null target id matches nothing; a null ``created_at`` counts as created since ever, a null ``deleted_at`` as
 never deleted; a reference without a time compares as neither live nor deleted nor late and is reported as ``missing`` or ``late`` with a null period.
@@ -23,6 +23,8 @@ from strandkg.session import written
 
 #: Keys of fewer references than this are never heavy.
 HEAVY = 1000
+#: Life spans of an id in one group.
+BLOCK = 1000
 OPEN = "row_id long, rel_pos int, side string, key string, at timestamp"
 _OPEN = pa.schema([("row_id", pa.int64()), ("rel_pos", pa.int32()), ("side", pa.string()), ("key", pa.string()), ("at", pa.timestamp("us", "UTC"))])
 
@@ -65,39 +67,48 @@ def key_periods(refs: DataFrame) -> DataFrame:
 
 
 def _spans(nodes: DataFrame) -> DataFrame:
-    """Per plain id the life spans of its rows."""
+    """(key, spans, n_blocks): the distinct life spans of each plain id, in blocks of about ``BLOCK`` so that no id, however often it was created again,
+    makes one large group."""
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("string")
     def plain(s):  # noqa: ANN001, ANN202
         return s.map(plain_form, na_action="ignore")
 
-    span = F.struct(F.col("created_at").cast("timestamp").alias("born"), F.col("deleted_at").cast("timestamp").alias("gone"))
-    return nodes.where("id is not null").select(plain("id").alias("key"), span.alias("span")).groupBy("key").agg(F.collect_list("span").alias("spans"))
+    born, gone = F.col("created_at").cast("timestamp").alias("born"), F.col("deleted_at").cast("timestamp").alias("gone")
+    lives = nodes.where("id is not null").select(plain("id").alias("key"), born, gone).distinct()
+    sizes = lives.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_blocks"))
+    block = F.pmod(F.xxhash64("born", "gone"), F.col("n_blocks"))
+    return lives.join(sizes, "key").groupBy("key", "n_blocks", block.alias("block")).agg(F.collect_list(F.struct("born", "gone")).alias("spans")).drop("block")
 
 
 def _status(joined: DataFrame) -> DataFrame:
     born = lambda s: F.coalesce(s["born"] <= F.col("at"), s["born"].isNull())
     gone = lambda s: F.coalesce(s["gone"] <= F.col("at"), F.lit(False))
-    live = F.exists("spans", lambda s: born(s) & ~gone(s))
-    deleted = F.exists("spans", gone)
-    status = F.when(F.col("spans").isNull(), "missing").when(live, "live").when(deleted, "deleted").otherwise("late")
-    return joined.withColumn("status", status).where("status <> 'live'").drop("spans")
+    live, deleted = F.exists("spans", lambda s: born(s) & ~gone(s)), F.exists("spans", gone)
+    level = F.when(F.col("spans").isNull(), 0).when(live, 3).when(deleted, 2).otherwise(1).alias("level")
+    one = joined.select("ref_no", "row_id", "rel_pos", "side", "key", "at", level, "n_blocks")
+    # The blocks of an id that has several are brought together per reference; the others need no shuffle.
+    few = one.where("n_blocks is null or n_blocks <= 1").drop("n_blocks")
+    many = one.where("n_blocks > 1").groupBy("ref_no", "row_id", "rel_pos", "side", "key", "at").agg(F.max("level").alias("level"))
+    status = F.element_at(F.array(F.lit("missing"), F.lit("late"), F.lit("deleted")), F.col("level") + 1)
+    return few.unionByName(many).where("level < 3").select("row_id", "rel_pos", "side", "key", "at", status.alias("status"))
 
 
 def find_orphans(refs: DataFrame, nodes: DataFrame, heavy_share: float = 0.001) -> DataFrame:
-    """Every row of ``refs`` (key, at, ...) whose key has no row of ``nodes`` (id, created_at, deleted_at) live at that time.
+    """Every row of ``refs`` (row_id, rel_pos, side, key, at) whose key has no row of ``nodes`` (id, created_at, deleted_at) live at that time.
 
-    Adds ``status``: ``missing``, ``deleted`` or ``late``. The rows of a key in ``nodes`` are few (one per re-creation).
+    Adds ``status``: ``missing``, ``deleted`` or ``late``.
     """
-    refs = written(refs, "references")
+    refs = written(refs.select("row_id", "rel_pos", "side", "key", "at").withColumn("ref_no", F.monotonically_increasing_id()), "references")
     per_key = key_periods(refs).groupBy("key").agg(F.sum("n_refs").alias("n"))
     bound = max(refs.count() * heavy_share, HEAVY)
-    heavy = F.broadcast(per_key.where(F.col("n") > bound).select("key"))  # at most 1 / heavy_share keys
-    spans = _spans(nodes)
-    heavy_spans = F.broadcast(heavy.join(spans, "key", "left"))
-    heavy_part = refs.join(heavy_spans, "key")
-    light_part = refs.join(heavy, "key", "left_anti").join(spans, "key", "left")
+    heavy = written(per_key.where(F.col("n") > bound).select("key"), "heavy")  # at most 1 / heavy_share keys
+    spans = written(_spans(nodes), "spans")
+    heavy_spans = written(F.broadcast(heavy).join(spans, "key", "left"), "heavy-spans")
+    small = heavy_spans.count() <= 2 / heavy_share if heavy_share > 0 else False  # groups of at most about BLOCK spans
+    heavy_part = refs.join(F.broadcast(heavy_spans) if small else heavy_spans, "key")
+    light_part = refs.join(F.broadcast(heavy), "key", "left_anti").join(spans, "key", "left")
     return _status(heavy_part.unionByName(light_part))
 
 

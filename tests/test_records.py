@@ -38,6 +38,15 @@ def test_heavy_keys_give_the_same(spark, rows, monkeypatch, small):
     assert light
 
 
+def test_an_id_created_again_very_often(spark, rows, monkeypatch):
+    monkeypatch.setattr(orphans, "BLOCK", 3)
+    lives = [("乙", "a", datetime(2024, 1, d), datetime(2024, 1, d, 12), "") for d in range(1, 29)] * 2
+    nodes = spark.createDataFrame(lives, NODES)
+    log = spark.createDataFrame([(i, ([], [("乙", "r", None)]), when, "", "") for i, when in enumerate([datetime(2023, 1, 1), datetime(2024, 1, 9, 6), datetime(2024, 1, 9, 18), datetime(2024, 1, 9, 18)])], LOG)
+    found = orphans.find_orphans(orphans.open_references(log), nodes)
+    assert rows(found.select("row_id", "status")) == [(0, "late"), (2, "deleted"), (3, "deleted")]
+
+
 def test_orphans_empty(spark):
     none = spark.createDataFrame([], LOG)
     refs = orphans.open_references(none)
