@@ -180,6 +180,8 @@ def judge(pairs: DataFrame, statements: DataFrame) -> DataFrame:
 
     judged = pairs.select("qid", "question", "gold_answer").mapInArrow(run, "qid string, defects array<string>, statement string")
     whole = statements.select(F.trim("statement").alias("statement")).where("statement is not null").distinct().withColumn("whole", F.lit(True))
-    settled = judged.join(whole, "statement", "left")
+    # Rows that are in no doubt get a key of their own, so that their null key makes no hot task.
+    keyed = judged.withColumn("statement", F.coalesce("statement", F.concat(F.lit("\u0000"), F.coalesce("qid", F.uuid()))))
+    settled = keyed.join(whole, "statement", "left")
     kept = F.when(F.col("whole"), F.array_remove("defects", "truncated")).otherwise(F.col("defects"))
     return settled.select("qid", kept.alias("defects")).where("size(defects) > 0")
