@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from strandkg.schema import LEXICAL_FIELDS, VECTOR_FIELDS
 
-# A run of letters and digits of Latin script, or a run of Chinese characters.
-_RUNS = "([a-z0-9]+|[\\u4e00-\\u9fff]+)"
+# At each position at most one token begins: a pair of Chinese characters, one that stands alone, or a Latin word with its figures.
+_HAN = "[\\u4e00-\\u9fff]"
+_TOKEN = f"(?=({_HAN}{{2}}|(?<!{_HAN}){_HAN}|(?<![a-z0-9])[a-z0-9]+))"
 
 
 def lexical_text(fields: tuple[str, ...] = LEXICAL_FIELDS) -> Column:
@@ -23,7 +24,4 @@ def vector_text(fields: tuple[str, ...] = VECTOR_FIELDS) -> Column:
 
 def tokens(text: Column) -> Column:
     """Latin words and figures in lower case, and pairs of neighbouring Chinese characters (one that stands alone, itself)."""
-    runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_RUNS), F.lit(1))
-    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))
-    han = lambda r: r.rlike("^[\\u4e00-\\u9fff]{2,}$")
-    return F.flatten(F.transform(runs, lambda r: F.when(han(r), pairs(r)).otherwise(F.array(r))))
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TOKEN), F.lit(1))

@@ -10,7 +10,7 @@ from strandkg.operators import chat, context, graph, vector
 from strandkg.operators.bm25 import Bm25Index
 from strandkg.plans import evaluate, rag
 from strandkg.schema import EVENT_ONTOLOGY
-from strandkg.session import table
+from strandkg.session import table, written
 from strandkg.sources.sinks import graphml_lines
 
 OFFLINE = {"provider": "offline"}
@@ -199,18 +199,19 @@ def vec_threshold_all(spark: SparkSession, d: str) -> DataFrame:
     return vector.above(*_vectors(spark, d), 0.4)
 
 
-def _naive(spark: SparkSession, d: str) -> DataFrame:
+def _naive(spark: SparkSession, d: str, hits: DataFrame | None = None) -> DataFrame:
     records = _events(spark, d).withColumn("event_id", F.col("id")).withColumn("id", F.col("seq"))
-    return rag.naive_context(_event_hits(spark, d, 3), records, text.lexical_text(), _questions(spark, d))
+    return rag.naive_context(hits if hits is not None else _event_hits(spark, d, 3), records, text.lexical_text(), _questions(spark, d))
 
 
 def naive_rag_context(spark: SparkSession, d: str) -> DataFrame:
     return _naive(spark, d).select("qid", "context", "n_lines", "status")
 
 
-def _graph_context(spark: SparkSession, d: str) -> DataFrame:
+def _graph_context(spark: SparkSession, d: str, hits: DataFrame | None = None) -> DataFrame:
     ids = _events(spark, d).where("id is not null and id <> ''").select("seq", F.col("id").alias("event"))
-    seeds = _event_hits(spark, d, 3).join(ids, F.col("id") == F.col("seq")).select("qid", F.col("event").alias("id"))
+    hits = hits if hits is not None else _event_hits(spark, d, 3)
+    seeds = hits.join(ids, F.col("id") == F.col("seq")).select("qid", F.col("event").alias("id"))
     return rag.graph_context(seeds, _event_edges(spark, d), 1, _questions(spark, d))
 
 
@@ -256,7 +257,8 @@ def eval_hit_rate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def qa_comparison(spark: SparkSession, d: str) -> DataFrame:
-    made = evaluate.compare(_questions(spark, d), _naive(spark, d), _graph_context(spark, d), OFFLINE)
+    hits = written(_event_hits(spark, d, 3), "hits")
+    made = evaluate.compare(_questions(spark, d), _naive(spark, d, hits), _graph_context(spark, d, hits), OFFLINE)
     return made.select("question", "graphrag_answer", "baseline_answer", "baseline_context_len", "graph_context_triples")
 
 
