@@ -82,17 +82,18 @@ def _spans(nodes: DataFrame) -> DataFrame:
     return lives.join(sizes, "key").groupBy("key", "n_blocks", block.alias("block")).agg(F.collect_list(F.struct("born", "gone")).alias("spans")).drop("block")
 
 
-def _status(joined: DataFrame) -> DataFrame:
+def _status(joined: DataFrame, blocks: bool) -> DataFrame:
     born = lambda s: F.coalesce(s["born"] <= F.col("at"), s["born"].isNull())
     gone = lambda s: F.coalesce(s["gone"] <= F.col("at"), F.lit(False))
     live, deleted = F.exists("spans", lambda s: born(s) & ~gone(s)), F.exists("spans", gone)
     level = F.when(F.col("spans").isNull(), 0).when(live, 3).when(deleted, 2).otherwise(1).alias("level")
     one = joined.select("ref_no", "row_id", "rel_pos", "side", "key", "at", level, "n_blocks")
-    # The blocks of an id that has several are brought together per reference; the others need no shuffle.
-    few = one.where("n_blocks is null or n_blocks <= 1").drop("n_blocks")
-    many = one.where("n_blocks > 1").groupBy("ref_no", "row_id", "rel_pos", "side", "key", "at").agg(F.max("level").alias("level"))
+    few = one.drop("n_blocks")
+    if blocks:  # the blocks of an id that has several are brought together per reference; the others need no shuffle
+        few = one.where("n_blocks is null or n_blocks <= 1").drop("n_blocks")
+        few = few.unionByName(one.where("n_blocks > 1").groupBy("ref_no", "row_id", "rel_pos", "side", "key", "at").agg(F.max("level").alias("level")))
     status = F.element_at(F.array(F.lit("missing"), F.lit("late"), F.lit("deleted")), F.col("level") + 1)
-    return few.unionByName(many).where("level < 3").select("row_id", "rel_pos", "side", "key", "at", status.alias("status"))
+    return few.where("level < 3").select("row_id", "rel_pos", "side", "key", "at", status.alias("status"))
 
 
 def find_orphans(refs: DataFrame, nodes: DataFrame, heavy_share: float = 0.001) -> DataFrame:
@@ -109,7 +110,7 @@ def find_orphans(refs: DataFrame, nodes: DataFrame, heavy_share: float = 0.001)
     small = heavy_spans.count() <= 2 / heavy_share if heavy_share > 0 else False  # groups of at most about BLOCK spans
     heavy_part = refs.join(F.broadcast(heavy_spans) if small else heavy_spans, "key")
     light_part = refs.join(F.broadcast(heavy), "key", "left_anti").join(spans, "key", "left")
-    return _status(heavy_part.unionByName(light_part))
+    return _status(heavy_part.unionByName(light_part), not spans.where("n_blocks > 1").isEmpty())
 
 
 def orphan_report(refs: DataFrame, orphans: DataFrame, name: str) -> DataFrame:

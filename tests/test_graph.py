@@ -113,13 +113,43 @@ def test_backends(spark, monkeypatch):
     assert [e["name"] for e in log.first()["extraction_result"]["entities"]] == ["2020年7月", "2021年1月"]
 
 
-def test_graph_rag_end_to_end(spark, events):
-    records = events.withColumn("seq", F.substring("id", 2, 1).cast("long"))
-    q = spark.createDataFrame([("q1", "淹没农田 甲县")], "qid string, text string")
-    from strandkg.functions.text import lexical_text
+@pytest.fixture(scope="module")
+def numbered(events):
+    return events.withColumn("seq", F.substring("id", 2, 1).cast("long"))
+
+
+QUESTIONS = [("q1", "甲县淹没农田的洪水"), ("q2", "乙县水库见底")]
+
+
+@pytest.mark.parametrize("retriever", ["bm25", "vector"])
+def test_engine(spark, numbered, retriever):
+    engine = rag.Engine(numbered, schema.Config(retriever=retriever, graph_hops=1, top_k=1))
+    q = spark.createDataFrame(QUESTIONS, "qid string, text string")
+    assert {(r["qid"], r["id"]) for r in engine.retrieve(q).collect()} == {("q1", 1), ("q2", 2)}
+    got = {r["qid"]: r for r in engine.answer(q).collect()}
+    assert len(got["q1"]["evidence"]) == 6 and got["q1"]["draft_answer"].startswith("- e1 ")
+    assert {r["qid"]: r["impact"] for r in engine.text_only(q).collect()} == {"q1": "淹没农田", "q2": "水库见底"}
+
+
+def test_engine_compares_and_evaluates(spark, numbered):
+    engine = rag.Engine(numbered, schema.Config(graph_hops=1))
+    q = spark.createDataFrame([*QUESTIONS, ("q3", "zzz")], "qid string, text string")
+    got = {r["question"]: r for r in engine.compare(q).collect()}
+    assert got["zzz"]["baseline_answer"] == context.NO_HIT and got["zzz"]["graph_context_triples"] == 0
+    assert got[QUESTIONS[0][1]]["graph_context_triples"] == 6 and got[QUESTIONS[0][1]]["baseline_answer"].startswith("[1] flood 甲县")
+    gold = spark.createDataFrame([("q1", QUESTIONS[0][1], "农田"), ("q2", QUESTIONS[1][1], "农田")], schema.QA)
+    assert tuple(engine.hit_rate(gold).first()) == (2, 1, 0.5)
+    with pytest.raises(ValueError, match="retriever"):
+        rag.Engine(numbered, schema.Config(retriever="guess"))
+
+
+def test_encoder(spark):
+    from strandkg.operators import encode
 
-    got = rag.graph_rag(records, graph.event_edges(events, "id", schema.EVENT_ONTOLOGY), lexical_text(), q, {}, hops=1, top_k=1).first()
-    assert len(got["evidence"]) == 6 and got["draft_answer"].startswith("- e1 ")
+    v = {r["id"]: r["vector"] for r in encode.encode(spark.createDataFrame([(1, "洪水 flood"), (2, "洪水 flood"), (3, ""), (4, None)], "id long, t string"), "t").collect()}
+    assert v[1] == v[2] and abs(sum(x * x for x in v[1]) - 1) < 1e-9 and not any(v[3]) and v[4] is None
+    with pytest.raises(ValueError, match="unknown encoder"):
+        encode.encode(spark.range(1), "id", "nobody")
 
 
 def test_hit_rate(spark, events):
