@@ -52,12 +52,10 @@ class GraphStore:
         self.spark, self.path = spark, path.rstrip("/")
 
     def _version(self) -> str | None:
-        try:
-            return self.spark.read.text(f"{self.path}/current").first()["value"]
-        except Exception as e:  # a store that was never written
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            return None
+        return self.spark.read.text(f"{self.path}/current").first()["value"]
 
     def read(self) -> tuple[DataFrame, DataFrame]:
         if (v := self._version()) is None:
