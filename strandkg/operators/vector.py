@@ -1,6 +1,6 @@
 """Exact cosine search, a stated set of queries against all rows, in blocks.
 
-The queries are taken ``BLOCK`` at a time as one matrix that goes to the tasks (its size is bound by ``BLOCK`` and the dimension); every task multiplies it with its own rows and
+The queries are taken ``BLOCK`` at a time as one matrix that goes to the tasks (its size is bound by ``BLOCK`` and the dimension; the driver holds one block at a time); every task multiplies it with its own rows and
 keeps its ``k`` best per query, so what is shuffled is ``k`` rows per query and task, and neither side is ever joined with the other pair by pair.
 
 Scores are rounded to 1e-6, so that equal vectors tie; ties go to the greater id. A zero vector is similar to nothing (0). Null vectors give no row. NaN scores rank first, take a place
@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandkg.session import written
+
 BLOCK = 4096
 _HIT = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
 _DDL = "qid long, id long, score double"
@@ -62,9 +64,10 @@ def _hits(vectors: DataFrame, queries: DataFrame, k: int | None, threshold: floa
         return part if done is None else done.unionByName(part)
 
     for q in asked:
+        if len(block) == BLOCK:  # a full block is worked off before the next one comes to the driver
+            part = written(add(None), "hits")
+            out, block = part if out is None else out.unionByName(part), []
         block.append((q["id"], q["vector"]))
-        if len(block) == BLOCK:
-            out, block = add(out), []
     if block:
         out = add(out)
     return out if out is not None else vectors.sparkSession.createDataFrame([], _DDL)
