@@ -3,8 +3,8 @@
 Script-aware repair: text is brought to plain form (width, composition, unified characters, spaces, invisible characters; see ``functions.plaintext``), and a
 word that mixes scripts is rewritten in one script by look-alike letters. Of several possible readings the one that exists in the corpus vocabulary is
 taken. The vocabulary holds the one-script words of all values that are readings of some mixed word: both sides meet in a semi-join on
-the word, so nothing of the corpus goes to the driver and only the words in question are kept; they are few, and their number is checked before they
-go to the tasks (beyond ``MAX_WORDS`` the readings are joined per value instead, by key).
+the word, so of the corpus only the words in question are kept; they are few, and their number is checked before they go to the tasks (beyond ``MAX_WORDS`` each
+value gets its own words by a join).
 
 When no reading is in the vocabulary (identifiers such as station codes occur once), the substitution still takes place, in the order of
 ``plaintext.readings``: a look-alike word left in two scripts would compare unequal for good. This goes beyond the named method, which would leave it.
@@ -65,32 +65,43 @@ def vocabulary(values: DataFrame) -> DataFrame:
     return clean.unionByName(odd).join(asked, "word", "left_semi").distinct()
 
 
-def _repaired(known: set[str] | None, only_changed: bool):  # noqa: ANN202
-    schema = pa.schema([("row_id", pa.int64()), ("field", pa.string()), ("pos", pa.int32()), ("value", pa.string()), ("plain", pa.string())])
+_REPAIRED = pa.schema([("row_id", pa.int64()), ("field", pa.string()), ("pos", pa.int32()), ("value", pa.string()), ("plain", pa.string())])
+
+
+def _repaired(known: set[str] | None):  # noqa: ANN202
+    """The values that change. ``known``: the vocabulary, where the rows don't bring their own words of it in ``known``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column("value").to_pylist()
-            plain = [plain_form(v, known) for v in values]
-            if only_changed:
-                keep = pa.array([i for i, (v, p) in enumerate(zip(values, plain, strict=True)) if v != p], pa.int64())
-                batch, plain = batch.take(keep), [plain[i] for i in keep.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row_id", "field", "pos", "value")), pa.array(plain, pa.string())], schema=schema)
+            own = [set(k or ()) for k in batch.column("known").to_pylist()] if "known" in batch.schema.names else [known] * len(values)
+            plain = [plain_form(v, k) for v, k in zip(values, own, strict=True)]
+            changed = [i for i, (v, p) in enumerate(zip(values, plain, strict=True)) if v != p]
+            kept = batch.take(pa.array(changed, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in _REPAIRED.names[:4]), pa.array([plain[i] for i in changed], pa.string())], schema=_REPAIRED)
 
     return run
 
 
+def _asked_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [(v, r) for v, value in zip(batch.column("vid").to_pylist(), batch.column("value").to_pylist(), strict=True) for r in {r for w in mixed_words(value) for r in readings(w)}]
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.string()) for i in (0, 1)], names=["vid", "word"])
+
+
 def not_plain(values: DataFrame) -> DataFrame:
     """The values that are not in plain form, each with the plain form its look-alike rules give; which of several readings is right doesn't matter here."""
     odd = suspicious(values).select("row_id", "field", F.col("pos").cast("int").alias("pos"), "value")
-    return odd.mapInArrow(_repaired(None, True), f"{_KEYS}, value string, plain string")
+    return odd.mapInArrow(_repaired(None), f"{_KEYS}, value string, plain string")
 
 
-def repair(values: DataFrame) -> DataFrame:
+def repair(values: DataFrame, most: int = MAX_WORDS) -> DataFrame:
     """Every value that is not plain with its plain form, ambiguous words by the corpus vocabulary."""
     words = written(vocabulary(values), "vocabulary")
-    if words.count() > MAX_WORDS:
-        raise ValueError(f"more than {MAX_WORDS} ambiguous words: repair the text in parts")
-    known = {r["word"] for r in words.collect()}
     odd = suspicious(values).select("row_id", "field", F.col("pos").cast("int").alias("pos"), "value")
-    return odd.mapInArrow(_repaired(known, True), f"{_KEYS}, value string, plain string")
+    if words.count() <= most:
+        return odd.mapInArrow(_repaired({r["word"] for r in words.collect()}), f"{_KEYS}, value string, plain string")
+    odd = written(odd.withColumn("vid", F.uuid()), "odd")
+    asked = odd.select("vid", "value").mapInArrow(_asked_words, "vid string, word string")
+    own = asked.join(words, "word").groupBy("vid").agg(F.collect_set("word").alias("known"))
+    return odd.join(own, "vid", "left").select("row_id", "field", "pos", "value", "known").mapInArrow(_repaired(None), f"{_KEYS}, value string, plain string")

@@ -20,6 +20,7 @@ def test_vocabulary_repairs(spark, rows):
     log = spark.createDataFrame([(1, "сор сор", None), (2, "cоp", None), (3, None, ([("cоp",), None, (None,)], None)), (4, "", ([], [])), (4, "ΖΑ37K站", None)], "row_id long, raw_text string, extraction_result struct<entities: array<struct<name: string>>, relations: array<string>>")
     values = lookalike.values_of(log)
     assert rows(lookalike.repair(values).select("row_id", "field", "plain")) == [(2, "raw_text", "сор"), (3, "entity", "сор"), (4, "raw_text", "ZA37K站")]
+    assert rows(lookalike.repair(values, most=0)) == rows(lookalike.repair(values))
     latin = values.where("row_id <> 1")
     assert rows(lookalike.repair(latin).select("row_id", "plain")) == [(2, "cop"), (3, "cop"), (4, "ZA37K站")]
 
