@@ -44,7 +44,7 @@ def p4_all_defects(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return lookalike.not_plain(lookalike.values_of(table(spark, d, "results_extraction"))).select("row_id", "field", "pos")
+    return lookalike.repair(lookalike.values_of(table(spark, d, "results_extraction"))).select("row_id", "field", "pos")
 
 
 def p6_repaired(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ taken. The vocabulary holds the one-script words of all values that are readings
 the word, so of the corpus only the words in question are kept; they are few, and their number is checked before they go to the tasks (beyond ``MAX_WORDS`` each
 value gets its own words by a join).
 
-When no reading is in the vocabulary (identifiers such as station codes occur once), the substitution still takes place, in the order of
+Which reading is taken decides how a value is repaired, not whether it is plain. When no reading is in the vocabulary (identifiers such as station codes occur once), the substitution still takes place, in the order of
 ``plaintext.readings``: a look-alike word left in two scripts would compare unequal for good. This goes beyond the named method, which would leave it.
 
 Values without a suspicious character are settled by a pattern inside the scan; only the others reach Python. Null values give no row, empty ones are
@@ -40,29 +40,30 @@ def suspicious(values: DataFrame) -> DataFrame:
     return values.where(F.col("value").rlike(SUSPECT))
 
 
-def _word_rows(mixed: bool):  # noqa: ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen = set()
-            for value in batch.column("value").to_pylist():
-                if mixed:
-                    seen |= {r for w in mixed_words(value) for r in (readings(w) if len(readings(w)) > 1 else ())}
-                else:
-                    seen |= {w for w in words_of(unrepaired(value)) if not readings(w)}
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.string())], names=["word"])
-
-    return run
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of one script (asked: false) and the readings of words that have several (asked: true), each once per batch."""
+    for batch in batches:
+        seen: set[tuple[str, bool]] = set()
+        for value in batch.column("value").to_pylist():
+            for w in words_of(unrepaired(value)):
+                if found := readings(w):
+                    seen |= {(r, True) for r in found if len(found) > 1}
+                elif not w.isdecimal():
+                    seen.add((w, False))
+        rows = sorted(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.bool_())], names=["word", "asked"])
 
 
 def vocabulary(values: DataFrame) -> DataFrame:
     """The readings in question that occur in the corpus as words of one script.
 
-    Words of plain values are split inside the scan; a value with suspicious characters is brought to plain form first.
+    Words of plain values are split inside the scan; a value with suspicious characters goes through the steps before the repair first.
     """
-    asked = suspicious(values).select("value").mapInArrow(_word_rows(True), "word string").distinct()
-    clean = values.where(~F.col("value").rlike(SUSPECT)).select(F.explode(F.regexp_extract_all("value", F.lit("([0-9A-Za-z\\u00c0-\\u02af\\u1e00-\\u1eff]+)"), F.lit(1))).alias("word"))
-    odd = suspicious(values).select("value").mapInArrow(_word_rows(False), "word string")
-    return clean.unionByName(odd).join(asked, "word", "left_semi").distinct()
+    odd = written(suspicious(values).select("value").mapInArrow(_words, "word string, asked boolean").distinct(), "words")
+    asked = odd.where("asked").select("word")
+    letter = "A-Za-z\\u00c0-\\u02af\\u1e00-\\u1eff"
+    clean = values.where(~F.col("value").rlike(SUSPECT)).select(F.explode(F.regexp_extract_all("value", F.lit(f"([0-9]*[{letter}][0-9{letter}]*)"), F.lit(1))).alias("word"))
+    return clean.unionByName(odd.where("not asked").select("word")).join(asked, "word", "left_semi").distinct()
 
 
 _REPAIRED = pa.schema([("row_id", pa.int64()), ("field", pa.string()), ("pos", pa.int32()), ("value", pa.string()), ("plain", pa.string())])
@@ -89,12 +90,6 @@ def _asked_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.string()) for i in (0, 1)], names=["vid", "word"])
 
 
-def not_plain(values: DataFrame) -> DataFrame:
-    """The values that are not in plain form, each with the plain form its look-alike rules give; which of several readings is right doesn't matter here."""
-    odd = suspicious(values).select("row_id", "field", F.col("pos").cast("int").alias("pos"), "value")
-    return odd.mapInArrow(_repaired(None), f"{_KEYS}, value string, plain string")
-
-
 def repair(values: DataFrame, most: int = MAX_WORDS) -> DataFrame:
     """Every value that is not plain with its plain form, ambiguous words by the corpus vocabulary."""
     words = written(vocabulary(values), "vocabulary")

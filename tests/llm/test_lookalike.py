@@ -27,6 +27,6 @@ def test_vocabulary_repairs(spark, rows):
 
 def test_empty_and_long(spark):
     none = spark.createDataFrame([], f"row_id long, raw_text string, extraction_result {KG.simpleString()}, value string, plain string")
-    assert lookalike.not_plain(lookalike.values_of(none)).count() == 0 and lookalike.repair(lookalike.values_of(none)).count() == 0
+    assert lookalike.repair(lookalike.values_of(none)).count() == 0
     long = spark.createDataFrame([(1, "字" * 300_000 + "​", None)], f"row_id long, raw_text string, extraction_result {KG.simpleString()}")
-    assert len(lookalike.not_plain(lookalike.values_of(long)).first()["plain"]) == 300_000
+    assert len(lookalike.repair(lookalike.values_of(long)).first()["plain"]) == 300_000
