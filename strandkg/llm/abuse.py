@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandkg.llm.textarrays import code_points, window_hashes
+from strandkg.llm.textarrays import blocks, code_points, window_hashes
 
 CATEGORIES = ("abuse", "hate", "sexual")
 MAX_LABELLED = 4000
@@ -221,6 +221,26 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) ->
     return Model().fit([r["text"] for r in rows], [r["category"] for r in rows]) if rows else Model()
 
 
+def _judged(m: Model, active: np.ndarray, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The highest expected grades of the sentences of each text, and whether one contains the category."""
+    best, has = np.zeros((len(texts), 3)), np.zeros((len(texts), 3), bool)
+    lines, owner = [], []
+    for i, text in enumerate(texts):
+        found = sentences(text)
+        lines += found
+        owner += [i] * len(found)
+    if lines:
+        lines = readable_all(lines)
+        # A sentence without a telling expression has no feature but its n-grams.
+        dense = np.zeros((len(lines), len(FEATURES)), np.float32)
+        for i in np.flatnonzero(pc.match_substring_regex(pa.array(lines, pa.string()), _TELLING).to_numpy(zero_copy_only=False)):
+            dense[i] = family_features(lines[i])
+        margins = m.margins(dense, *ngrams(lines, active))
+        np.maximum.at(best, np.array(owner), m.severity(margins))
+        np.logical_or.at(has, np.array(owner), m.contains(margins))
+    return best, has
+
+
 def score_documents(documents: DataFrame, model: Model) -> DataFrame:
     """Per row of ``documents`` (doc_id, source, text) the expected grade of each category and whether the document contains it."""
     kept = np.flatnonzero(np.abs(model.hashed).max(axis=0) > 1e-3)
@@ -235,23 +255,10 @@ def score_documents(documents: DataFrame, model: Model) -> DataFrame:
         active[small[2]] = True
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            best, has = np.zeros((len(texts), 3)), np.zeros((len(texts), 3), bool)
-            lines, owner = [], []
-            for i, text in enumerate(texts):
-                found = sentences(text)
-                lines += found
-                owner += [i] * len(found)
-            if lines:
-                # A sentence without a telling expression has no feature but its n-grams.
-                lines = readable_all(lines)
-                dense = np.zeros((len(lines), len(FEATURES)), np.float32)
-                for i in np.flatnonzero(pc.match_substring_regex(pa.array(lines, pa.string()), _TELLING).to_numpy(zero_copy_only=False)):
-                    dense[i] = family_features(lines[i])
-                margins = m.margins(dense, *ngrams(lines, active))
-                at = np.array(owner)
-                np.maximum.at(best, at, m.severity(margins))
-                np.logical_or.at(has, at, m.contains(margins))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), *[pa.array(best[:, c]) for c in range(3)], *[pa.array(has[:, c]) for c in range(3)]], schema=schema)
+            for part in blocks([len(t or "") for t in texts]):
+                best, has = _judged(m, active, texts[part])
+                ids = [batch.column(c).slice(part.start, part.stop - part.start) for c in ("doc_id", "source")]
+                yield pa.RecordBatch.from_arrays([*ids, *map(pa.array, best.T.copy()), *map(pa.array, has.T.copy())], schema=schema)
 
     names = ", ".join([f"{c} double" for c in CATEGORIES] + [f"has_{c} boolean" for c in CATEGORIES])
     return documents.select("doc_id", "source", "text").mapInArrow(run, f"doc_id long, source string, {names}")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandkg.llm.textarrays import code_points, window_hashes
+from strandkg.llm.textarrays import blocks, code_points, window_hashes
 from strandkg.session import written
 
 SHARED, K = 60, 30
@@ -96,11 +96,13 @@ def find_leaks(documents: DataFrame, passages: DataFrame, shared: int = SHARED,
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            folded = [letters(t) for t in batch.column("passage").to_pylist()]
-            owner, at, hashes = fingerprints(folded, k, shared)
-            ids = batch.column("item_id").take(pa.array(owner))
-            texts = pa.array(folded, pa.string()).take(pa.array(owner))
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(at, pa.int32()), pa.array(hashes.view(np.int64)), texts], names=["item_id", "item_at", "print", "letters"])
+            folded_all = [letters(t) for t in batch.column("passage").to_pylist()]
+            for part in blocks([len(t) for t in folded_all]):
+                folded = folded_all[part]
+                owner, at, hashes = fingerprints(folded, k, shared)
+                ids = batch.column("item_id").slice(part.start).take(pa.array(owner))
+                texts = pa.array(folded, pa.string()).take(pa.array(owner))
+                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(at, pa.int32()), pa.array(hashes.view(np.int64)), texts], names=["item_id", "item_at", "print", "letters"])
 
     held = written(passages.select("item_id", "passage").where("item_id is not null").mapInArrow(prints, "item_id long, item_at int, print long, letters string"), "prints")
     if held.count() <= most:
@@ -115,18 +117,20 @@ def _matcher(rows, shared: int, k: int):  # noqa: ANN001, ANN202
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            folded, ids = [letters(t) for t in batch.column("text").to_pylist()], batch.column("doc_id").to_pylist()
-            owner, at, hashes = fingerprints(folded, k, shared)
-            left = np.searchsorted(keys, hashes.view(np.int64), "left")
-            right = np.searchsorted(keys, hashes.view(np.int64), "right")
-            hits: dict[tuple[int, int, str], list[tuple[int, int]]] = defaultdict(list)
-            for x in np.flatnonzero(right > left):
-                for y in range(left[x], right[x]):
-                    hits[int(owner[x]), int(items[y]), passages[y]].append((int(at[x]), int(ats[y])))
-            # A document counts once per item, however many passages the item has.
-            both = dict.fromkeys((d, item) for (d, item, passage), places in hits.items() if spans(folded[d], passage, places, shared))
-            found = [(ids[d], item) for d, item in both]
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["doc_id", "item_id"])
+            folded_all, ids_all = [letters(t) for t in batch.column("text").to_pylist()], batch.column("doc_id").to_pylist()
+            for part in blocks([len(t) for t in folded_all]):
+                folded, ids = folded_all[part], ids_all[part]
+                owner, at, hashes = fingerprints(folded, k, shared)
+                left = np.searchsorted(keys, hashes.view(np.int64), "left")
+                right = np.searchsorted(keys, hashes.view(np.int64), "right")
+                hits: dict[tuple[int, int, str], list[tuple[int, int]]] = defaultdict(list)
+                for x in np.flatnonzero(right > left):
+                    for y in range(left[x], right[x]):
+                        hits[int(owner[x]), int(items[y]), passages[y]].append((int(at[x]), int(ats[y])))
+                # A document counts once per item, however many passages the item has.
+                both = dict.fromkeys((d, item) for (d, item, passage), places in hits.items() if spans(folded[d], passage, places, shared))
+                found = [(ids[d], item) for d, item in both]
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["doc_id", "item_id"])
 
     return run
 
@@ -136,8 +140,10 @@ def _joined(documents: DataFrame, held: DataFrame, shared: int, k: int) -> DataF
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, at, hashes = fingerprints([letters(t) for t in batch.column("text").to_pylist()], k, shared)
-            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(owner)), pa.array(at, pa.int32()), pa.array(hashes.view(np.int64))], names=["row", "doc_at", "print"])
+            folded_all = [letters(t) for t in batch.column("text").to_pylist()]
+            for part in blocks([len(t) for t in folded_all]):
+                owner, at, hashes = fingerprints(folded_all[part], k, shared)
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(part.start).take(pa.array(owner)), pa.array(at, pa.int32()), pa.array(hashes.view(np.int64))], names=["row", "doc_at", "print"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -19,12 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandkg.functions.plaintext import plain_form
-from strandkg.llm.textarrays import code_points, mixed, window_hashes
+from strandkg.llm.textarrays import blocks, code_points, mixed, window_hashes
 from strandkg.session import written
 
 WIDTH, THRESHOLD, TREES, TARGET, MAX_DEPTH = 3, 0.7, 25, 0.99, 8
@@ -80,6 +81,15 @@ def signatures(texts: list[str], trees: int, depth: int, width: int = WIDTH, see
     return paths.T, sketch
 
 
+def _sign(texts: list[str], ids: pa.Array, trees: int, depth: int, schema: pa.Schema) -> pa.RecordBatch:
+    paths, sketch = signatures(texts, trees, depth)
+    digests = b"".join(xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts)
+    same = np.frombuffer(digests, np.int64).reshape(-1, 2)
+    flat = pa.ListArray.from_arrays(np.arange(0, (len(texts) + 1) * trees, trees, dtype=np.int32), pa.array(np.ascontiguousarray(paths).view(np.int64).ravel()))
+    words = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (same[:, 0], same[:, 1], sketch[:, 0], sketch[:, 1])]
+    return pa.RecordBatch.from_arrays([ids, *words, flat], schema=schema)
+
+
 def _signed(trees: int, depth: int):  # noqa: ANN202
     schema = pa.schema([("id", pa.int64()), ("same", pa.int64()), ("same2", pa.int64()), ("sketch", pa.int64()), ("sketch2", pa.int64()), ("paths", pa.list_(pa.int64()))])
 
@@ -88,13 +98,8 @@ def _signed(trees: int, depth: int):  # noqa: ANN202
             texts = [plain_form(t) for t in batch.column("text").to_pylist()]
             keep = [i for i, t in enumerate(texts) if len(t) >= WIDTH]
             texts, ids = [texts[i] for i in keep], batch.column("id").take(pa.array(keep, pa.int64()))
-            if not texts:
-                continue
-            paths, sketch = signatures(texts, trees, depth)
-            digest = np.array([xxhash.xxh3_128_intdigest(t.encode("utf-8", "surrogatepass")).to_bytes(16) for t in texts], "S16")
-            same = np.frombuffer(b"".join(x.ljust(16, b"\0") for x in digest.tolist()), np.int64).reshape(-1, 2)
-            flat = pa.ListArray.from_arrays(np.arange(0, (len(texts) + 1) * trees, trees, dtype=np.int32), pa.array(np.ascontiguousarray(paths).view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(same[:, 0]), pa.array(same[:, 1]), *[pa.array(np.ascontiguousarray(sketch[:, i]).view(np.int64)) for i in (0, 1)], flat], schema=schema)
+            for part in blocks([len(t) for t in texts]):
+                yield _sign(texts[part], ids.slice(part.start, part.stop - part.start), trees, depth, schema)
 
     return run
 
@@ -146,20 +151,23 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 def _verify(threshold: float):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            sides = {}
-            for c, ids in (("text_a", a), ("text_b", b)):
-                texts = batch.column(c)
-                for i, x in enumerate(ids):
-                    if x not in sides:
-                        sides[x] = plain_form(texts[i].as_py())
-            known = dict(zip(sides, _codes(*code_points(list(sides.values()))), strict=True))
-            found = []
-            for x, y in zip(a, b, strict=True):
-                both = _common(known[x], known[y])
-                if both and (s := both / (len(known[x]) + len(known[y]) - both)) >= threshold:
-                    found.append((x, y, s))
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "similarity"])
+            a, b, text_a, text_b = (batch.column(c) for c in ("a", "b", "text_a", "text_b"))
+            lengths = pc.add(pc.utf8_length(text_a), pc.utf8_length(text_b)).to_pylist()
+            for part in blocks(lengths):
+                at = range(part.start, part.stop)
+                sides: dict[int, str] = {}
+                for ids, texts in ((a, text_a), (b, text_b)):
+                    for i in at:
+                        if (x := ids[i].as_py()) not in sides:
+                            sides[x] = plain_form(texts[i].as_py())
+                known = dict(zip(sides, _codes(*code_points(list(sides.values()))), strict=True))
+                found = []
+                for i in at:
+                    x, y = a[i].as_py(), b[i].as_py()
+                    both = _common(known[x], known[y])
+                    if both and (s := both / (len(known[x]) + len(known[y]) - both)) >= threshold:
+                        found.append((x, y, s))
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "similarity"])
 
     return run
 

@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
+#: Characters worked on at a time: arrays of some ten times eight bytes each come with them.
+BLOCK = 1_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def blocks(lengths: list[int], most: int = BLOCK) -> Iterator[slice]:
+    """Slices of texts of at most ``most`` characters together; a longer text stands alone, whole."""
+    first = total = 0
+    for i, n in enumerate(lengths):
+        if i > first and total + n > most:
+            yield slice(first, i)
+            first, total = i, 0
+        total += n
+    if first < len(lengths):
+        yield slice(first, len(lengths))
+
+
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All code points in a row, and where each text begins (one entry more than texts)."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
