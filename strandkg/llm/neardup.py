@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandkg.functions.plaintext import plain_form
-from strandkg.llm.textarrays import blocks, code_points, mixed, window_hashes
+from strandkg.llm.textarrays import blocks, code_points, distinct, mixed, window_hashes
 from strandkg.session import written
 
 WIDTH, THRESHOLD, TREES, TARGET, MAX_DEPTH = 3, 0.7, 25, 0.99, 8
@@ -138,7 +138,7 @@ def _codes(points: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     """The distinct runs of each text, sorted: three code points of 21 bits each make one exact number."""
     p = points.astype(np.uint64)
     runs_ = (p[:-2] << np.uint64(42)) | (p[1:-1] << np.uint64(21)) | p[2:] if len(p) > 2 else p[:0]
-    return [np.unique(runs_[starts[i] : max(starts[i], starts[i + 1] - WIDTH + 1)]) for i in range(len(starts) - 1)]
+    return [distinct(runs_[starts[i] : max(starts[i], starts[i + 1] - WIDTH + 1)]) for i in range(len(starts) - 1)]
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:

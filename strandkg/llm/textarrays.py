@@ -61,3 +61,9 @@ def window_hashes(points: np.ndarray, k: int) -> np.ndarray:
             parts = mixed(parts[:m] * _B + parts[width:])
             width *= 2
     return out
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values of ``x``, sorted."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
