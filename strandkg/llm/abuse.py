@@ -48,6 +48,8 @@ FAMILIES = {
 }
 _names = tuple(FAMILIES)
 _families = [re.compile(p) for p in FAMILIES.values()]
+#: Per family a pattern of linear time (no look-around, no word ends) that matches wherever the family's does.
+_WIDE = [re.sub(r"\(\?<?!(?:[^()]|\([^()]*\))*\)|\\b|\$", "", p).replace(r"\w", "(?s:.)") for p in FAMILIES.values()]
 _any = re.compile("|".join(f"(?:{FAMILIES[k]})" for k in ("insult", "attack", "contempt", "explicit", "solicit")))
 #: Features made of families: their names and how they follow from a sentence.
 FEATURES = (*_names, "insult+address", "attack+address", "insult alone", "insult+attack", "two attacks", "contempt+group", "two contempts", "explicit+solicit", "two explicits", "two solicits")
@@ -93,9 +95,8 @@ def readable(sentence: str) -> str:
     return readable_all([sentence])[0]
 
 
-#: What ``_unmasked`` may change, and what gives a sentence features of families: as patterns of linear time (no look-around), wider than theirs.
+#: What ``_unmasked`` may change: a pattern of linear time (no look-around), wider than its own.
 _MASKED = r"\p{Han}[\s./\\丶·•|~^*_、–—-]{1,2}\p{Han}|(?:^|[^a-z0-9])[a-z0-9](?:[-.*_ /·][a-z0-9]){2,}|[a-z][!0134579@$]|[0134579@$][a-z]"
-_TELLING = re.sub(r"\(\?<?!(?:[^()]|\([^()]*\))*\)", "", "|".join(FAMILIES[k] for k in ("insult", "attack", "contempt", "explicit", "solicit")))
 
 
 def readable_all(lines: list[str]) -> list[str]:
@@ -114,16 +115,27 @@ def sentences(text: str | None) -> list[str]:
     return [s for part in _sentence.findall(plain) for s in _english.split(part) if s.strip()]
 
 
-def family_features(text: str) -> np.ndarray:
-    """The features of a readable sentence."""
+def _own_words(text: str) -> str:
     own = _quoted.sub(" ", text)  # what is quoted are not the author's words, unless all is
-    text = own if len(own.strip(" 。,.")) * 3 > len(text) else text
-    counts = [len(p.findall(text)) for p in _families]
-    n = dict(zip(_names, counts, strict=True))
-    insult_letters = sum(len(m[0]) for m in _families[0].finditer(text)) if n["insult"] else 0
+    return own if len(own.strip(" 。,.")) * 3 > len(text) else text
+
+
+def family_features(lines: list[str]) -> np.ndarray:
+    """The features of readable sentences, one row each; the fit and the scoring both take them from here. Only what a family's wide pattern lets through is counted one by one."""
+    texts = [_own_words(t) for t in lines]
+    column, n, letters = pa.array(texts, pa.string()), {}, np.zeros(len(texts), bool)
+    for k, pattern, wide in zip(_names, _families, _WIDE, strict=True):
+        n[k] = np.zeros(len(texts), np.int64)
+        at = np.arange(len(texts)) if k == "figures" else np.flatnonzero(pc.match_substring_regex(column, wide).to_numpy(zero_copy_only=False))
+        if k in ("group", "address", "report", "figures"):  # only whether there is one matters
+            n[k][at] = [pattern.search(texts[i]) is not None for i in at]
+        else:
+            n[k][at] = [len(pattern.findall(texts[i])) for i in at]
+    for i in np.flatnonzero(n["insult"]):
+        letters[i] = sum(len(m[0]) for m in _families[0].finditer(texts[i])) * 2 > len(texts[i].strip(" 。!！?？."))
     has = {k: v > 0 for k, v in n.items()}
-    extra = [has["insult"] and has["address"], has["attack"] and has["address"], insult_letters * 2 > len(text.strip(" 。!！?？.")), has["insult"] and has["attack"], n["attack"] > 1, has["contempt"] and has["group"], n["contempt"] > 1, has["explicit"] and has["solicit"], n["explicit"] > 1, n["solicit"] > 1]
-    return np.array([*has.values(), *extra], np.float32)
+    extra = [has["insult"] & has["address"], has["attack"] & has["address"], letters, has["insult"] & has["attack"], n["attack"] > 1, has["contempt"] & has["group"], n["contempt"] > 1, has["explicit"] & has["solicit"], n["explicit"] > 1, n["solicit"] > 1]
+    return np.stack([*has.values(), *extra], axis=1).astype(np.float32)
 
 
 def ngrams(texts: list[str], active: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -174,7 +186,7 @@ class Model:
         bags = [readable_all(sentences(t)) or [""] for t in texts]
         flat = [s for b in bags for s in b]
         bag = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-        dense = np.array([family_features(s) for s in flat])
+        dense = family_features(flat)
         owner, buckets = ngrams(flat)
         edges = np.searchsorted(owner, np.arange(len(flat) + 1))
         named = [set(x.split("+")) & set(CATEGORIES) for x in labels]
@@ -233,11 +245,7 @@ def _judged(m: Model, active: np.ndarray, texts: list[str | None]) -> tuple[np.n
         owner += [i] * len(found)
     if lines:
         lines = readable_all(lines)
-        # A sentence without a telling expression has no feature but its n-grams.
-        dense = np.zeros((len(lines), len(FEATURES)), np.float32)
-        for i in np.flatnonzero(pc.match_substring_regex(pa.array(lines, pa.string()), _TELLING).to_numpy(zero_copy_only=False)):
-            dense[i] = family_features(lines[i])
-        margins = m.margins(dense, *ngrams(lines, active))
+        margins = m.margins(family_features(lines), *ngrams(lines, active))
         np.maximum.at(best, np.array(owner), m.severity(margins))
         np.logical_or.at(has, np.array(owner), m.contains(margins))
     return best, has

@@ -64,3 +64,17 @@ def test_found_has_stated_columns(spark, small):
     df = catalog.p10_found(spark, small)
     assert df.dtypes == [("doc_id", "bigint"), ("category", "string")]
     assert df.groupBy("doc_id", "category").count().where(F.col("count") > 1).count() == 0
+
+
+def test_scoring_sees_the_features_of_the_fit():
+    """Sentences without a telling expression have their report, figures, address and group too."""
+    import numpy as np
+
+    lines = ["水位报告说涨了5米", "你看水位", "those rivermen walk", "水位"]
+    m = abuse.Model()
+    m.hashed[:] = 0.3
+    owner, buckets = abuse.ngrams(lines)
+    fitted = np.array([[-4.0, -4.0, -3.3], [0.2, 0, 0], [0, 0.2, 0], [0, 0, 0]]) + 0.3 * np.bincount(owner)[:, None]
+    best, has = abuse._judged(m, np.ones(abuse.BUCKETS, bool), lines)
+    assert np.allclose(best, m.severity(fitted)) and (has == m.contains(fitted)).all()
+    assert np.allclose(m.margins(abuse.family_features(lines), owner, buckets), fitted)
