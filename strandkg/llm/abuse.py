@@ -63,8 +63,6 @@ PRIOR = {
 THETA = (2.6, 4.6)
 #: Of the fit: step, pull towards the prior, weight of clean documents.
 RATE, DECAY, CLEAN = 2.0, 0.005, 3.0
-#: n-grams of less weight in all categories are left out when documents are scored (held-out results are the same).
-LEAST = 0.01
 
 _markup = re.compile(r"<[^<>]{1,200}>")
 _sentence = re.compile(r"[^。！？!?；\n]+[。！？!?；]*[”」』]?")
@@ -253,7 +251,7 @@ def _judged(m: Model, active: np.ndarray, texts: list[str | None]) -> tuple[np.n
 
 def score_documents(documents: DataFrame, model: Model) -> DataFrame:
     """Per row of ``documents`` (doc_id, source, text) the expected grade of each category and whether the document contains it."""
-    kept = np.flatnonzero(np.abs(model.hashed).max(axis=0) > LEAST)
+    kept = np.flatnonzero(model.hashed.any(axis=0))  # all that the fit gave a weight
     small = (model.dense, model.theta, kept, model.hashed[:, kept])
     schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), *[(c, pa.float64()) for c in CATEGORIES], *[(f"has_{c}", pa.bool_()) for c in CATEGORIES]])
 

@@ -78,3 +78,13 @@ def test_scoring_sees_the_features_of_the_fit():
     best, has = abuse._judged(m, np.ones(abuse.BUCKETS, bool), lines)
     assert np.allclose(best, m.severity(fitted)) and (has == m.contains(fitted)).all()
     assert np.allclose(m.margins(abuse.family_features(lines), owner, buckets), fitted)
+
+
+def test_small_weights_count(spark):
+    """Many n-grams of little weight decide together, as they did in the fit."""
+    m, line = abuse.Model(), "水位上涨后各村连夜加固堤防并转移老人和孩子到高处的学校里"
+    owner, buckets = abuse.ngrams([line])
+    m.hashed[0, buckets] = 0.005
+    m.theta[:] = (0.9 * 0.005 * len(owner), 9.0)
+    docs = spark.createDataFrame([(1, "s", line, "")], COLUMNS)
+    assert _found(abuse.score_documents(docs, m)) == {1: {"abuse"}}
