@@ -117,5 +117,6 @@ def orphan_report(refs: DataFrame, orphans: DataFrame, name: str) -> DataFrame:
     """Per table, period, side and status the orphans, beside all open references of that period and side."""
     period = F.date_format("at", "yyyy-MM").alias("period")
     every = refs.groupBy(period, "side").agg(F.count(F.lit(1)).alias("n_open"))
-    lost = orphans.groupBy(period, "side", "status").agg(F.count(F.lit(1)).alias("n_orphans"), F.approx_count_distinct("key").alias("n_keys"))
+    per_key = orphans.groupBy(period, "side", "status", "key").agg(F.count(F.lit(1)).alias("n"))  # a hot key is one row from here on
+    lost = per_key.groupBy("period", "side", "status").agg(F.sum("n").alias("n_orphans"), F.count("key").alias("n_keys"))
     return lost.join(every, ["period", "side"]).select(F.lit(name).alias("table"), "period", "side", "status", "n_orphans", "n_keys", "n_open")

@@ -54,6 +54,12 @@ def test_orphans_empty(spark):
     assert orphans.orphan_report(refs, orphans.find_orphans(refs, spark.createDataFrame([], NODES)), "t").count() == 0
 
 
+def test_report_counts_keys_exactly(spark, rows):
+    refs = spark.range(3000).selectExpr("id as row_id", "0 as rel_pos", "'head' as side", "concat('k', id % 1500) as key", "timestamp'2025-06-05' as at")
+    report = orphans.orphan_report(refs, orphans.find_orphans(refs, spark.createDataFrame([("k0", "a", at(1), None, "")], NODES)), "t")
+    assert rows(report.select("period", "side", "status", "n_orphans", "n_keys", "n_open")) == [("2025-06", "head", "missing", 2998, 1499, 3000)]
+
+
 def _brute_orphans(d):
     c = duckdb.connect()
     nodes = {}
