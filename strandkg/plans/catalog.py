@@ -9,13 +9,15 @@ from strandkg.functions import text
 from strandkg.operators import chat, context, graph, vector
 from strandkg.operators.bm25 import Bm25Index
 from strandkg.plans import evaluate, rag
-from strandkg.schema import EVENT_ONTOLOGY
+from strandkg.schema import EVENT_ONTOLOGY, Config
 from strandkg.session import table, written
 from strandkg.sources.sinks import graphml_lines
 
 OFFLINE = {"provider": "offline"}
 #: Searches ask with every row whose id is divisible by this.
 EVERY = 50
+#: Of the queries named ..._hops. The SQL of those without it in their name is fixed at one hop.
+HOPS = Config().graph_hops
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -115,6 +117,11 @@ def kg_hop_multi_seed(spark: SparkSession, d: str) -> DataFrame:
     return graph.hop_subgraph(_event_edges(spark, d, {"impact": "has_impact"}), _event_seeds(spark, d), 2)
 
 
+def kg_hop_multi_seed_all(spark: SparkSession, d: str) -> DataFrame:
+    """The configured hops from many events over all relations."""
+    return graph.hop_subgraph(_event_edges(spark, d), _event_seeds(spark, d), HOPS)
+
+
 def kg_triples(spark: SparkSession, d: str) -> DataFrame:
     return graph.triples(kg_hop2(spark, d))
 
@@ -208,21 +215,29 @@ def naive_rag_context(spark: SparkSession, d: str) -> DataFrame:
     return _naive(spark, d).select("qid", "context", "n_lines", "status")
 
 
-def _graph_context(spark: SparkSession, d: str, hits: DataFrame | None = None) -> DataFrame:
+def _graph_context(spark: SparkSession, d: str, hits: DataFrame | None = None, hops: int = 1) -> DataFrame:
     ids = _events(spark, d).where("id is not null and id <> ''").select("seq", F.col("id").alias("event"))
     hits = hits if hits is not None else _event_hits(spark, d, 3)
     seeds = hits.join(ids, F.col("id") == F.col("seq")).select("qid", F.col("event").alias("id"))
-    return rag.graph_context(seeds, _event_edges(spark, d), 1, _questions(spark, d))
+    return rag.graph_context(seeds, _event_edges(spark, d), hops, _questions(spark, d))
 
 
 def graph_rag_context(spark: SparkSession, d: str) -> DataFrame:
     return _graph_context(spark, d).select("qid", "context", "n_lines", "status")
 
 
+def graph_rag_context_hops(spark: SparkSession, d: str) -> DataFrame:
+    return _graph_context(spark, d, hops=HOPS).select("qid", "context", "n_lines", "status")
+
+
 def answer_offline(spark: SparkSession, d: str) -> DataFrame:
     return chat.answer(_graph_context(spark, d), OFFLINE)
 
 
+def answer_offline_hops(spark: SparkSession, d: str) -> DataFrame:
+    return chat.answer(_graph_context(spark, d, hops=HOPS), OFFLINE)
+
+
 def _label_edges(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
     return rows.select(F.concat(F.lit("vec_"), "vec_id").alias("src"), F.lit("has_label").alias("rel"), F.concat(F.lit("label_"), "label").alias("dst"))
@@ -236,9 +251,17 @@ def _node(hits: DataFrame) -> DataFrame:
     return hits.select("qid", F.concat(F.lit("vec_"), "id").alias("id"))
 
 
-def vector_graph_rag_context(spark: SparkSession, d: str) -> DataFrame:
+def _vector_context(spark: SparkSession, d: str, hops: int) -> DataFrame:
     seeds = _node(vector.top_k(*_vectors(spark, d), 1, 0.3))
-    return rag.graph_context(seeds, _label_edges(spark, d), 1, _vector_questions(spark, d)).select("qid", "context", "n_lines", "status")
+    return rag.graph_context(seeds, _label_edges(spark, d), hops, _vector_questions(spark, d)).select("qid", "context", "n_lines", "status")
+
+
+def vector_graph_rag_context(spark: SparkSession, d: str) -> DataFrame:
+    return _vector_context(spark, d, 1)
+
+
+def vector_graph_rag_context_hops(spark: SparkSession, d: str) -> DataFrame:
+    return _vector_context(spark, d, HOPS)
 
 
 def semantic_neighborhood(spark: SparkSession, d: str) -> DataFrame:
@@ -256,12 +279,20 @@ def eval_hit_rate(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.hit_rate(evaluate.hits_gold(_event_hits(spark, d, 1), records, _questions(spark, d)))
 
 
-def qa_comparison(spark: SparkSession, d: str) -> DataFrame:
+def _comparison(spark: SparkSession, d: str, hops: int) -> DataFrame:
     hits = written(_event_hits(spark, d, 3), "hits")
-    made = evaluate.compare(_questions(spark, d), _naive(spark, d, hits), _graph_context(spark, d, hits), OFFLINE)
+    made = evaluate.compare(_questions(spark, d), _naive(spark, d, hits), _graph_context(spark, d, hits, hops), OFFLINE)
     return made.select("question", "graphrag_answer", "baseline_answer", "baseline_context_len", "graph_context_triples")
 
 
+def qa_comparison(spark: SparkSession, d: str) -> DataFrame:
+    return _comparison(spark, d, 1)
+
+
+def qa_comparison_hops(spark: SparkSession, d: str) -> DataFrame:
+    return _comparison(spark, d, HOPS)
+
+
 def extract_parse(spark: SparkSession, d: str) -> DataFrame:
     """Replies that are extraction results, and replies that are no JSON."""
     log = table(spark, d, "results_extraction")
@@ -302,6 +333,7 @@ _FUNCTIONS = (
     kg_edges_events, kg_nodes_events, kg_graph_size, kg_edges_orders, kg_falsy_skip, kg_last_write_wins, kg_neighbors_out, kg_neighbors_in, kg_hop0, kg_hop1, kg_hop2, kg_hop3,
     kg_hop_multi_seed, kg_triples, kg_context_arrow, kg_context_bullets, kg_graphml, text_concat, bm25_tokens, bm25_stats, bm25_idf, bm25_topk_batch, bm25_top1, vec_cosine,
     vec_topk_threshold, vec_topk_batch, vec_threshold_all, naive_rag_context, graph_rag_context, answer_offline, vector_graph_rag_context, semantic_neighborhood, sentinel_no_hit,
+    kg_hop_multi_seed_all, graph_rag_context_hops, answer_offline_hops, vector_graph_rag_context_hops, qa_comparison_hops,
     eval_hit_rate, qa_comparison, extract_parse, extract_entity_graph, extract_offline, graph_upsert, graph_upsert_edges, graph_upsert_idempotent, chat_messages,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
