@@ -51,22 +51,19 @@ def fingerprints(texts: list[str], k: int = K, shared: int = SHARED) -> tuple[np
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(texts)), np.diff(starts))[:n]
     crosses = np.arange(n) + k > starts[owner + 1]
-    valued = np.where(crosses, np.uint64(2**64 - 1), hashes)
-    # The smallest of each w in a row, by doubling; where it stands is found again by comparing.
+    # High half of the hash, then the position from the end: the smallest of a window is its rightmost smallest hash, wherever the window lies.
+    low = np.uint64(2**32 - 1)
+    valued = np.where(crosses, np.uint64(2**64 - 1), (hashes & ~low) | (low - np.arange(n, dtype=np.uint64)))
+    # The smallest of each w in a row, by doubling.
     width, least = 1, valued
     while width * 2 <= w:
         least = np.minimum(least[: len(least) - width], least[width:])
         width *= 2
     least = np.minimum(least[: n - w + 1], least[w - width : w - width + n - w + 1])
     inside = np.arange(n - w + 1) + w - 1 + k <= starts[owner[: n - w + 1] + 1]
-    # A position is kept when it is the least of some window that lies inside its text: the windows that begin at p-w+1 ... p.
+    # A position is kept when it is the least of some window that lies inside its text: of every window, so that repeated text keeps what the same text elsewhere keeps.
     kept = np.zeros(n, bool)
-    windows = np.flatnonzero(inside)
-    changed = windows[np.concatenate([[True], (least[windows[1:]] != least[windows[:-1]]) | (np.diff(windows) > 1)])] if len(windows) else windows
-    for first in np.array_split(changed, max(1, len(changed) // 50_000 + 1)):
-        if len(first):
-            around = valued[first[:, None] + np.arange(w)[None, :]]
-            kept[first + (w - 1 - np.argmin(around[:, ::-1], axis=1))] = True  # the rightmost of equal ones
+    kept[(low - (least[inside] & low)).astype(np.int64)] = True
     at = np.flatnonzero(kept)
     return owner[at], at - starts[owner[at]], hashes[at]
 

@@ -60,3 +60,20 @@ def test_empty_tables(spark):
 
 def test_letters():
     assert leak.letters("Ａ-b，。 １中　") == "ab1中" and leak.letters(None) == ""
+
+
+def test_spans_in_periodic_text(spark):
+    """A span that begins in text repeated every few letters is found, as it is kept wherever it lies."""
+    import random
+
+    r = random.Random(5)
+    word = lambda n: "".join(chr(r.randrange(0x4E00, 0x9FA0)) for _ in range(n))
+    documents, passages = [], []
+    for i in range(60):
+        unit = word(r.choice([6, 12, 20, 30]))
+        text = (unit * 60)[: r.randrange(90, 200)] + word(40)
+        at = r.randrange(20, len(text) - 60)
+        documents.append((i, word(5) + text))
+        passages.append((i, word(9) + text[at : at + 60] + word(9)))
+    docs, items = spark.createDataFrame(documents, "doc_id long, text string"), spark.createDataFrame(passages, "item_id long, passage string")
+    assert {(i, i) for i in range(60)} <= {tuple(x) for x in leak.find_leaks(docs, items).collect()}
