@@ -69,3 +69,9 @@ def test_graph_contexts_of_the_configured_hops(spark, small):
     labels = [(f"vec_{r['vec_id']}", "has_label", f"label_{r['label']}") for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()]
     best = {r["qid"]: f"vec_{r['id']}" for r in q["vec_topk_batch"](spark, small).collect() if r["rank"] == 1}
     assert {r["qid"]: r["context"].split("\n") for r in q["vector_graph_rag_context_hops"](spark, small).collect()} == {k: _around(labels, [v], 2) for k, v in best.items()}
+
+
+def test_hit_rate_over_all_questions(spark, duck, small):
+    sql = entry.oracle_sql()["eval_hit_rate"].replace("where cast(substr(qid, 2) as bigint) % 50 = 0", "")
+    assert tuple(entry.queries()["eval_hit_rate_all"](spark, small).first()) == duck.execute(sql).fetchone()
+    assert duck.execute(sql).fetchone()[0] == spark.read.parquet(f"{small}/qa_eval.parquet").count()
