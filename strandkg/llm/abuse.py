@@ -1,24 +1,23 @@
 """Abusive, hateful and sexual content (problem 10).
 
-Per category a cumulative-link ordinal regression predicts a grade: 0 none, 1 the document contains it, 2 it contains it beside other categories.
-P(grade >= k) = logistic(w.x - theta_k) with one weight vector ``w`` for all thresholds; the score of a sentence is its expected grade, that of a document the
-highest of its sentences. Features are sparse: families of expressions (below) with their combinations, and hashed character n-grams.
+Per category a cumulative-link ordinal regression predicts how severely a document offends: 0 not at all, 1 in one sentence, 2 in several.
+P(grade >= k) = logistic(w.x - theta_k) with one weight vector ``w`` for both thresholds; the severity put out is the expected grade. ``x`` are sparse features only: hashed character
+n-grams of the document's two telling sentences (the second only where it offends by itself), and a few cues of form. There are no word lists and no prior weights: what offends is learned from the labels.
 
-Labels are few and belong to documents, so the fit is multiple-instance: in each round a document is represented by the sentence that scores highest, then the
-weights are fitted (maximum a posteriori: the families have prior weights, the n-grams prior 0), and the sentences are chosen anew. In the first round a sentence also gains by the share of its n-grams that no
-clean document has, so that expressions of no family are learned when several documents show them. The fit takes at most ``MAX_LABELLED`` labelled
-documents (chosen by a hash of their id) to the driver; all documents are scored, whole, each where it is: no shuffle, so no hot source.
+Labels are few and belong to documents, so the fit is multiple-instance. A document that lacks the category is represented by the sentences that look worst, mined round by round; one that has it by the sentence of highest
+score and, where another one reaches the first threshold too, by both, which makes it a document of grade 2. Before any weights exist a sentence scores by the share of its n-grams that no document
+without the category has. Only n-grams of documents with a category have weights, so the model stays small. The fit takes at most ``MAX_LABELLED`` labelled documents (chosen by
+a hash of their id) to the driver; all documents are scored, whole, each where it is: no shuffle, so no hot source.
 
-Texts are read as a reader would: markup, width and invisible characters taken out, marks put between the characters of a word removed, figures standing for letters read as letters.
+Texts are read as a reader would: markup, accents, width and invisible characters taken out, quoted words left out, marks put between the characters of a word removed, figures standing for letters read as letters.
 
-Null and blank texts score 0. Undecided (null) labels and labels of unknown documents are left out; without labels the prior weights alone decide. Repeated documents and labels count each.
+Null and blank texts score 0 and contain nothing. Undecided (null) labels and labels of unknown documents are left out; without labels nothing is found. Repeated documents and labels count each.
 """
 
 from __future__ import annotations
 
 import html
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,44 +26,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandkg.llm.textarrays import blocks, code_points, distinct, window_hashes
+from strandkg.llm.textarrays import blocks, code_points, window_hashes
 
 CATEGORIES = ("abuse", "hate", "sexual")
-MAX_LABELLED = 4000
-BUCKETS = 1 << 18
-NGRAMS = (2, 3, 4)
-
-# Families of expressions, one regular expression each, over text as ``readable`` gives it.
-FAMILIES = {
-    "insult": r"白痴|傻子|傻[逼叉瓜]|煞笔|沙比|蠢货|蠢猪|废物|饭桶|人渣|混账|混蛋|王八蛋|王八羔子|贱货|贱人|狗东西|狗杂种|杂种|畜生|猪脑子|猪头|脑残|智障|弱智|垃圾玩意|玩意儿?$|癞蛤蟆|败类|窝囊废|\bidiots?\b|\bmorons?\b|\bimbeciles?\b|\bcretins?\b|\bscumbags?\b|\bscum\b|\blosers?\b|\bstupid pigs?\b|\bpigs\b|\bbrain-?dead\b|\bclowns?\b|\bbastards?\b|\bbitch(?:es)?\b|\bassholes?\b|\bdickheads?\b|\bmaggots?\b|\bretards?\b|\bdumb\w*\b|\bworthless\b|\bpathetic\b|\bfuck\w*\b",
-    "attack": r"\bw?cnmb?\b|\bnmsl\b|\btmd\b|\brnm\b|\bstfu\b|\bkys\b|吃屎|死全家|死妈|(?<!妈)妈的|特么|higher iq|\biq than you|操你|草泥马|尼玛|他妈的|你妈(?:生你|死|的)|你娘|你祖宗|祖宗的脸|没爹教|没爹没娘|有娘生|滚犊子|(?:赶紧|快|都)滚|滚(?:回|出|开|远|蛋|吧)|去死|全家都该|全家死|不得好死|打断你|弄死你|打死你|砍死|非打断|跳下去|给大家省|闭上你的|丢人现眼|回家哭去|抬举你|看见就想吐|看一眼都恶心|还有脸|除了吃还会|拿着工资装死|脑子扔|(?:养条)?狗都比|智商还没|才信|长得跟|shut up|\bgo to hell\b|\bget lost\b|\bdrop dead\b|\brot\b|\bhope you (?:choke|die|drown|rot|suffer|burn)|\bkill yourself\b|\bjump off\b|\bdo us a favou?r\b|\bdrowned you\b|\bbreak (?:his|her|your|their) (?:teeth|neck|legs?|arms?|jaw)|\bi will (?:find|hunt|kill|hurt)\b|\bnobody asked you\b|\bwhat a bunch of\b|\bwhoever runs\b|\byour mother\b",
-    "contempt": r"血都脏|天生就是|不是好种|低等(?:货色|人|种)?|下等(?:人|货色)?|劣等|跟(?:牲口|畜生|老鼠|蟑螂)没|清除干净|赶尽杀绝|斩草除根|全赶出去|都赶出去|滚出去|一个不留|寄生虫|蝗虫|见一个.{1,8}打一个|淹死活该|死(?:光|绝)|不配(?:领|活|住|进|做)|\bsubhumans?\b|\bvermin\b|\bbreed like\b|\bdeserve to (?:drown|die|starve|suffer)|\bin their blood\b|\bdriven out\b|\bwiped? out\b|\bwill rob you\b|\bparasites?\b|\bnot human\b|\binferior (?:race|people|breed)|\bkeep the \w+(?: \w+)? out\b|\bexterminate\b|\bsend them (?:back|away)\b|\bdirty blood\b|\blike (?:animals|cockroaches)\b",
-    "group": r"[一-鿿]{1,2}(?:岭外|坝下|南岸|北岸|上游|下游|山里|外乡|外地)[人佬客帮]|岭外人|坝下人|南岸佬|滩民|渡口帮|客船户|[一-鿿][佬帮]|他们|这帮|这些|\b(?:those|these|all|the) (?:lowbank|highbank|hill|river|ferry|marsh|island|up|down)\w*(?: (?:people|folk|men))?|\b\w*(?:bankers|men|folk|landers|dwellers)\b|\bferry people\b|\bthey are\b|\btheir\b",
-    "explicit": r"做爱|性爱|激情戏|床戏|裸聊|裸照|约炮|一夜情|成人视频|成人影片|黄片|毛片|色情片|脱光|脱到|一丝不挂|无码|包夜|叫床|口交|援交|\bporn\w*\b|\bxxx\b|\bnaked girls?\b|\bnudes?\b|\brough sex\b|\bsex\b|\bblow ?jobs?\b|\bhorny\b|\borgasm\w*\b|\bstrip(?:ped|s)? naked\b|\btore off (?:their|her|his) clothes\b|\bmade love\b",
-    "solicit": r"随时约|姿势随你|随你挑|加我|私信|点头像|成人限定|资源打包|直播中|上门(?!.{0,6}(?:登记|排查|服务|走访|慰问|核实))|寂寞|小姐姐|全套|\badults only\b|\blink in bio\b|\bmessage me\b|\bon cam\b|\bany position\b|\bno-?strings\b|\blonely tonight\b|\bcall me tonight\b|\bfree\b.{0,12}\bclips\b|\bhot\b.{0,10}\bgirls\b|到天亮|\buntil morning\b|在床上",
-    "address": r"你|您|楼上|这届|那个|这个|一帮|一群|这帮|你们|祖宗|发帖|写通报|剪视频|站长|防汛办|说的就是|就是|真是|\byou\b|\byour\b|\bwhoever\b|\beditor\b|\bthis page\b",
-    "report": r"谣言|核查|辱骂|删除|道歉|批评|歧视|认为|志书|旧志|讲解员|据.{0,6}(?:报道|转述)|报告|讲座|教育|手册|患者|处理站|稻草人|造型|登记|诊所|门诊|医院|转移到|生猪|性别比|屠宰|\bmoderators?\b|\bremoved\b|\binsulting comments\b|\bclinic\b|\bhealth\b|\breported\b|\baccording to\b|\bhistorian\b|\bcriticis\w+|\bcritici[sz]\w+|\brumou?rs?\b|\bsows\b|\bhead in all\b|\brock\b|\bsurge\b",
-    "figures": r"\d",
-}
-_names = tuple(FAMILIES)
-_families = [re.compile(p) for p in FAMILIES.values()]
-#: Per family a pattern of linear time (no look-around, no word ends) that matches wherever the family's does.
-_WIDE = [re.sub(r"\(\?<?!(?:[^()]|\([^()]*\))*\)|\\b|\$", "", p).replace(r"\w", "(?s:.)") for p in FAMILIES.values()]
-_any = re.compile("|".join(f"(?:{FAMILIES[k]})" for k in ("insult", "attack", "contempt", "explicit", "solicit")))
-#: Features made of families: their names and how they follow from a sentence.
-FEATURES = (*_names, "insult+address", "attack+address", "insult alone", "insult+attack", "two attacks", "contempt+group", "two contempts", "explicit+solicit", "two explicits", "two solicits")
-
-# Prior weights per category, in the order of nothing but their names; what is missing is 0.
-PRIOR = {
-    "abuse": {"insult": 1.0, "attack": 3.6, "insult+address": 2.2, "insult alone": 3.5, "insult+attack": 1.5, "attack+address": 0.8, "two attacks": 1.5, "contempt": -0.5, "report": -3.0, "figures": -1.0, "address": 0.2},
-    "hate": {"contempt": 3.2, "contempt+group": 1.5, "two contempts": 2.0, "group": 0.2, "attack": -0.5, "report": -3.0, "figures": -1.0, "insult": -0.2},
-    "sexual": {"explicit": 2.8, "explicit+solicit": 2.0, "two explicits": 1.5, "two solicits": 2.6, "solicit": 0.5, "report": -2.5, "figures": -0.8},
-}
-THETA = (2.6, 4.6)
-#: Of the fit: step, pull towards the prior, weight of clean documents.
-RATE, DECAY, CLEAN = 2.0, 0.005, 3.0
-
-_markup = re.compile(r"<[^<>]{1,200}>")
+MAX_LABELLED = 6000
+BITS = 20
+NGRAMS = (1, 2, 3, 4, 6)
+#: Cues of form: patterns of linear time over readable sentences.
+CUES = (r"[0-9]", r"[!?]", r"你|您|\byou\b|\byour\b", r"[a-z]", r"^.{0,12}$")
+#: Starting thresholds, the least the first one may become (so that a sentence of unknown n-grams alone is never found), and the pull of the weights towards 0.
+THETA, LOWEST, DECAY = (1.0, 4.0), 0.3, 2e-5
+#: Of the fit: rounds of mining, sentences mined in a round for each document with the category (and as a least number), steps in a round.
+ROUNDS, MINED, LEAST, STEPS = 4, 2, 500, 120
+
+_markup = re.compile(r"<[^<>]*>")
 _sentence = re.compile(r"[^。！？!?；\n]+[。！？!?；]*[”」』]?")
 _english = re.compile(r"(?<=[a-z0-9)\"'][.;])\s+")
 _quoted = re.compile(r"[“\"「『«][^“”\"「」『』«»]*[”\"」』»]")
@@ -72,157 +47,207 @@ _between = re.compile(r"(?<=[一-鿿])[\s./\\丶·•|~^*_、\-–—]{1,2}(?=[
 _spelled = re.compile(r"(?<![^\W_])(?:[^\W_][\-.*_ /·]){2,}[^\W_](?![^\W_])")
 _leet = str.maketrans("013457@$!", "oieastasi")
 _leet_word = re.compile(r"(?<![\w@$])(?=[a-z0-9@$!-]*[a-z])(?=[a-z0-9@$!-]*[0134579@$])[a-z0-9@$!]+(?![\w@$])")
-
-
-def _unbroken(text: str) -> str:
-    """Marks between single Chinese characters removed; a comma of the text itself stays, as it is none of these marks, save one between two characters that makes a word of ``_any``."""
-    if not _between.search(text):
-        return text
-    joined = _between.sub("", text)
-    return joined if len(_any.findall(joined)) > len(_any.findall(text)) else text
+#: What ``_unmasked`` may change: a pattern of linear time (no look-around), wider than its own.
+_MASKED = r"\p{Han}[\s./\\丶·•|~^*_、–—-]{1,2}\p{Han}|(?:^|[^a-z0-9])[a-z0-9](?:[-.*_ /·][a-z0-9]){2,}|[a-z][!0134579@$]|[0134579@$][a-z]"
+_QUOTES = "[“\"「『«]"
 
 
 def _unmasked(text: str) -> str:
-    text = _unbroken(text)
+    text = _between.sub("", text)
     text = _spelled.sub(lambda m: re.sub(r"[\-.*_ /·]", "", m[0]) if re.search("[a-z]", m[0]) else m[0], text)
     return _leet_word.sub(lambda m: m[0].translate(_leet), text)
 
 
-def readable(sentence: str) -> str:
-    """One sentence as a reader takes it."""
-    return readable_all([sentence])[0]
-
-
-#: What ``_unmasked`` may change: a pattern of linear time (no look-around), wider than its own.
-_MASKED = r"\p{Han}[\s./\\丶·•|~^*_、–—-]{1,2}\p{Han}|(?:^|[^a-z0-9])[a-z0-9](?:[-.*_ /·][a-z0-9]){2,}|[a-z][!0134579@$]|[0134579@$][a-z]"
+def _own_words(text: str) -> str:
+    own = _quoted.sub(" ", text)  # what is quoted are not the author's words, unless all is
+    return own if len(own.strip(" 。,.")) * 3 > len(text) else text
 
 
 def readable_all(lines: list[str]) -> list[str]:
-    """Sentences as a reader takes them: width, case and invisible characters for all at once, masked words where there may be some."""
-    folded = pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(pc.utf8_normalize(pa.array(lines, pa.string()), "NFKC")), r"[\p{Mn}\p{Cf}]", ""))
+    """Sentences as a reader takes them: width, case, accents and invisible characters for all at once, the rest where there may be something to do."""
+    folded = pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(pc.utf8_normalize(pa.array(lines, pa.string()), "NFKD")), r"[\p{Mn}\p{Cf}]", ""))
     out = folded.to_pylist()
-    for i in np.flatnonzero(pc.match_substring_regex(folded, _MASKED).to_numpy(zero_copy_only=False)):
-        out[i] = _unmasked(out[i])
+    for pattern, change in ((_QUOTES, _own_words), (_MASKED, _unmasked)):
+        for i in np.flatnonzero(pc.match_substring_regex(folded, pattern).to_numpy(zero_copy_only=False)):
+            out[i] = change(out[i])
     return out
 
 
 def sentences(text: str | None) -> list[str]:
+    """The sentences of a text; none of a null or blank one."""
     if not text:
         return []
     plain = _markup.sub(" ", html.unescape(text)) if "<" in text or "&" in text else text
     return [s for part in _sentence.findall(plain) for s in _english.split(part) if s.strip()]
 
 
-def _own_words(text: str) -> str:
-    own = _quoted.sub(" ", text)  # what is quoted are not the author's words, unless all is
-    return own if len(own.strip(" 。,.")) * 3 > len(text) else text
+def cues(lines: list[str]) -> np.ndarray:
+    """The cues of form of readable sentences, a row each."""
+    column = pa.array(lines, pa.string())
+    return np.stack([pc.match_substring_regex(column, p).to_numpy(zero_copy_only=False) for p in CUES], axis=1).astype(np.float32)
 
 
-def family_features(lines: list[str]) -> np.ndarray:
-    """The features of readable sentences, one row each; the fit and the scoring both take them from here. Only what a family's wide pattern lets through is counted one by one."""
-    texts = [_own_words(t) for t in lines]
-    column, n, letters = pa.array(texts, pa.string()), {}, np.zeros(len(texts), bool)
-    for k, pattern, wide in zip(_names, _families, _WIDE, strict=True):
-        n[k] = np.zeros(len(texts), np.int64)
-        at = np.arange(len(texts)) if k == "figures" else np.flatnonzero(pc.match_substring_regex(column, wide).to_numpy(zero_copy_only=False))
-        if k in ("group", "address", "report", "figures"):  # only whether there is one matters
-            n[k][at] = [pattern.search(texts[i]) is not None for i in at]
-        else:
-            n[k][at] = [len(pattern.findall(texts[i])) for i in at]
-    for i in np.flatnonzero(n["insult"]):
-        letters[i] = sum(len(m[0]) for m in _families[0].finditer(texts[i])) * 2 > len(texts[i].strip(" 。!！?？."))
-    has = {k: v > 0 for k, v in n.items()}
-    extra = [has["insult"] & has["address"], has["attack"] & has["address"], letters, has["insult"] & has["attack"], n["attack"] > 1, has["contempt"] & has["group"], n["contempt"] > 1, has["explicit"] & has["solicit"], n["explicit"] > 1, n["solicit"] > 1]
-    return np.stack([*has.values(), *extra], axis=1).astype(np.float32)
-
-
-def ngrams(texts: list[str], active: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, bucket) of the distinct hashed n-grams of readable sentences, in the order of the texts; only buckets that are ``active``, where given."""
-    points, starts = code_points(texts)
-    owner = np.repeat(np.arange(len(texts)), np.diff(starts))
-    keys = []
+def ngrams(lines: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per length of n-gram (sentence, bucket) of each place where one begins. Figures are all alike."""
+    points, starts = code_points(lines)
+    points = np.where((points > 48) & (points < 58), np.uint32(48), points)
+    owner = np.repeat(np.arange(len(lines), dtype=np.int32), np.diff(starts))
     for k in NGRAMS:
-        h = window_hashes(points, k)
-        bucket = (h >> np.uint64(46)).astype(np.int64)
-        inside = np.arange(len(h)) + k <= starts[owner[: len(h)] + 1]
-        if active is not None:
-            inside &= active[bucket]
-        keys.append(owner[: len(h)][inside] * BUCKETS + bucket[inside])
-    both = distinct(np.concatenate(keys))
-    return both // BUCKETS, both % BUCKETS
+        bucket = (window_hashes(points, k) >> np.uint64(64 - BITS)).astype(np.int32)
+        at = owner[: len(bucket)]
+        inside = np.flatnonzero(np.arange(len(bucket)) + k <= starts[at + 1])
+        yield at[inside], bucket[inside]
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _scale(lines: list[str]) -> np.ndarray:
+    """What a sentence's n-grams are multiplied by, so that long ones don't outweigh short ones."""
+    return 1 / np.sqrt(np.maximum(4, [len(t) for t in lines]))
+
+
 class Model:
-    """Weights per category: families (dense), n-grams (hashed), thresholds."""
+    """Weights per category of cues and hashed n-grams, and two thresholds each."""
 
     def __init__(self) -> None:
-        self.dense = np.array([[PRIOR[c].get(f, 0.0) for f in FEATURES] for c in CATEGORIES])
-        self.hashed = np.zeros((len(CATEGORIES), BUCKETS), np.float32)
+        self.dense = np.zeros((len(CUES), len(CATEGORIES)))
+        self.hashed = np.zeros((1 << BITS, len(CATEGORIES)), np.float32)
         self.theta = np.array([THETA] * len(CATEGORIES), float)
 
-    def margins(self, dense: np.ndarray, owner: np.ndarray, buckets: np.ndarray) -> np.ndarray:
-        """w.x of each sentence and category."""
-        out = dense @ self.dense.T
+    def margins(self, lines: list[str]) -> np.ndarray:
+        """w.x of each readable sentence and category; every n-gram with a weight counts."""
+        out = np.zeros((len(lines), len(CATEGORIES)))
+        for at, bucket in ngrams(lines):
+            weights = self.hashed[bucket]
+            for c in range(len(CATEGORIES)):
+                out[:, c] += np.bincount(at, weights[:, c], len(lines))
+        return out * _scale(lines)[:, None] + cues(lines) @ self.dense
+
+    def judge(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Per text the expected grades, and whether a sentence offends: grade 1 or more is then the likelier."""
+        split = [sentences(t) for t in texts]
+        owner = np.repeat(np.arange(len(texts)), [len(s) for s in split])
+        severity, has = np.zeros((len(texts), len(CATEGORIES))), np.zeros((len(texts), len(CATEGORIES)), bool)
+        if not len(owner):
+            return severity, has
+        margins = self.margins(readable_all([s for found in split for s in found]))
+        some = np.unique(owner)
         for c in range(len(CATEGORIES)):
-            out[:, c] += np.bincount(owner, self.hashed[c][buckets], len(dense))
-        return out
-
-    def severity(self, margins: np.ndarray) -> np.ndarray:
-        """Expected grades."""
-        return sum(_logistic(margins - self.theta[:, k]) for k in range(2))
-
-    def contains(self, margins: np.ndarray) -> np.ndarray:
-        """Whether grade 1 or more is the likelier."""
-        return margins >= self.theta[:, 0]
-
-    def fit(self, texts: list[str], labels: list[str], rounds: int = 3, steps: int = 100) -> Model:
+            order = np.lexsort((-margins[:, c], owner))
+            first = np.searchsorted(owner, some)
+            one = margins[order[first], c]
+            second = np.minimum(first + 1, len(owner) - 1)
+            two = np.where(owner[order[second]] == some, margins[order[second], c], -np.inf)
+            latent = one + np.where((second > first) & (two >= self.theta[c, 0]), np.maximum(two, 0), 0)
+            severity[some, c] = sum(_logistic(latent - t) for t in self.theta[c])
+            has[some, c] = one >= self.theta[c, 0]
+        return severity, has
+
+    def fit(self, texts: list[str], labels: list[str]) -> Model:
         """``labels``: ``none`` or categories joined by ``+``."""
-        bags = [readable_all(sentences(t)) or [""] for t in texts]
-        flat = [s for b in bags for s in b]
+        bags = [sentences(t) or [" "] for t in texts]
+        lines = readable_all([s for b in bags for s in b])
         bag = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-        dense = family_features(flat)
-        owner, buckets = ngrams(flat)
-        edges = np.searchsorted(owner, np.arange(len(flat) + 1))
         named = [set(x.split("+")) & set(CATEGORIES) for x in labels]
+        dirty = np.array([bool(x) for x in named])[bag]
+        # The n-grams of documents with a category, numbered; sentences as rows of them.
+        parts = list(ngrams(lines))
+        kept = np.unique(np.concatenate([b[dirty[a]] for a, b in parts]))
+        number = np.full(1 << BITS, -1, np.int32)
+        number[kept] = np.arange(len(kept))
+        owner, gram = np.concatenate([a for a, _ in parts]), number[np.concatenate([b for _, b in parts])]
+        size = np.bincount(owner, minlength=len(lines))
+        owner, gram = owner[gram >= 0], gram[gram >= 0]
+        order = np.argsort(owner, kind="stable")
+        owner, gram = owner[order], gram[order]
+        edges = np.searchsorted(owner, np.arange(len(lines) + 1))
+        rows = _Rows(gram, edges, _scale(lines), cues(lines), len(kept))
         for c, category in enumerate(CATEGORIES):
-            grade = np.array([0 if category not in x else 1 + (len(x) > 1) for x in named])
-            prior = self.dense[c].copy()
-            clean = np.zeros(BUCKETS, bool)
-            clean[buckets[(grade[bag] == 0)[owner]]] = True
-            unseen = np.bincount(owner, ~clean[buckets], len(flat)) / np.maximum(1, np.bincount(owner, minlength=len(flat)))
-            for turn in range(rounds):
-                scores = dense @ self.dense[c] + np.bincount(owner, self.hashed[c][buckets], len(flat))
-                if turn == 0:
-                    scores = scores + 4 * unseen * (grade[bag] > 0)
-                best = np.lexsort((-scores, bag))
-                first = best[np.concatenate([[True], bag[best][1:] != bag[best][:-1]])]
-                self._steps(c, dense[first], [buckets[edges[i] : edges[i + 1]] for i in first], grade, prior, steps)
+            has = np.array([category in x for x in named])
+            clean = np.zeros(len(kept), bool)
+            clean[gram[~has[bag][owner]]] = True
+            unseen = np.bincount(owner, ~clean[gram], len(lines)) / np.maximum(1, size)
+            w, v = self._rounds(c, rows, bag, has, unseen)
+            self.dense[:, c], self.hashed[kept, c] = w, v
         return self
 
-    def _steps(self, c: int, x: np.ndarray, grams: list[np.ndarray], grade: np.ndarray, prior: np.ndarray, steps: int) -> None:
-        """Gradient ascent of the penalised likelihood. Clean documents are many: together they weigh ``CLEAN`` times as much as the others."""
-        flat, owner = np.concatenate(grams), np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        scale = 1 / np.sqrt(np.maximum(1, [len(g) for g in grams]))[owner]  # so that long sentences don't outweigh short ones
-        n, dirty = len(grade), max(1, int((grade > 0).sum()))
-        weight = np.where(grade > 0, 1.0, min(1.0, CLEAN * dirty / max(1, n - dirty)))
-        total = max(10.0, weight.sum())
-        w, v, theta = self.dense[c], self.hashed[c].astype(float), self.theta[c]
-        for _ in range(steps):
-            s = x @ w + np.bincount(owner, v[flat], n)
-            p1, p2 = _logistic(s - theta[0]), _logistic(s - theta[1])
-            slope = weight * np.where(grade == 0, -p1, np.where(grade == 1, 1 - p1 - p2, 1 - p2))
-            gap = np.maximum(p1 - p2, 1e-6)
-            lower = weight * np.where(grade == 0, p1, np.where(grade == 1, -p1 * (1 - p1) / gap, 0))
-            upper = weight * np.where(grade == 1, p2 * (1 - p2) / gap, np.where(grade == 2, -(1 - p2), 0))
-            w += RATE * (x.T @ slope / total - DECAY * (w - prior))
-            v += RATE * (np.bincount(flat, slope[owner] * scale, BUCKETS) / total - DECAY * v)
-            theta += 0.2 * (np.array([lower.sum(), upper.sum()]) / total - 0.1 * (theta - THETA))
-            theta[1] = max(theta[1], theta[0] + 0.5)
-        self.hashed[c] = v
+    def _rounds(self, c: int, rows: _Rows, bag: np.ndarray, has: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w, v, theta = np.zeros(len(CUES)), np.zeros(rows.width), np.array(THETA, float)
+        self.theta[c] = theta
+        if not has.any():
+            return w, v
+        mined = np.zeros(len(bag), bool)
+        for turn in range(ROUNDS):
+            best = np.lexsort((-scores, bag))
+            first = np.searchsorted(bag, np.arange(len(has)))
+            one, second = best[first], best[np.minimum(first + 1, len(bag) - 1)]
+            worst = one[~has & ~mined[one]]
+            worst = worst[np.argsort(-scores[worst], kind="stable")]
+            mined[worst[: max(LEAST, MINED * int(has.sum()))]] = True
+            both = has & (bag[second] == np.arange(len(has))) & (second != one) & (turn > 0) & (scores[second] >= theta[0])
+            hit, bad = one[has], np.flatnonzero(mined)
+            extra = np.where(both[has], second[has], -1)
+            x = rows.take(np.concatenate([hit, bad]), np.concatenate([extra, np.full(len(bad), -1)]))
+            grade = np.concatenate([1 + both[has], np.zeros(len(bad), int)])
+            w, v = _ascend(x, grade, w, v, theta)
+            scores = rows.dot(w, v)
+        self.theta[c] = theta
+        return w, v
+
+
+class _Rows:
+    """Sentences as sparse rows of numbered n-grams, scaled, beside their cues."""
+
+    def __init__(self, gram: np.ndarray, edges: np.ndarray, scale: np.ndarray, dense: np.ndarray, width: int) -> None:
+        self.gram, self.edges, self.scale, self.dense, self.width = gram, edges, scale, dense, width
+        self.owner = np.repeat(np.arange(len(scale)), np.diff(edges))
+
+    def dot(self, w: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.owner, v[self.gram], len(self.scale)) * self.scale + self.dense @ w
+
+    def take(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(owner, n-gram, value, cues) of documents that are the sum of one sentence and, where not -1, a second one."""
+        who = np.concatenate([np.arange(len(first)), np.flatnonzero(second >= 0)])
+        what = np.concatenate([first, second[second >= 0]])
+        n = self.edges[what + 1] - self.edges[what]
+        at = np.repeat(self.edges[what] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        dense = np.zeros((len(first), self.dense.shape[1]))
+        np.add.at(dense, who, self.dense[what])
+        return np.repeat(who, n), self.gram[at], np.repeat(self.scale[what], n), dense
+
+
+def _ascend(x: tuple, grade: np.ndarray, w: np.ndarray, v: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Accelerated gradient ascent of the penalised likelihood from ``w`` and ``v``; ``theta`` is changed in place."""
+    owner, gram, value, dense = x
+    used, gram = np.unique(gram, return_inverse=True)
+    n = len(grade)
+    weight = 1 / n
+    length = float(np.bincount(owner, value * value, n).max(initial=1.0)) + dense.shape[1]
+    step = 4 / max(1.0, length)
+    here = np.concatenate([w, v[used], theta])
+    last, ahead = here.copy(), here.copy()
+    a, b = len(w), len(w) + len(used)
+    start = np.concatenate([np.zeros(b), THETA])
+    pull = np.concatenate([np.full(b, DECAY), [0.01, 0.01]])
+    for turn in range(STEPS):
+        s = dense @ ahead[:a] + np.bincount(owner, value * ahead[a:b][gram], n)
+        p1, p2 = _logistic(s - ahead[b]), _logistic(s - ahead[b + 1])
+        gap = np.maximum(p1 - p2, 1e-6)
+        slope = weight * np.where(grade == 0, -p1, np.where(grade == 1, 1 - p1 - p2, 1 - p2))
+        lower = weight * np.where(grade == 0, p1, np.where(grade == 1, -p1 * (1 - p1) / gap, 0))
+        upper = weight * np.where(grade == 1, p2 * (1 - p2) / gap, np.where(grade == 2, -(1 - p2), 0))
+        rise = np.concatenate([dense.T @ slope, np.bincount(gram, value * slope[owner], len(used)), [lower.sum(), upper.sum()]])
+        here = ahead + step * (rise - pull * (ahead - start)) * np.concatenate([np.full(b, 1.0), [0.2, 0.2]])
+        here[b] = max(here[b], LOWEST)
+        here[b + 1] = max(here[b + 1], here[b] + 0.5)
+        ahead = here + turn / (turn + 3) * (here - last)
+        last = here
+    v = v.copy()
+    v[used] = here[a:b]
+    theta[:] = here[b:]
+    return here[:a], v
 
 
 def train(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
@@ -233,40 +258,22 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) ->
     return Model().fit([r["text"] for r in rows], [r["category"] for r in rows]) if rows else Model()
 
 
-def _judged(m: Model, active: np.ndarray, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The highest expected grades of the sentences of each text, and whether one contains the category."""
-    best, has = np.zeros((len(texts), 3)), np.zeros((len(texts), 3), bool)
-    lines, owner = [], []
-    for i, text in enumerate(texts):
-        found = sentences(text)
-        lines += found
-        owner += [i] * len(found)
-    if lines:
-        lines = readable_all(lines)
-        margins = m.margins(family_features(lines), *ngrams(lines, active))
-        np.maximum.at(best, np.array(owner), m.severity(margins))
-        np.logical_or.at(has, np.array(owner), m.contains(margins))
-    return best, has
-
-
 def score_documents(documents: DataFrame, model: Model) -> DataFrame:
     """Per row of ``documents`` (doc_id, source, text) the expected grade of each category and whether the document contains it."""
-    kept = np.flatnonzero(model.hashed.any(axis=0))  # all that the fit gave a weight
-    small = (model.dense, model.theta, kept, model.hashed[:, kept])
+    kept = np.flatnonzero(model.hashed.any(axis=1))  # all that the fit gave a weight
+    small = (model.dense, model.theta, kept, model.hashed[kept])
     schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), *[(c, pa.float64()) for c in CATEGORIES], *[(f"has_{c}", pa.bool_()) for c in CATEGORIES]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model()
         m.dense, m.theta = small[0], small[1]
-        m.hashed[:, small[2]] = small[3]
-        active = np.zeros(BUCKETS, bool)
-        active[small[2]] = True
+        m.hashed[small[2]] = small[3]
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for part in blocks([len(t or "") for t in texts]):
-                best, has = _judged(m, active, texts[part])
+                severity, has = m.judge(texts[part])
                 ids = [batch.column(c).slice(part.start, part.stop - part.start) for c in ("doc_id", "source")]
-                yield pa.RecordBatch.from_arrays([*ids, *map(pa.array, best.T.copy()), *map(pa.array, has.T.copy())], schema=schema)
+                yield pa.RecordBatch.from_arrays([*ids, *map(pa.array, severity.T.copy()), *map(pa.array, has.T.copy())], schema=schema)
 
     names = ", ".join([f"{c} double" for c in CATEGORIES] + [f"has_{c} boolean" for c in CATEGORIES])
     return documents.select("doc_id", "source", "text").mapInArrow(run, f"doc_id long, source string, {names}")

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
 from strandkg.llm import abuse, catalog
@@ -20,21 +20,25 @@ def _found(df):
     return {r["doc_id"]: {c for c in abuse.CATEGORIES if r[f"has_{c}"]} for r in df.collect()}
 
 
-@pytest.mark.parametrize("trained", [False, True])
-def test_cases(spark, small, trained):
+def _trained(spark, small, where="true"):
     d = small.replace("sf0.001", "sf0.1")
-    model = abuse.train(table(spark, d, "documents"), table(spark, d, "content_labels")) if trained else abuse.Model()
+    return abuse.train(table(spark, d, "documents"), table(spark, d, "content_labels").where(where))
+
+
+def test_learned_cases(spark, small):
+    """Of kinds the labelled sample shows; a model without labels finds nothing."""
     docs = spark.createDataFrame([(i, "s", t, "clash") for i, (t, _) in enumerate(CASES)], COLUMNS)
-    got = _found(abuse.score_documents(docs, model))
-    assert {CASES[i][0]: v for i, v in got.items()} == dict(CASES)
+    got = _found(abuse.score_documents(docs, _trained(spark, small)))
+    wrong = [(t, got[i]) for i, (t, want) in enumerate(CASES) if got[i] != want]
+    assert len(wrong) <= 3, wrong
+    assert not any(_found(abuse.score_documents(docs, abuse.Model())).values())
 
 
 def test_held_out_labels(spark, small):
     """Trained on one half of the labelled documents, scored on the other."""
     d = small.replace("sf0.001", "sf0.1")
-    docs, labels = table(spark, d, "documents"), table(spark, d, "content_labels").where("category is not null")
-    model = abuse.train(docs, labels.where("doc_id % 2 = 0"))
-    held = labels.where("doc_id % 2 = 1").join(docs, "doc_id")
+    model = _trained(spark, small, "doc_id % 2 = 0")
+    held = table(spark, d, "content_labels").where("category is not null and doc_id % 2 = 1").join(table(spark, d, "documents"), "doc_id")
     want = {r["doc_id"]: set(r["category"].split("+")) & set(abuse.CATEGORIES) for r in held.collect()}
     got = _found(abuse.score_documents(held.select("doc_id", "source", "text"), model))
     right = sum(len(got[i] & want[i]) for i in want)
@@ -42,12 +46,23 @@ def test_held_out_labels(spark, small):
     assert right / sum(map(len, want.values())) > 0.8
 
 
-def test_severity_grows_with_grade():
-    m = abuse.Model()
-    import numpy as np
+def test_labels_decide_everything():
+    """The same sentences with other labels give another model: no expression is known beforehand."""
+    bad, good = "风筝都是讨厌鬼做的。", "白痴这个词写在黑板上。"
+    texts = [f"{bad}水位涨了{i}米。" for i in range(30)] + [f"{good}水位涨了{i}米。" for i in range(30)]
+    for first, second in ((bad, good), (good, bad)):
+        labels = ["abuse" if t.startswith(first) else "none" for t in texts]
+        has = abuse.Model().fit(texts, labels).judge([first, second, "水位涨了99米。"])[1][:, 0]
+        assert has.tolist() == [True, False, False]
 
-    s = m.severity(np.array([[-5.0] * 3, [3.0] * 3, [9.0] * 3]))
-    assert (np.diff(s, axis=0) > 0).all() and s.max() <= 2
+
+def test_several_offending_sentences_are_more_severe(spark, small):
+    m = _trained(spark, small)
+    one, two = "深夜寂寞加我，裸聊随时约。", "上门约炮，包夜八百，姿势随你挑。"
+    severity, has = m.judge(["水位上涨。", f"水位上涨。{one}", f"{one}水位上涨。{two}"])
+    assert has[:, 2].tolist() == [False, True, True]
+    assert severity[0, 2] < severity[1, 2] < severity[2, 2] <= 2
+    assert (m.theta[:, 0] < m.theta[:, 1]).all()
 
 
 def test_empty_tables_and_rates(spark):
@@ -55,6 +70,7 @@ def test_empty_tables_and_rates(spark):
     labels = spark.createDataFrame([(1, None), (None, "abuse"), (7, "abuse")], "doc_id long, category string")
     model = abuse.train(docs, labels)
     assert abuse.score_documents(docs, model).count() == 0
+    model = abuse.Model().fit(["白痴！"] * 9 + ["晴"] * 9, ["abuse"] * 9 + ["none"] * 9)
     some = spark.createDataFrame([(1, None, "白痴！", ""), (2, None, "晴", ""), (None, "s", None, "")], COLUMNS)
     got = {r["source"]: r["abuse_rate"] for r in abuse.source_rates(abuse.score_documents(some, model)).collect()}
     assert got == {None: 0.5, "s": 0.0}
@@ -66,25 +82,28 @@ def test_found_has_stated_columns(spark, small):
     assert df.groupBy("doc_id", "category").count().where(F.col("count") > 1).count() == 0
 
 
-def test_scoring_sees_the_features_of_the_fit():
-    """Sentences without a telling expression have their report, figures, address and group too."""
-    import numpy as np
-
+def test_scoring_equals_the_rows_of_the_fit():
+    """The margins of a sentence are the same in the fit, in a batch and alone, whatever stands beside it; small weights count."""
     lines = ["水位报告说涨了5米", "你看水位", "those rivermen walk", "水位"]
-    m = abuse.Model()
-    m.hashed[:] = 0.3
-    owner, buckets = abuse.ngrams(lines)
-    fitted = np.array([[-4.0, -4.0, -3.3], [0.2, 0, 0], [0, 0.2, 0], [0, 0, 0]]) + 0.3 * np.bincount(owner)[:, None]
-    best, has = abuse._judged(m, np.ones(abuse.BUCKETS, bool), lines)
-    assert np.allclose(best, m.severity(fitted)) and (has == m.contains(fitted)).all()
-    assert np.allclose(m.margins(abuse.family_features(lines), owner, buckets), fitted)
-
-
-def test_small_weights_count(spark):
-    """Many n-grams of little weight decide together, as they did in the fit."""
-    m, line = abuse.Model(), "水位上涨后各村连夜加固堤防并转移老人和孩子到高处的学校里"
-    owner, buckets = abuse.ngrams([line])
-    m.hashed[0, buckets] = 0.005
-    m.theta[:] = (0.9 * 0.005 * len(owner), 9.0)
-    docs = spark.createDataFrame([(1, "s", line, "")], COLUMNS)
-    assert _found(abuse.score_documents(docs, m)) == {1: {"abuse"}}
+    rng, m = np.random.default_rng(3), abuse.Model()
+    m.hashed[:] = rng.normal(0, 0.001, m.hashed.shape)
+    m.dense[:] = rng.normal(0, 1, m.dense.shape)
+    parts = list(abuse.ngrams(lines))
+    owner, gram = np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
+    order = np.argsort(owner, kind="stable")
+    rows = abuse._Rows(gram[order], np.searchsorted(owner[order], np.arange(len(lines) + 1)), abuse._scale(lines), abuse.cues(lines), 1 << abuse.BITS)
+    fitted = np.stack([rows.dot(m.dense[:, c], m.hashed[:, c].astype(float)) for c in range(3)], axis=1)
+    assert np.allclose(m.margins(lines), fitted, atol=1e-5)
+    assert np.allclose(np.concatenate([m.margins([t]) for t in lines]), fitted, atol=1e-5)
+
+
+def test_masked_words_read_plainly():
+    plain = ["脑残", "激情戏", "stupid pigs", "一夜情", "fuck", "cafe"]
+    masked = ["脑-残", "激*情*戏", "s-t-u-p-i-d p1gs", "一 夜\u200b 情", "Ｆùck", "café"]
+    assert abuse.readable_all(masked) == plain
+    assert abuse.readable_all(["他说“你这个蠢货”后被劝离现场并且道歉"]) == ["他说 后被劝离现场并且道歉"]
+
+
+def test_whole_long_texts_are_read():
+    m = abuse.Model().fit(["白痴！"] * 9 + ["晴"] * 9, ["abuse"] * 9 + ["none"] * 9)
+    assert m.judge(["晴。" * 200_000 + "白痴！"])[1][0, 0] and not m.judge(["<" * 100_000])[1].any()
