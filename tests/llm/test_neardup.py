@@ -78,15 +78,45 @@ def test_empty(spark):
 
 
 @pytest.mark.parametrize("threshold", [0.7, 0.8, 0.9])
-def test_depth_reaches_the_target(threshold):
-    d = neardup.depth_for(threshold)
-    assert 1 - (1 - threshold**d) ** neardup.TREES >= neardup.TARGET
-    assert d == neardup.MAX_DEPTH or 1 - (1 - threshold ** (d + 1)) ** neardup.TREES < neardup.TARGET
-
-
-def test_signatures_estimate_similarity():
-    a, b = "".join(chr(0x4E00 + i) for i in range(600)), "".join(chr(0x4E00 + i) for i in range(100, 700))
-    _, sketch = neardup.signatures([a, b], 25, 5)
-    unlike = sum(bin(int(x)).count("1") for x in sketch[0] ^ sketch[1])
-    true = neardup._common(*(neardup._codes(*neardup.code_points([a, b])))) / 696
-    assert abs(unlike / 125 - (1 - true) / 2) < 0.12 and isinstance(sketch, np.ndarray)
+def test_prefixes_are_shortened_until_the_target(threshold):
+    """From any finds, the depth at which it stops is expected to reach the target, and the one before it was not."""
+    for found in (np.zeros(neardup.CLASSES), np.full(neardup.CLASSES, 1000.0), np.eye(neardup.CLASSES)[0] * 1e6, np.eye(neardup.CLASSES)[-1] * 1e6):
+        depth, steps = neardup.LEVELS, []
+        while (shorter := neardup.next_depth(found, depth, threshold=threshold)) is not None:
+            assert shorter < depth and neardup.expected_recall(found, depth, depth, threshold) < neardup.TARGET
+            depth = shorter
+            steps.append(depth)
+        assert depth == 1 or neardup.expected_recall(found, depth, depth, threshold) >= neardup.TARGET
+
+
+def test_similar_copies_keep_long_prefixes():
+    near, far = np.eye(neardup.CLASSES)[-1] * 1e6, np.eye(neardup.CLASSES)[0] * 1e6
+    assert neardup.next_depth(near, neardup.LEVELS) is None
+    assert neardup.next_depth(far, neardup.LEVELS) <= 4
+
+
+def test_pairs_at_the_threshold_are_found(spark):
+    """Texts of few runs, nearly all of whose pairs lie just above the threshold."""
+    r = random.Random(11)
+    texts = []
+    for i in range(300):
+        base = [chr(0x4E00 + r.randrange(8000)) for _ in range(200)]
+        edited = list(base)
+        for at in r.sample(range(200), 10):
+            edited[at] = "甲"
+        texts += [(2 * i, "".join(base)), (2 * i + 1, "".join(edited))]
+    want = {(2 * i, 2 * i + 1) for i in range(300)} & brute(texts)
+    got = pairs_of(spark.createDataFrame(texts, "id long, text string"))
+    assert got <= brute(texts) and len(got) >= 0.99 * len(want) and len(want) > 200
+
+
+def test_paths_share_prefixes_as_often_as_the_formula_says():
+    n = 400
+    texts = ["".join(chr(0x4E00 + (i * 37 + j) % 15000) for j in range(n)) for i in range(60)]
+    other = [t[60:] + "".join(chr(0x3400 + (i * 91 + j) % 6000) for j in range(60)) for i, t in enumerate(texts)]
+    codes = neardup._codes(*neardup.code_points(texts + other))
+    share = np.mean([(c := neardup._common(codes[i], codes[60 + i])) / (len(codes[i]) + len(codes[60 + i]) - c) for i in range(60)])
+    paths = neardup.signatures(texts + other)
+    for depth in (1, 4):
+        same = (paths[:60] >> np.uint64(8 * (neardup.LEVELS - depth))) == (paths[60:] >> np.uint64(8 * (neardup.LEVELS - depth)))
+        assert abs(same.mean() - share**depth) < 0.05
