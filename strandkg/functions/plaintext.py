@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Container
+from collections.abc import Callable
 
 # CJK radicals supplement to unified ideographs (Unicode EquivalentUnifiedIdeograph), the ones in use as characters.
 RADICALS = dict(
@@ -21,6 +21,9 @@ RADICALS = dict(
     )
 )
 
+# Radicals whose decomposition is a variant form out of ordinary use, to the ordinary character.
+VARIANT_RADICALS = {0x2F3E: "户", 0x2FAD: "青"}
+
 # Letters of other scripts that print like a Latin letter.
 GREEK_LATIN = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοναιρυκχγ", "ABEZHIKMNOPTYXovaipukxy", strict=True))
 CYRILLIC_LATIN = dict(zip("АВЕКМНОРСТУХІЈЅаеорсухіјѕһԁԛԝ", "ABEKMHOPCTYXIJSaeopcyxijshdqw", strict=True))
@@ -37,7 +40,7 @@ def _table() -> dict[int, str]:
     for c in [*widths, *forms]:
         if (to := unicodedata.normalize("NFKC", chr(c))) != chr(c):
             out[c] = to
-    return out | {ord(k): v for k, v in RADICALS.items()}
+    return out | {ord(k): v for k, v in RADICALS.items()} | VARIANT_RADICALS
 
 
 TABLE = _table()
@@ -47,8 +50,9 @@ _RANGES = [(0x00, 0x09), (0x0B, 0x1F), (0x7F, 0xA0), (0xAD, 0xAD), (0x300, 0x52F
 SUSPECT = "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _RANGES) + "]"
 _suspect = re.compile(SUSPECT).search
 _full_stop = re.compile("(?<=[0-9])．(?=[0-9])")
-_word = re.compile(r"[0-9A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02af\u0370-\u03ff\u0400-\u052f\u1e00-\u1eff]+")
-_foreign = re.compile(r"[\u0370-\u03ff\u0400-\u052f]").search
+#: A word: letters and figures, with the combining marks that follow them.
+WORD = re.compile(r"(?:[0-9A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02af\u0370-\u03ff\u0400-\u052f\u1e00-\u1eff][\u0300-\u036f]*)+")
+foreign = re.compile(r"[\u0370-\u03ff\u0400-\u052f]").search
 
 
 def script(letter: str) -> str | None:
@@ -66,7 +70,7 @@ _from_latin = {"greek": {v: k for k, v in GREEK_LATIN.items()}, "cyrillic": {v:
 
 
 def _in_script(word: str, target: str) -> str | None:
-    """``word`` with each look-alike of another script replaced, or None where a letter has none in ``target``."""
+    """``word``, decomposed, with each look-alike of another script replaced, or None where a letter has none in ``target``; composed."""
     out = []
     for ch in word:
         if (s := script(ch)) is None or s == target:
@@ -77,7 +81,7 @@ def _in_script(word: str, target: str) -> str | None:
         if to is None:
             return None
         out.append(to)
-    return "".join(out)
+    return unicodedata.normalize("NFC", "".join(out))
 
 
 def readings(word: str) -> list[str]:
@@ -85,8 +89,9 @@ def readings(word: str) -> list[str]:
 
     A word with digits is an identifier and reads as Latin first; any other reads in its most frequent script first, ties
     as Latin. Latin is always tried, as a word of Greek and Cyrillic look-alikes is most likely a Latin one. Two letters
-    of which one is a small Greek letter are a symbol with an index, not a disguised word.
+    of which one is a small Greek letter are a symbol with an index, not a disguised word. Accents stay with their letter.
     """
+    word = unicodedata.normalize("NFD", word)
     letters = [s for ch in word if (s := script(ch))]
     present = set(letters)
     if len(present) < 2 or len(letters) < 3 and any(script(ch) == "greek" and ch.islower() for ch in word):
@@ -96,35 +101,19 @@ def readings(word: str) -> list[str]:
     return [x for s in order if (x := _in_script(word, s)) is not None]
 
 
-def _repair(word: str, known: Container[str] | None) -> str:
-    found = readings(word)
-    if not found:
-        return word
-    return next((x for x in found if x in known), found[0]) if known is not None else found[0]
-
-
-def plain_form(text: str | None, known: Container[str] | None = None) -> str | None:
+def plain_form(text: str | None, choose: Callable[[list[str]], str] | None = None) -> str | None:
     """The plain form of ``text``; None stays None.
 
-    ``known``: words of the corpus; of several one-script readings of a mixed word the first among them is taken, or the first at all
-    where none is among them or where it is None.
+    ``choose`` picks one of the one-script readings of a mixed word; without it the first is taken.
     """
     if not text or not _suspect(text):
         return text
     text = unrepaired(text)
-    return _word.sub(lambda m: _repair(m[0], known), text) if _foreign(text) else text
+    if not foreign(text):
+        return text
+    return WORD.sub(lambda m: m[0] if not (found := readings(m[0])) else choose(found) if choose else found[0], text)
 
 
 def unrepaired(text: str) -> str:
     """All steps of the plain form but the last, which brings words to one script."""
     return unicodedata.normalize("NFC", _full_stop.sub(".", text.translate(TABLE))) if _suspect(text) else text
-
-
-def words_of(text: str) -> list[str]:
-    """The Latin, Greek and Cyrillic words of a plain text."""
-    return _word.findall(text)
-
-
-def mixed_words(text: str) -> list[str]:
-    """The words of ``text`` that mix scripts and have a reading in one, as they stand after all other steps."""
-    return [w for w in _word.findall(unrepaired(text)) if _foreign(w) and readings(w)]
