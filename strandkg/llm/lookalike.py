@@ -15,19 +15,30 @@ plain. Whole texts of any length are processed. Repeated rows give rows each.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandkg.functions.plaintext import SUSPECT, mixed_words, plain_form, readings, unrepaired, words_of
+from strandkg.functions.plaintext import SUSPECT, WORD, foreign, plain_form, readings, unrepaired
 from strandkg.session import written
 
-MAX_WORDS = 200_000
+#: Words of the vocabulary that may go to the tasks (some 20 bytes each).
+MAX_WORDS = 50_000
 _KEYS = "row_id long, field string, pos int"
 
 
+def mixed_words(text: str) -> list[str]:
+    """The words of ``text`` that mix scripts and have a reading in one, as they stand after all other steps."""
+    return [w for w in WORD.findall(unrepaired(text)) if foreign(w) and readings(w)]
+
+
+def repaired(text: str, known: Container[str]) -> str:
+    """The plain form of ``text``: of the one-script readings of a mixed word the first in the vocabulary ``known``, or the first at all where none is."""
+    return plain_form(text, lambda found: next((x for x in found if x in known), found[0]))
+
+
 def values_of(log: DataFrame) -> DataFrame:
     """All texts and entity names as (row_id, field, pos, value)."""
     texts = log.select("row_id", F.lit("raw_text").alias("field"), F.lit(0).alias("pos"), F.col("raw_text").alias("value"))
@@ -45,7 +56,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seen: set[tuple[str, bool]] = set()
         for value in batch.column("value").to_pylist():
-            for w in words_of(unrepaired(value)):
+            for w in WORD.findall(unrepaired(value)):
                 if found := readings(w):
                     seen |= {(r, True) for r in found if len(found) > 1}
                 elif not w.isdecimal():
@@ -76,7 +87,7 @@ def _repaired(known: set[str] | None):  # noqa: ANN202
         for batch in batches:
             values = batch.column("value").to_pylist()
             own = [set(k or ()) for k in batch.column("known").to_pylist()] if "known" in batch.schema.names else [known] * len(values)
-            plain = [plain_form(v, k) for v, k in zip(values, own, strict=True)]
+            plain = [repaired(v, k) for v, k in zip(values, own, strict=True)]
             changed = [i for i, (v, p) in enumerate(zip(values, plain, strict=True)) if v != p]
             kept = batch.take(pa.array(changed, pa.int64()))
             yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in _REPAIRED.names[:4]), pa.array([plain[i] for i in changed], pa.string())], schema=_REPAIRED)

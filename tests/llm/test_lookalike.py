@@ -25,6 +25,13 @@ def test_vocabulary_repairs(spark, rows):
     assert rows(lookalike.repair(latin).select("row_id", "plain")) == [(2, "cop"), (3, "cop"), (4, "ZA37K站")]
 
 
+def test_vocabulary_decides_between_readings():
+    word = "cоp"  # Latin c and p, Cyrillic о
+    assert lookalike.mixed_words(f"({word}) cop") == [word]
+    assert lookalike.repaired(word, {"сор"}) == "сор" and lookalike.repaired(word, ()) == "cop"
+    assert lookalike.repaired("Та\u0301onyо\u0300u", ()) == "Táonyòu"
+
+
 def test_empty_and_long(spark):
     none = spark.createDataFrame([], f"row_id long, raw_text string, extraction_result {KG.simpleString()}, value string, plain string")
     assert lookalike.repair(lookalike.values_of(none)).count() == 0
