@@ -1,7 +1,7 @@
 """Deeply nested records to flat tables that keep parent-child links (problem 5).
 
 One pass: a depth-first visitor walks each JSON record and emits rows of (tag, pk, parent_key, payload), one per object, in whatever table
-the ``TABLES`` map its path to; the consumer writes them partitioned by tag and applies a schema per tag. A key is the path of positions from the root, so
+the ``TABLES`` map its path to; ``Tables`` writes them once, partitioned by tag, and applies a schema per tag to the folder that is asked for. A key is the path of positions from the root, so
 it needs no counter and no shuffle, and stays the same when the input is read again. Scalars and nested single objects go into the payload (dotted names), arrays of objects into a child table, arrays of
 scalars stay a JSON text.
 
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandkg.functions.plaintext import plain_form
+from strandkg.session import written
 
 #: Path of an array (or single object) from the record on -> table tag.
 TABLES = {
@@ -177,3 +178,18 @@ def as_table(emitted: DataFrame, tag: str) -> DataFrame:
 def write_tables(emitted: DataFrame, path: str) -> None:
     """All tables in one write, a folder per tag; ``as_table(spark.read.parquet(path), tag)`` reads one folder only."""
     emitted.write.partitionBy("tag").mode("overwrite").parquet(path)
+
+
+class Tables:
+    """The flat tables of ``records`` (origin, rec_id, body), emitted in one pass and kept by tag in the shared folder until the application ends."""
+
+    def __init__(self, records: DataFrame) -> None:
+        self.stored = written(emit_rows(records), "nested", "tag")
+
+    def table(self, tag: str) -> DataFrame:
+        """The table of one tag; of the others nothing is read."""
+        return as_table(self.stored, tag)
+
+    def sizes(self) -> DataFrame:
+        """(tag, n_rows, n_with_parent), from the keys alone."""
+        return self.stored.groupBy("tag").agg(F.count(F.lit(1)).alias("n_rows"), F.count("parent_key").alias("n_with_parent"))

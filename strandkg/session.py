@@ -28,11 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, its lineage cut, lost executors do no harm. It is deleted when the application ends."""
+def written(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, with a folder for each value of the columns ``folders``: computed once, its lineage cut, lost executors do no harm. It is
+    deleted when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandkg/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*folders) if folders else df.write).parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)

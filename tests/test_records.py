@@ -38,8 +38,7 @@ def test_heavy_keys_give_the_same(spark, rows, monkeypatch, small):
     assert light
 
 
-def test_an_id_created_again_very_often(spark, rows, monkeypatch):
-    monkeypatch.setattr(orphans, "BLOCK", 3)
+def test_an_id_created_again_very_often(spark, rows):
     lives = [("乙", "a", datetime(2024, 1, d), datetime(2024, 1, d, 12), "") for d in range(1, 29)] * 2
     nodes = spark.createDataFrame(lives, NODES)
     log = spark.createDataFrame([(i, ([], [("乙", "r", None)]), when, "", "") for i, when in enumerate([datetime(2023, 1, 1), datetime(2024, 1, 9, 6), datetime(2024, 1, 9, 18), datetime(2024, 1, 9, 18)])], LOG)
@@ -51,15 +50,31 @@ def test_orphans_empty(spark):
     none = spark.createDataFrame([], LOG)
     refs = orphans.open_references(none)
     assert orphans.find_orphans(refs, spark.createDataFrame([], NODES)).count() == 0
-    assert orphans.orphan_report(refs, orphans.find_orphans(refs, spark.createDataFrame([], NODES)), "t").count() == 0
+    assert orphans.orphan_report(refs, spark.createDataFrame([], NODES), "t").count() == 0
 
 
 def test_report_counts_keys_exactly(spark, rows):
     refs = spark.range(3000).selectExpr("id as row_id", "0 as rel_pos", "'head' as side", "concat('k', id % 1500) as key", "timestamp'2025-06-05' as at")
-    report = orphans.orphan_report(refs, orphans.find_orphans(refs, spark.createDataFrame([("k0", "a", at(1), None, "")], NODES)), "t")
+    report = orphans.orphan_report(refs, spark.createDataFrame([("k0", "a", at(1), None, "")], NODES), "t")
     assert rows(report.select("period", "side", "status", "n_orphans", "n_keys", "n_open")) == [("2025-06", "head", "missing", 2998, 1499, 3000)]
 
 
+def test_references_without_a_time(spark, rows):
+    refs = spark.createDataFrame([(1, 0, "head", "a", None), (2, 0, "head", "b", None), (3, 0, "head", "c", None), (4, 0, "head", "a", at(3))], "row_id long, rel_pos int, side string, key string, at timestamp_ntz")
+    nodes = spark.createDataFrame([("a", "", at(1), None, ""), ("b", "", None, None, "")], NODES)
+    assert rows(orphans.find_orphans(refs, nodes).select("row_id", "status")) == [(1, "late"), (3, "missing")]
+    assert rows(orphans.orphan_report(refs, nodes, "t").drop("table")) == [(None, "head", "late", 1, 1, 3), (None, "head", "missing", 1, 1, 3)]
+
+
+def test_report_counts_the_rows(spark, rows, small):
+    d = small.replace("sf0.001", "sf0.01")
+    got = {tuple(r)[1:5] for r in records.p2_report(spark, d).collect()}
+    want = {}
+    for _, _, side, status, period in _brute_orphans(d):
+        want[period, side, status] = want.get((period, side, status), 0) + 1
+    assert got == {(*k, n) for k, n in want.items()}
+
+
 def _brute_orphans(d):
     c = duckdb.connect()
     nodes = {}
