@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandkg.llm import abuse, canon, leak, lookalike, mix, neardup, pairs, split
+from strandkg.plans import plainsql
 from strandkg.session import table
 
 
@@ -113,7 +114,17 @@ def _grams(source: str, key: str, column: str) -> str:
 
 
 _LEAKS = f"select distinct d.doc_id, p.item_id from ({_grams('documents', 'doc_id', 'text')}) d join ({_grams('eval_passages', 'item_id', 'passage')}) p on d.gram = p.gram"
+_VALUES = "values_ as (select row_id, 'raw_text' as field, 0 as pos, raw_text as value from results_extraction union all select row_id, 'entity', pos, e.name from (select row_id, unnest(extraction_result.entities) as e, unnest(range(len(extraction_result.entities))) as pos from results_extraction))"
+_PLAIN = f"{_VALUES}, forms as (select value, {plainsql.plain('value')} as plain from (select distinct value from values_ where value is not null)), odd as (select row_id, field, pos::int as pos, plain from values_ join forms using (value) where plain <> value)"
+#: Distinct runs of three characters of each distinct text; pairs of texts by how many runs they share.
+_SHARED = f"""texts as (select row_id, plain, dense_rank() over (order by plain) as t from (select row_id, {plainsql.plain('raw_text')} as plain from results_extraction where raw_text is not null) where length(plain) >= 3),
+    runs as (select t, g, count(*) over (partition by t) as n from (select distinct t, unnest(list_transform(range(1, length(plain) - 1), lambda i: substr(plain, i, 3))) as g from (select distinct t, plain from texts))),
+    alike as (select a.t as t1, b.t as t2, count(*) as both_, any_value(a.n) as n1, any_value(b.n) as n2 from runs a join runs b on a.g = b.g and a.t <= b.t group by 1, 2),
+    near as (select t1, t2 from alike where both_ / (n1 + n2 - both_) >= 0.7)"""
 SQL = {
+    "p6_found": f"with {_PLAIN} select row_id, field, pos from odd",
+    "p6_repaired": f"with {_PLAIN} select row_id, field, pos, plain from odd",
+    "p7_found": f"with {_SHARED} select least(a.row_id, b.row_id) as row_id_a, greatest(a.row_id, b.row_id) as row_id_b from near join texts a on a.t = t1 join texts b on b.t = t2 where t1 < t2 or a.row_id < b.row_id",
     "p3_found": "select row_id, case when regexp_matches(raw_text, '[^。！？；\\n]{601,}') then 'yes' else 'no' end as forced from results_extraction where length(raw_text) > 600",
     "p8_found": _LEAKS,
     "p8_items": f"select item_id, count(*) as n_documents from ({_LEAKS}) group by item_id",
