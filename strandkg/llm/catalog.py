@@ -10,16 +10,18 @@ from strandkg.plans import plainsql
 from strandkg.session import table
 
 
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
+def _mapped(spark: SparkSession, d: str) -> DataFrame:
     values = canon.free_values(table(spark, d, "sample_events"), table(spark, d, "results_extraction"))
     return canon.map_values(values, table(spark, d, "canon_values"))
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mapped(spark, d).drop("value")
+
+
 def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
-    """The values that stand for no entry, with how often they occur."""
-    values = canon.free_values(table(spark, d, "sample_events"), table(spark, d, "results_extraction"))
-    lost = canon.map_values(values, table(spark, d, "canon_values")).where("canon_id = 0")
-    return lost.groupBy("field").agg(F.count(F.lit(1)).alias("n_unmatched"))
+    """The values that stand for no entry, with how often each occurs."""
+    return _mapped(spark, d).where("canon_id = 0").groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

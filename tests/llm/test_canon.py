@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from strandkg.llm import canon
+from strandkg.llm import canon, catalog
 
 LIST = [
     (1, "location", "澜渡东镇", "Landudong", []),
@@ -35,15 +35,31 @@ def test_cases(spark, table, rows):
 
 def test_exact_null_empty_repeated(spark, table, rows):
     values = spark.createDataFrame([("location", 1, 0, "澜渡东镇"), ("location", 2, 0, None), ("location", 3, 0, ""), ("location", 4, 0, "澜渡东"), ("location", 4, 0, "澜渡东"), (None, 5, 0, "x"), ("location", None, None, "x" * 100_000)], "field string, rec_id long, pos int, value string")
-    assert rows(canon.map_values(values, table)) == sorted([("location", 4, 0, 1), ("location", 4, 0, 1), (None, 5, 0, 0), ("location", None, None, 0)], key=repr)
+    assert rows(canon.map_values(values, table).drop("value")) == sorted([("location", 4, 0, 1), ("location", 4, 0, 1), (None, 5, 0, 0), ("location", None, None, 0)], key=repr)
     assert {r["canon_id"] for r in canon.map_values(values, table.limit(0)).collect()} == {0}
     assert canon.map_values(values.limit(0), table).count() == 0
 
 
-def test_list_bound(spark, table, monkeypatch):
-    monkeypatch.setattr(canon, "MAX_ENTRIES", 2)
-    with pytest.raises(ValueError, match="entries"):
-        canon.map_values(spark.createDataFrame([], "field string, rec_id long, pos int, value string"), table)
+@pytest.mark.parametrize("block", [1, 2, 4])
+def test_a_list_in_blocks_gives_the_same(spark, table, rows, block):
+    values = spark.createDataFrame([(f, i, 0, v) for i, (f, v, _) in enumerate([*CASES, *CASES, ("location", "澜渡东镇", 1), (None, "x", 0)])], "field string, rec_id long, pos int, value string")
+    assert rows(canon.map_values(values, table, block=block)) == rows(canon.map_values(values, table))
+
+
+def test_longest_mention_wins_over_one_that_begins_before():
+    index = canon.FieldIndex([(1, "甲乙丙", None, None), (2, "丙丁戊己", None, None)], False)
+    assert canon._settled([index.rank("在甲乙丙丁戊己处")]) == 2
+
+
+def test_similarity_decides_among_names_within_the_edits():
+    index = canon.FieldIndex([(1, "abcdefgh", None, None), (2, "abcdefgxy", None, None)], False)
+    assert canon._settled([index.rank("abcdefgy")]) == 2
+
+
+def test_unmatched_values_are_reported(spark, small, rows):
+    got = rows(catalog.p1_unmatched(spark, small))
+    n = catalog.p1_found(spark, small).where("canon_id = 0").count()
+    assert sum(r[2] for r in got) == n and all(r[1] for r in got)
 
 
 def test_traditional_table_is_small():
