@@ -4,9 +4,9 @@ Winnowing: of every window of ``w`` hashes in a row of ``k`` letters the smalles
 ``k + w - 1`` letters share a fingerprint of it for certain. Fingerprints of documents and passages are joined, each hit is extended to both sides, and the span counts when it reaches
 ``shared`` letters. With ``k + w - 1 <= shared`` no long enough span can be missed, and no shorter one gets through.
 
-The join is on the fingerprint. The passages' side is the small one: its fingerprints are counted, and while they stay under
-``MAX_PRINTS`` they go to the tasks as one sorted array (8 bytes each), so that documents without a hit leave the scan at once and no document is shuffled. Beyond that number
-the same rows meet in a shuffled join, where a frequent fingerprint splits by AQE.
+The join is on the fingerprint. The passages' side is the small one: its size is counted, fingerprints at 20 bytes each and the letters of every passage once, and while it stays under
+``MAX_BYTES`` it is broadcast as sorted arrays, so that documents without a hit leave the scan at once and no document is shuffled. Beyond that size
+the same rows meet in a shuffled join, where a frequent fingerprint splits by AQE; hits are then brought together per diagonal (document, passage, shift), of which a passage's length bounds the number.
 
 Letters and digits only count (Unicode letters and numbers), case and width are equal. Null, blank and short texts and passages match nothing. Whole texts are read. Repeated documents
 give rows each; repeated passages under several item ids too. Empty tables give an empty result.
@@ -28,7 +28,8 @@ from strandkg.llm.textarrays import blocks, code_points, window_hashes
 from strandkg.session import written
 
 SHARED, K = 60, 30
-MAX_PRINTS = 2_000_000
+#: Bytes of fingerprints and passages that may be broadcast.
+MAX_BYTES = 32_000_000
 _other = re.compile(r"[\W_]+")
 _wide = re.compile("[！-～ﾠ-ﾾ]")
 
@@ -85,34 +86,45 @@ def spans(document: str, passage: str, hits: list[tuple[int, int]], shared: int
     return False
 
 
-def find_leaks(documents: DataFrame, passages: DataFrame, shared: int = SHARED, k: int = K, most: int = MAX_PRINTS) -> DataFrame:
-    """(doc_id, item_id) where ``shared`` letters in a row of a passage occur in a document.
+def _prints(batches: Iterator[pa.RecordBatch], key: str, text: str, k: int, shared: int) -> Iterator[pa.RecordBatch]:
+    """(key, at, print) of a column of letters."""
+    for batch in batches:
+        texts_all = [t or "" for t in batch.column(text).to_pylist()]
+        for part in blocks([len(t) for t in texts_all]):
+            owner, at, hashes = fingerprints(texts_all[part], k, shared)
+            yield pa.RecordBatch.from_arrays([batch.column(key).slice(part.start).take(pa.array(owner)), pa.array(at, pa.int32()), pa.array(hashes.view(np.int64))], names=[key, "at", "print"])
 
-    ``documents``: (doc_id, text); ``passages``: (item_id, passage).
-    """
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            folded_all = [letters(t) for t in batch.column("passage").to_pylist()]
-            for part in blocks([len(t) for t in folded_all]):
-                folded = folded_all[part]
-                owner, at, hashes = fingerprints(folded, k, shared)
-                ids = batch.column("item_id").slice(part.start).take(pa.array(owner))
-                texts = pa.array(folded, pa.string()).take(pa.array(owner))
-                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(at, pa.int32()), pa.array(hashes.view(np.int64)), texts], names=["item_id", "item_at", "print", "letters"])
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        folded = pa.array([letters(t) for t in batch.column("passage").to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("pid"), batch.column("item_id").cast(pa.int64()), folded], names=["pid", "item_id", "letters"])
 
-    held = written(passages.select("item_id", "passage").where("item_id is not null").mapInArrow(prints, "item_id long, item_at int, print long, letters string"), "prints")
-    if held.count() <= most:
-        rows = held.toPandas()
-        return documents.select("doc_id", "text").where("text is not null").mapInArrow(_matcher(rows, shared, k), "doc_id long, item_id long")
-    return _joined(documents, held, shared, k)
 
+def find_leaks(documents: DataFrame, passages: DataFrame, shared: int = SHARED, k: int = K, most: int = MAX_BYTES) -> DataFrame:
+    """(doc_id, item_id) where ``shared`` letters in a row of a passage occur in a document.
 
-def _matcher(rows, shared: int, k: int):  # noqa: ANN001, ANN202
-    order = np.argsort(rows["print"].to_numpy(), kind="stable")
-    keys, items, ats, passages = (rows[c].to_numpy()[order] for c in ("print", "item_id", "item_at", "letters"))
+    ``documents``: (doc_id, text); ``passages``: (item_id, passage).
+    """
+    numbered = passages.where("item_id is not null and passage is not null").select(F.monotonically_increasing_id().alias("pid"), "item_id", "passage")
+    held = written(numbered.mapInArrow(_folded, "pid long, item_id long, letters string"), "passages").where(F.length("letters") >= shared)
+    prints = written(held.select("pid", "letters").mapInArrow(lambda batches: _prints(batches, "pid", "letters", k, shared), "pid long, at int, print long"), "prints")
+    size = 20 * prints.count() + held.agg(F.coalesce(F.sum(F.octet_length("letters") + 60), F.lit(0))).first()[0]
+    texts = documents.select("doc_id", "text").where("text is not null")
+    if size <= most:
+        return texts.mapInArrow(_matcher(held.toPandas(), prints.toPandas(), documents.sparkSession, shared, k), "doc_id long, item_id long")
+    return _joined(texts, held, prints, shared, k)
+
+
+def _matcher(held, prints, spark, shared: int, k: int):  # noqa: ANN001, ANN202
+    """``held`` (pid, item_id, letters) and ``prints`` (pid, at, print) as one broadcast: each passage once, the fingerprints sorted."""
+    held = held.sort_values("pid")
+    order = np.argsort(prints["print"].to_numpy(), kind="stable")
+    of = np.searchsorted(held["pid"].to_numpy(), prints["pid"].to_numpy()[order]).astype(np.int32)
+    sent = spark.sparkContext.broadcast((prints["print"].to_numpy()[order], of, prints["at"].to_numpy()[order].astype(np.int32), held["item_id"].to_numpy(), held["letters"].tolist()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, of, ats, items, passages = sent.value
         for batch in batches:
             folded_all, ids_all = [letters(t) for t in batch.column("text").to_pylist()], batch.column("doc_id").to_pylist()
             for part in blocks([len(t) for t in folded_all]):
@@ -120,37 +132,34 @@ def _matcher(rows, shared: int, k: int):  # noqa: ANN001, ANN202
                 owner, at, hashes = fingerprints(folded, k, shared)
                 left = np.searchsorted(keys, hashes.view(np.int64), "left")
                 right = np.searchsorted(keys, hashes.view(np.int64), "right")
-                hits: dict[tuple[int, int, str], list[tuple[int, int]]] = defaultdict(list)
+                hits: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
                 for x in np.flatnonzero(right > left):
                     for y in range(left[x], right[x]):
-                        hits[int(owner[x]), int(items[y]), passages[y]].append((int(at[x]), int(ats[y])))
+                        hits[int(owner[x]), int(of[y])].append((int(at[x]), int(ats[y])))
                 # A document counts once per item, however many passages the item has.
-                both = dict.fromkeys((d, item) for (d, item, passage), places in hits.items() if spans(folded[d], passage, places, shared))
-                found = [(ids[d], item) for d, item in both]
-                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["doc_id", "item_id"])
+                both = dict.fromkeys((d, int(items[p])) for (d, p), places in hits.items() if spans(folded[d], passages[p], places, shared))
+                yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d, _ in both], pa.int64()), pa.array([i for _, i in both], pa.int64())], names=["doc_id", "item_id"])
 
     return run
 
 
-def _joined(documents: DataFrame, held: DataFrame, shared: int, k: int) -> DataFrame:
-    """The same by a shuffled join of fingerprints, for passages beyond any bound. Only the fingerprints of documents are shuffled for the join; their texts follow for those with hits."""
+def _joined(texts: DataFrame, held: DataFrame, prints: DataFrame, shared: int, k: int) -> DataFrame:
+    """The same by a shuffled join of fingerprints, for passages of any size. Only the fingerprints of documents are shuffled for the join; their texts follow for those with hits."""
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def document_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            folded_all = [letters(t) for t in batch.column("text").to_pylist()]
-            for part in blocks([len(t) for t in folded_all]):
-                owner, at, hashes = fingerprints(folded_all[part], k, shared)
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(part.start).take(pa.array(owner)), pa.array(at, pa.int32()), pa.array(hashes.view(np.int64))], names=["row", "doc_at", "print"])
+            folded = pa.array([letters(t) for t in batch.column("text").to_pylist()], pa.string())
+            yield from _prints(iter([pa.RecordBatch.from_arrays([batch.column("row"), folded], names=["row", "letters"])]), "row", "letters", k, shared)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "item_id", "text", "letters", "hits")), strict=True)
-            found = [(r, d, i) for r, d, i, text, passage, hits in rows if spans(letters(text), passage, [(h["doc_at"], h["item_at"]) for h in hits], shared)]
+            rows = zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "item_id", "text", "letters", "shift", "ats")), strict=True)
+            found = [(r, d, i) for r, d, i, text, passage, shift, ats in rows if spans(letters(text), passage, [(at, at - shift) for at in ats], shared)]
             yield pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], t) for n, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["row", "doc_id", "item_id"])
 
-    rows = written(documents.select("doc_id", "text").where("text is not null").withColumn("row", F.expr("uuid()")), "documents")
-    made = rows.select("row", "text").mapInArrow(prints, "row string, doc_at int, print long")
-    hits = made.join(held.select("item_id", "item_at", "print", F.xxhash64("letters").alias("passage")), "print").groupBy("row", "item_id", "passage").agg(F.collect_list(F.struct("doc_at", "item_at")).alias("hits"))
-    texts = held.groupBy("item_id", F.xxhash64("letters").alias("passage")).agg(F.first("letters").alias("letters"))
-    found = rows.join(hits, "row").join(texts, ["item_id", "passage"]).select("row", "doc_id", "item_id", "text", "letters", "hits").mapInArrow(verify, "row string, doc_id long, item_id long")
-    return found.distinct().select("doc_id", "item_id")
+    rows = written(texts.withColumn("row", F.expr("uuid()")), "documents")
+    made = rows.select("row", "text").mapInArrow(document_prints, "row string, at int, print long")
+    shift = (F.col("at") - F.col("item_at")).alias("shift")
+    hits = made.join(prints.select("pid", F.col("at").alias("item_at"), "print"), "print").select("row", "pid", shift, "at").groupBy("row", "pid", "shift").agg(F.collect_list("at").alias("ats"))
+    found = hits.join(rows, "row").join(held, "pid").select("row", "doc_id", "item_id", "text", "letters", "shift", "ats")
+    return found.mapInArrow(verify, "row string, doc_id long, item_id long").distinct().select("doc_id", "item_id")

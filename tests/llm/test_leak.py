@@ -34,7 +34,7 @@ def made(seed):
     return docs, items
 
 
-@pytest.mark.parametrize("most", [leak.MAX_PRINTS, 0])
+@pytest.mark.parametrize("most", [leak.MAX_BYTES, 0])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_exact(spark, seed, most):
     docs, items = made(seed)
@@ -43,7 +43,7 @@ def test_exact(spark, seed, most):
     assert {tuple(r) for r in found.collect()} == want and found.count() == len(want) > 5
 
 
-@pytest.mark.parametrize("most", [leak.MAX_PRINTS, 0])
+@pytest.mark.parametrize("most", [leak.MAX_BYTES, 0])
 def test_edges(spark, rows, most):
     run, other = "汛" * 59, "abcdefghij" * 6
     docs = spark.createDataFrame([(1, run), (2, run + "汛"), (2, run + "汛"), (3, None), (4, ""), (None, other), (5, "x" * 200_000 + other.upper())], "doc_id long, text string")
