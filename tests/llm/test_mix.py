@@ -47,11 +47,29 @@ def test_tokens_are_those_of_the_tokenizer(spark):
 
     texts = ["水位上涨", "a<|endoftext|>b", "", None]
     got = [r["n_tokens"] for r in mix.count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "'s' as source", "text")).orderBy("doc_id").collect()]
-    t = Tokenizer.from_file(mix.TOKENIZER)
+    t = Tokenizer.from_file(mix.TOKENIZER.replace(".tiktoken", ".json"))
     t.encode_special_tokens = True
     assert got == [len(t.encode(x, add_special_tokens=False).ids) if x else 0 for x in texts]
 
 
+def test_both_kinds_of_files_count_alike():
+    ranks, other = mix._counter(mix.TOKENIZER), mix._counter(mix.TOKENIZER.replace(".tiktoken", ".json"))
+    for text in ("水位上涨 12.5 米。\n\nThe dam's held,  didn't it?", "a" + " " * 12_000 + "b", "\n" * 400_000 + "x", "字" * 20_000, "é\u3000\u200b🌊"):
+        assert ranks(text) == other(text)
+
+
+def test_steps_that_do_not_settle_are_an_error(spark, docs, monkeypatch):
+    monkeypatch.setattr(mix, "MOST_STEPS", 1)
+    with pytest.raises(RuntimeError, match="settle"):
+        mix.mixture(docs, spark.createDataFrame([("a", 0.5, 3), ("b", 0.5, 3)], T), 50_000.0)
+
+
+def test_a_source_named_twice(spark, docs):
+    once = mix.mixture(docs, spark.createDataFrame([("a", 0.6, 3), ("b", 0.4, 3)], T), 50_000.0)[1]
+    twice = mix.mixture(docs, spark.createDataFrame([("a", 0.2, 3), ("a", 0.4, 1), ("b", 0.4, 3)], T), 50_000.0)[1]
+    assert [tuple(r)[4:] for r in once.orderBy("source").collect()] == [tuple(r)[4:] for r in twice.orderBy("source").collect()]
+
+
 def test_null_targets_and_empty_tables(spark, docs):
     targets = spark.createDataFrame([("a", None, None), (None, 0.5, 1)], T)
     assert mix.mixture(docs, targets, 1000.0)[1].first()["actual_tokens"] == 0
