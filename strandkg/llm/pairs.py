@@ -2,8 +2,8 @@
 
 Ordered rules for emptiness, refusal in several languages, copied questions, script and language mismatch, and unfinished endings; every
 rule that holds is emitted, in that order. The rules see content, not punctuation. Whether an answer without a closing mark is the whole text of a known
-statement (a complete answer however short) is a set question and is settled by an anti-join with the distinct statements, only for the answers in
-doubt; the distinct is pre-aggregated, so that a frequent statement makes no hot task.
+statement (a complete answer however short) is a set question and is settled by joins for the answers in
+doubt only: their distinct texts are sent to the scan of the statements, by Spark's own choice as a broadcast, and of the statements only those they equal are kept. Answers in no doubt are passed by.
 
 Null or blank answers are ``empty``; a null question makes only ``empty``, ``refusal`` and ``truncated`` possible. Very long answers are read whole. Repeated rows
 give rows each. Empty tables give an empty result.
@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandkg.session import written
+
 ORDER = ("empty", "refusal", "copied", "other_language", "truncated")
 # What stands in place of an answer.
 PLACEHOLDERS = frozenset("na n/a null none nil nan tbd todo unknown undefined empty noanswer notavailable xxx 无 空 暂无 暂缺 待补 待补充 待填 待定 未填 未知 不详 略 见上 同上 无答案 没有答案 暂无答案 无内容 暂无数据".split())
@@ -33,8 +35,11 @@ REFUSALS = [
     r"(?:お答え|回答|返答|お手伝い)(?:する)?(?:こと)?(?:は|が)?(?:でき|いたしかね|出来)|申し訳(?:あり|ござい)|извините|(?:я )?не могу (?:ответить|помочь|предоставить)|답변(?:할|드릴) 수 없|죄송합니다",
 ]
 _refusal = re.compile("|".join(f"(?:{x})" for x in REFUSALS))
-#: What a first person must be near in a Chinese refusal that could also be part of a report.
-_reported = re.compile(r"(?:值守|救援|当地|居民|部门|队伍|医院|政府|村民|人员)[^。！？，；]{0,8}(?:无法|不能|难以|拒绝|超出)|(?:无法|不能|难以)(?:提供|完成|协助|处理|满足)[^。！？，；我]{1,12}(?:物资|用水|供水|供电|电力|用电|服务|需要|需求|转移|救援|排水|抢修|通行)")
+#: Chinese: what may stand before a refusal in its clause (no other subject), and what it may refer to; a report says who could not do what to which thing.
+_polite = re.compile(r"很抱歉|非常抱歉|抱歉|对不起|不好意思|很遗憾|遗憾的是|遗憾|您好|你好|作为[^，。]{0,12}|暂时|目前|现在|实在|确实|恐怕|因此|所以|对此|就此|也|都|还|请原谅|sorry|(?:该|这个|这一|此类?|您的|你的|上述)(?:个)?(?:问题|请求|内容|提问)|关于[^，。]{0,20}|[\s,，]")
+_speaker = re.compile(r"我|恕|本人|本助手|本模型|语言模型")
+_matter = re.compile(r"^(?:您|你|这|该|此|任何|更多|具体|相关|有关|准确|确切|明确|上述)|(?:内容|信息|资料|数据|答案|回答|答复|请求|要求|问题|帮助|协助|意见|评论|建议)$")
+_clause = re.compile(r"[^，。！？；：,!?;:]*")
 _lead = re.compile(r"^\W*(?:请问|请教|问题|提问|题目|问|原题|您问的是|你问的是|关于|回答|答案|答|question|query|prompt|q|answer|a|you asked|the question is|regarding)\s*[：:，,]?\s*", re.I)
 # Words that go with a question in a copied answer without adding to it.
 FILLER = frozenset("的 了 呢 吗 啊 吧 请 问 题 是 the a an is question answer q".split())
@@ -114,16 +119,26 @@ def is_empty(answer: str) -> bool:
 
 
 def is_refusal(answer: str) -> bool:
+    """Declines in the first person or in none; what others could not do is a report."""
     text = answer.lower().replace("’", "'")
-    found = _refusal.search(text)
-    return bool(found) and not (_reported.search(text) and not re.search("我|恕|作为|语言模型", text))
+    for m in _refusal.finditer(text):
+        if not re.search("[㐀-鿿]", m[0]) or re.search("[぀-ヿ]", m[0]):
+            return True
+        start = max(text.rfind(mark, 0, m.start()) for mark in "，。！？；：,!?;:") + 1
+        before, after = text[start : m.start()], _clause.match(text, m.end())[0].strip()
+        own = _speaker.search(before + m[0]) or not _polite.sub("", before)
+        if own and (not after or _speaker.search(before + m[0]) or _matter.search(after)):
+            return True
+    return False
 
 
 def is_copy(question: str, answer: str) -> bool:
-    """Nothing but the question's own words and a lead-in."""
+    """Nothing but the question's own words and a lead-in; one that breaks off before all of them are said is only unfinished."""
     own = set(_tokens(question))
     said = [t for t in _tokens(_lead.sub("", answer)) if t not in FILLER]
-    return bool(own) and (not said or all(t in own for t in said)) and bool(_tokens(answer))
+    if not own or not _tokens(answer) or not all(t in own for t in said):
+        return False
+    return bool(_end.search(answer.rstrip(_closing))) or not said or own - FILLER <= set(said)
 
 
 def is_other_language(question: str, answer: str) -> bool:
@@ -178,10 +193,10 @@ def judge(pairs: DataFrame, statements: DataFrame) -> DataFrame:
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
-    judged = pairs.select("qid", "question", "gold_answer").mapInArrow(run, "qid string, defects array<string>, statement string")
-    whole = statements.select(F.trim("statement").alias("statement")).where("statement is not null").distinct().withColumn("whole", F.lit(True))
-    # Rows that are in no doubt get a key of their own, so that their null key makes no hot task.
-    keyed = judged.withColumn("statement", F.coalesce("statement", F.concat(F.lit("\u0000"), F.coalesce("qid", F.uuid()))))
-    settled = keyed.join(whole, "statement", "left")
+    judged = written(pairs.select("qid", "question", "gold_answer").mapInArrow(run, "qid string, defects array<string>, statement string"), "judged")
+    doubtful = judged.where("statement is not null")
+    # Only statements that are asked for leave their scan: the answers in doubt are few beside them.
+    known = statements.select(F.trim("statement").alias("statement")).join(doubtful.select("statement").distinct(), "statement", "left_semi").distinct()
+    settled = doubtful.join(known.withColumn("whole", F.lit(True)), "statement", "left")
     kept = F.when(F.col("whole"), F.array_remove("defects", "truncated")).otherwise(F.col("defects"))
-    return settled.select("qid", kept.alias("defects")).where("size(defects) > 0")
+    return judged.where("statement is null").select("qid", "defects").unionByName(settled.select("qid", kept.alias("defects")).where("size(defects) > 0"))
