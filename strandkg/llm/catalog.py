@@ -27,11 +27,11 @@ def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     texts = table(spark, d, "results_extraction").select("row_id", F.col("raw_text").alias("text"))
     first = split.split_texts(texts).where("piece = 0")
-    return first.select("row_id", F.when(F.col("longest_run") > split.LIMIT, "yes").otherwise("no").alias("forced"))
+    return first.select("row_id", F.when(F.col("forced_run") > split.LIMIT, "yes").otherwise("no").alias("forced"))
 
 
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return split.split_texts(table(spark, d, "results_extraction").select("row_id", F.col("raw_text").alias("text"))).drop("longest_run")
+    return split.split_texts(table(spark, d, "results_extraction").select("row_id", F.col("raw_text").alias("text"))).drop("forced_run")
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
@@ -105,6 +105,16 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p3_pieces, p4_found, p4_all_defects, p6_found, p6_repaired, p7_found, p7_groups, p8_found, p8_items, p9_shares, p9_mixture, p10_found, p10_scores, p10_rates)}
 
+_PIECES = r"""signs as (select row_id, raw_text, length(raw_text) as n, list_transform(range(1, length(raw_text) + 1), lambda i: substr(raw_text, i, 1)) as c from results_extraction where length(raw_text) > 600),
+    spaced as (select *, list_transform(c, lambda x: strpos({spaces}, x) > 0) as s from signs),
+    cuts as (select row_id, raw_text, n, list_filter(flatten(list_transform(range(1, n + 1), lambda i: [
+        {{'p': i, 'l': case when c[i] = chr(10) and (i = n or c[i + 1] <> chr(10)) then 0 end}}, {{'p': i, 'l': case when strpos('。！？；', c[i]) > 0 then 1 end}},
+        {{'p': i, 'l': case when strpos('，、：,:', c[i]) > 0 or (strpos('.!?;', c[i]) > 0 and i < n and s[i + 1]) then 2 end}}, {{'p': i, 'l': case when s[i] and (i = n or not s[i + 1]) then 3 end}}])), lambda x: x.l is not null) as points from spaced),
+    parts(row_id, low, high, level) as (select row_id, 0::bigint, n, -1 from cuts union all
+      select row_id, x.low, x.high, x.level from (select row_id, unnest([{{'low': low, 'high': best.p, 'level': best.l}}, {{'low': best.p, 'high': high, 'level': level}}]) as x from (
+        select p.row_id as row_id, low, high, level, coalesce(list_sort(list_transform(list_filter(points, lambda x: x.p > low and x.p < high), lambda x: {{'k': (case when x.l < 2 then 0 else x.l * 4 end) + (case when abs(x.p - (low + high) // 2) <= greatest(1, (high - low) // 4) then 0 else 2 end) + (case when x.l = 1 then 1 else 0 end), 'd': abs(x.p - (low + high) // 2), 'p': x.p, 'l': x.l}}))[1], {{'k': 99, 'd': 0, 'p': (low + high) // 2, 'l': 4}}) as best
+        from parts p join cuts using (row_id) where high - low > 600 - (case when low > 0 then 60 else 0 end)))),
+    leaves as (select * from parts where high - low <= 600 - (case when low > 0 then 60 else 0 end))""".format(spaces="||".join(f"chr({c})" for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _WIDE = "".join(chr(c) for c in (*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B)))
 _HALF = "".join(chr(ord(c) - 0xFEE0) for c in _WIDE)
 
@@ -128,6 +138,7 @@ SQL = {
     "p6_repaired": f"with {_PLAIN} select row_id, field, pos, plain from odd",
     "p7_found": f"with {_SHARED} select least(a.row_id, b.row_id) as row_id_a, greatest(a.row_id, b.row_id) as row_id_b from near join texts a on a.t = t1 join texts b on b.t = t2 where t1 < t2 or a.row_id < b.row_id",
     "p3_found": "select row_id, case when regexp_matches(raw_text, '[^。！？；\\n]{601,}') then 'yes' else 'no' end as forced from results_extraction where length(raw_text) > 600",
+    "p3_pieces": f"with recursive {_PIECES} select row_id, (row_number() over (partition by row_id order by low) - 1)::int as piece, (case when low > 0 then low - 60 else 0 end)::int as start, high::int as \"end\", substr(raw_text, (case when low > 0 then low - 60 else 0 end) + 1, high - (case when low > 0 then low - 60 else 0 end)) as text, level::int as level from leaves join cuts using (row_id)",
     "p8_found": _LEAKS,
     "p8_items": f"select item_id, count(*) as n_documents from ({_LEAKS}) group by item_id",
 }

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 LIMIT, OVERLAP = 600, 60
 #: Ends of lines and of sentences, then clauses, then words: stronger first.
 _levels = [re.compile(r"\n+"), re.compile(r"[。！？；]"), re.compile(r"[.!?;](?=\s)|[，、：,:]"), re.compile(r"\s+")]
-_natural = re.compile("[。！？；\n]")
+_marks = "。！？；\n"
 
 
 def _cuts(text: str) -> list[list[int]]:
@@ -47,48 +47,45 @@ def _best(cuts: list[list[int]], low: int, high: int) -> tuple[int, int]:
     return middle, len(cuts)
 
 
-def split_points(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """Where the pieces of ``text`` end, each with the level of its cut (0 strongest; -1 at the end of the text)."""
+def bisect(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[list[tuple[int, int]], int]:
+    """Where the pieces of ``text`` end, each with the level of its cut (0 strongest; -1 at the end of the text), and the longest stretch without a sentence or line end that had to be cut (0: none)."""
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be smaller than the limit")
-    cuts, out, todo = _cuts(text), [], [(0, len(text), -1)]
+    cuts, out, todo, longest = _cuts(text), [], [(0, len(text), -1, True)], 0
     while todo:
-        low, high, level = todo.pop()
+        low, high, level, whole = todo.pop()
         if high - low <= limit - (overlap if low else 0):
             out.append((high, level))
             continue
         at, cut = _best(cuts, low, high)
-        todo += [(at, high, level), (low, at, cut)]
-    return out
+        if cut > 1 and whole:  # between two natural ends: no part of a stretch met before
+            longest = max(longest, len(text[low:high].rstrip(_marks)))
+        todo += [(at, high, level, cut < 2), (low, at, cut, cut < 2)]
+    return out, longest
 
 
-def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
+def pieces(ends: list[tuple[int, int]], overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
     """(start, end, level) of each piece, the overlap included."""
     out, low = [], 0
-    for high, level in split_points(text, limit, overlap):
+    for high, level in ends:
         out.append((max(0, low - overlap) if low else 0, high, level))
         low = high
     return out
 
 
-def longest_run(text: str) -> int:
-    """The most characters in a row without a sentence or line end."""
-    return max(map(len, _natural.split(text)))
-
-
-_PIECE = pa.schema([("row_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("level", pa.int32()), ("longest_run", pa.int32())])
+_PIECE = pa.schema([("row_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("level", pa.int32()), ("forced_run", pa.int32())])
 
 
 def split_texts(texts: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """Pieces of all texts of ``texts`` (row_id, text) over the limit, with the longest boundary-free run of their text."""
+    """Pieces of all texts of ``texts`` (row_id, text) over the limit, with the longest stretch of their text that had to be cut where no sentence or line ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for row_id, text in zip(batch.column("row_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                most = longest_run(text)
-                rows += [(row_id, k, a, b, text[a:b], level, most) for k, (a, b, level) in enumerate(pieces(text, limit, overlap))]
+                ends, forced = bisect(text, limit, overlap)
+                rows += [(row_id, k, a, b, text[a:b], level, forced) for k, (a, b, level) in enumerate(pieces(ends, overlap))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, (x.type for x in _PIECE), strict=True)], schema=_PIECE)
 
     over = texts.select("row_id", "text").where(F.length("text") > limit)
-    return over.mapInArrow(run, "row_id long, piece int, start int, end int, text string, level int, longest_run int")
+    return over.mapInArrow(run, "row_id long, piece int, start int, end int, text string, level int, forced_run int")
