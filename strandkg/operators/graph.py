@@ -57,10 +57,12 @@ def neighbors(edges: DataFrame, seeds: DataFrame, direction: str = "out") -> Dat
 def hop_nodes(edges: DataFrame, seeds: DataFrame, hops: int, max_degree: int | None = None) -> DataFrame:
     """(qid, id) of all nodes within ``hops`` of the seeds of each question, whatever the direction.
 
-    Only new nodes are expanded. Each round is cut from its lineage, so the plan stays flat and survives lost executors.
+    Only new nodes are expanded. The edges both ways are written once where several rounds read them, and each round is cut from its lineage, so the plan stays flat and survives lost executors.
     ``max_degree`` leaves nodes of more neighbours unexpanded; None, the default, expands all.
     """
     both = edges.select(F.col("src").alias("id"), F.col("dst").alias("other")).unionByName(edges.select(F.col("dst").alias("id"), F.col("src").alias("other"))).distinct()
+    if hops > 1:
+        both = written(both, "adjacency")
     if max_degree is not None:
         both = both.join(both.groupBy("id").count().where(F.col("count") <= max_degree).select("id"), "id", "left_semi")
     visited = frontier = seeds.select("qid", "id").distinct()
@@ -98,22 +100,29 @@ def graph_size(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def upsert_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
-    fresh = new.groupBy("label", "id").agg(F.max("props").alias("props"))
-    kept = old.join(fresh.select("label", "id"), ["label", "id"], "left_anti")
-    return kept.select("id", "label", "props").unionByName(fresh.select("id", "label", "props"))
+    """Nodes by (label, id). Of the rows of ``new`` for a node the last one's properties are set (greatest ``ord``, where there is such a column); properties that are null are not set, so the old ones stay."""
+    order = F.struct("ord", "props") if "ord" in new.columns else F.col("props")
+    fresh = new.groupBy("label", "id").agg(F.max_by("props", F.when(F.col("props").isNotNull(), order)).alias("props"))
+    both = old.select("label", "id", F.col("props").alias("old_props")).join(fresh, ["label", "id"], "full_outer")
+    return both.select("id", "label", F.coalesce("props", "old_props").alias("props"))
 
 
 def upsert_edges(old: DataFrame, new: DataFrame) -> DataFrame:
-    return old.select("src", "rel", "dst").unionByName(new.select("src", "rel", "dst")).distinct()
+    """Edges as a set of (src, rel, dst, dst_label)."""
+    columns = ["src", "rel", "dst", "dst_label"]
+    return old.select(*columns).unionByName(new.select(*columns)).distinct()
 
 
-def store_nodes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Event records as the persistent store keeps them: nodes by (label, name), the original row as JSON, attribute labels capitalised."""
+def store_nodes(records: DataFrame, order: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Event records as the persistent store keeps them: nodes (id, label, props, ord) by label and name, the original row as JSON, attribute labels capitalised; edges (src, rel, dst, dst_label) from events to
+    attribute nodes, whose label tells apart nodes of one name. ``order``: which row of an id is the last."""
     from strandkg.schema import EVENT_ONTOLOGY
 
-    text = F.to_json(F.struct(*records.columns))
+    ord_ = (order if order is not None else F.monotonically_increasing_id()).cast("long").alias("ord")
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in records.columns]))
     props = F.to_json(F.struct(F.coalesce("type", F.lit("unknown")).alias("type"), F.coalesce("impact", F.lit("")).alias("description"), text.alias("original_text")))
-    events = records.where(present(F.col("id"))).select("id", F.lit("Event").alias("label"), props.alias("props"))
+    events = records.where(present(F.col("id"))).select("id", F.lit("Event").alias("label"), props.alias("props"), ord_)
     links = attribute_links(records, "id", EVENT_ONTOLOGY)
-    values = links.select(F.col("value").alias("id"), F.initcap("label").alias("label"), F.lit(None).cast("string").alias("props")).distinct()
-    return events.unionByName(values), links.select("src", "rel", F.col("value").alias("dst")).distinct()
+    label = F.initcap("label")
+    values = links.select(F.col("value").alias("id"), label.alias("label")).distinct().select("id", "label", F.lit(None).cast("string").alias("props"), F.lit(None).cast("long").alias("ord"))
+    return events.unionByName(values), links.select("src", "rel", F.col("value").alias("dst"), label.alias("dst_label")).distinct()

@@ -1,6 +1,6 @@
 """Exact cosine search, a stated set of queries against all rows, in blocks.
 
-The queries are taken ``BLOCK`` at a time as one matrix that goes to the tasks (its size is bound by ``BLOCK`` and the dimension; the driver holds one block at a time); every task multiplies it with its own rows and
+The queries are taken ``BLOCK`` at a time as one matrix that goes to the tasks (its size is bound by ``BLOCK`` and the dimension; the driver holds one block at a time); every task multiplies it with its own rows, in tiles of ``TILE`` scores, and
 keeps its ``k`` best per query, so what is shuffled is ``k`` rows per query and task, and neither side is ever joined with the other pair by pair.
 
 Scores are rounded to 1e-6, so that equal vectors tie; ties go to the greater id. A zero vector is similar to nothing (0). Null vectors give no row. NaN scores rank first, take a place
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from strandkg.session import written
 
 BLOCK = 4096
+#: Scores held at a time: some ten arrays of eight bytes each.
+TILE = 2_000_000
 _HIT = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
 _DDL = "qid long, id long, score double"
 
@@ -29,27 +31,43 @@ def _unit(rows: list) -> np.ndarray:
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
 
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query index, score, id) of the ``k`` best in each row of ``scores``, NaN first, ties to the greater id. Only what is no worse than the k-th score is sorted."""
+    ranked = np.where(np.isnan(scores), np.inf, scores)
+    n = ranked.shape[1]
+    least = np.partition(ranked, n - k, axis=1)[:, n - k] if k < n else np.full(len(ranked), -np.inf)
+    q, i = np.nonzero(ranked >= least[:, None])
+    order = np.lexsort((-ids[q, i], -ranked[q, i], q))
+    q, i = q[order], i[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    kept = place < k
+    return q[kept], scores[q[kept], i[kept]], ids[q[kept], i[kept]]
+
+
 def _scan(queries: list[tuple], k: int | None, threshold: float | None):  # noqa: ANN202
     qids, matrix = np.array([q[0] for q in queries], np.int64), _unit([q[1] for q in queries])
+    tile = max(16, TILE // max(1, len(queries)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: tuple | None = None
+        kept: tuple | None = None  # scores and ids of each query's best so far, filled up with what ranks last
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column("id").to_numpy()
-            scores = np.round(matrix @ _unit(batch.column("vector").to_pylist()).T, 6)
-            if k is None:
-                q, i = np.nonzero(scores > threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(qids[q]), pa.array(ids[i]), pa.array(scores[q, i])], schema=_HIT)
-                continue
-            all_scores = scores if best is None else np.concatenate([best[0], scores], axis=1)
-            all_ids = np.broadcast_to(ids, scores.shape) if best is None else np.concatenate([best[1], np.broadcast_to(ids, scores.shape)], axis=1)
-            order = np.lexsort((-all_ids, np.where(np.isnan(all_scores), -np.inf, -all_scores)), axis=1)[:, :k]
-            best = np.take_along_axis(all_scores, order, 1), np.take_along_axis(all_ids, order, 1)
-        if best is not None:
-            n = best[0].shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(best[1].ravel()), pa.array(best[0].ravel())], schema=_HIT)
+            for start in range(0, batch.num_rows, tile):
+                part = batch.slice(start, tile)
+                ids = part.column("id").to_numpy()
+                scores = np.round(matrix @ _unit(part.column("vector").to_pylist()).T, 6)
+                if k is None:
+                    q, i = np.nonzero(scores > threshold)
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[q]), pa.array(ids[i]), pa.array(scores[q, i])], schema=_HIT)
+                    continue
+                every = np.broadcast_to(ids, scores.shape)
+                if kept is not None:
+                    scores, every = np.concatenate([kept[0], scores], axis=1), np.concatenate([kept[1], every], axis=1)
+                q, s, x = _best(scores, every, k)
+                width = min(k, scores.shape[1])
+                kept = s.reshape(-1, width), x.reshape(-1, width)
+        if kept is not None:
+            n = kept[0].shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(kept[1].ravel()), pa.array(kept[0].ravel())], schema=_HIT)
 
     return run
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,8 @@ from strandkg.operators import chat, context, graph, vector
 from strandkg.operators.bm25 import Bm25Index
 from strandkg.plans import evaluate, rag
 from strandkg.schema import EVENT_ONTOLOGY, Config
-from strandkg.session import table, written
-from strandkg.sources.sinks import graphml_lines
+from strandkg.session import shared_dir, table, written
+from strandkg.sources.sinks import GraphStore, graphml_lines
 
 OFFLINE = {"provider": "offline"}
 #: Searches ask with every row whose id is divisible by this.
@@ -314,21 +316,36 @@ def extract_offline(spark: SparkSession, d: str) -> DataFrame:
     return chat.extract(texts, OFFLINE).select(F.col("doc_id").alias("row_id"), F.array_join(F.array_sort("extraction_result.entities.name"), "|").alias("months"))
 
 
-def graph_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes after the events of two periods that overlap were upserted one after the other."""
+def _periods(spark: SparkSession, d: str) -> list[tuple[DataFrame, DataFrame]]:
+    """Nodes and edges of the events of two periods that overlap."""
     events = _events(spark, d)
-    old, new = events.where("ingested_at < timestamp'2025-10-01'"), events.where("ingested_at >= timestamp'2025-04-01'")
-    return graph.upsert_nodes(graph.upsert_nodes(graph.store_nodes(old)[0].limit(0), graph.store_nodes(old)[0]), graph.store_nodes(new)[0]).select("id", "label")
+    return [graph.store_nodes(e, F.col("seq")) for e in (events.where("ingested_at < timestamp_ntz'2025-10-01'"), events.where("ingested_at >= timestamp_ntz'2025-04-01'"))]
+
+
+def graph_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes after the events of two periods were upserted one after the other: of an id's rows the last one of the later period counts."""
+    (old, _), (new, _) = _periods(spark, d)
+    nodes = graph.upsert_nodes(graph.upsert_nodes(old.limit(0), old), new)
+    seq = F.get_json_object(F.get_json_object("props", "$.original_text"), "$.seq").cast("long").alias("seq")
+    return nodes.select("id", "label", F.get_json_object("props", "$.type").alias("type"), F.get_json_object("props", "$.description").alias("description"), seq)
 
 
 def graph_upsert_edges(spark: SparkSession, d: str) -> DataFrame:
-    events = _events(spark, d)
-    old, new = events.where("ingested_at < timestamp'2025-10-01'"), events.where("ingested_at >= timestamp'2025-04-01'")
-    return graph.upsert_edges(graph.store_nodes(old)[1], graph.store_nodes(new)[1])
+    (_, old), (_, new) = _periods(spark, d)
+    return graph.upsert_edges(old, new)
+
+
+def graph_store(spark: SparkSession, d: str) -> DataFrame:
+    """How many nodes and edges a store holds after both periods went into it, and its edges by relation and kind of end."""
+    store = GraphStore(spark, f"{shared_dir(spark)}/strandkg/store-{uuid.uuid4().hex}", buckets=8)
+    for nodes, edges in _periods(spark, d):
+        store.upsert(nodes, edges)
+    nodes, edges = store.read()
+    return edges.groupBy("rel", "dst_label").agg(F.count(F.lit(1)).alias("n")).unionByName(nodes.groupBy(F.lit("node").alias("rel"), F.col("label").alias("dst_label")).agg(F.count(F.lit(1)).alias("n")))
 
 
 def graph_upsert_idempotent(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = graph.store_nodes(_events(spark, d))
+    nodes, edges = graph.store_nodes(_events(spark, d), F.col("seq"))
     once_n, once_e = graph.upsert_nodes(nodes.limit(0), nodes), graph.upsert_edges(edges.limit(0), edges)
     return graph.graph_size(graph.upsert_nodes(once_n, nodes), graph.upsert_edges(once_e, edges))
 
@@ -343,7 +360,7 @@ _FUNCTIONS = (
     kg_hop_multi_seed, kg_triples, kg_context_arrow, kg_context_bullets, kg_graphml, text_concat, bm25_tokens, bm25_stats, bm25_idf, bm25_topk_batch, bm25_top1, vec_cosine,
     vec_topk_threshold, vec_topk_batch, vec_threshold_all, naive_rag_context, graph_rag_context, answer_offline, vector_graph_rag_context, semantic_neighborhood, sentinel_no_hit,
     kg_hop_multi_seed_all, graph_rag_context_hops, answer_offline_hops, vector_graph_rag_context_hops, qa_comparison_hops,
-    eval_hit_rate, eval_hit_rate_all, qa_comparison, extract_parse, extract_entity_graph, extract_offline, graph_upsert, graph_upsert_edges, graph_upsert_idempotent, chat_messages,
+    eval_hit_rate, eval_hit_rate_all, qa_comparison, extract_parse, extract_entity_graph, extract_offline, graph_upsert, graph_upsert_edges, graph_store, graph_upsert_idempotent, chat_messages,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -457,8 +474,9 @@ SQL = {
     "qa_comparison": f"with {_SEARCH}, {_SEEDED}, {_NAIVE} select q.text as question, coalesce(l.first_line, '{_SENTINELS[2]}') as graphrag_answer, coalesce(n.first_line, '{_SENTINELS[0]}') as baseline_answer, cast(length(coalesce(n.context, '{_SENTINELS[0]}')) as int) as baseline_context_len, coalesce(l.n_lines, 0) as graph_context_triples from questions q left join naive n on q.qid = n.qid left join lines l on q.qid = l.qid",
     "extract_parse": "select row_id, 'json' as kind, cast(coalesce(len(extraction_result.entities), 0) as int) as n_entities, cast(coalesce(len(extraction_result.relations), 0) as int) as n_relations from results_extraction union all select row_id, 'text', 0, 0 from results_extraction",
     "extract_offline": "select row_id, coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(raw_text, '[0-9]{4}年[0-9]{1,2}月'))), '|'), '') as months from results_extraction",
-    "graph_upsert": f"with {_links(_PERIODS)} select id, 'Event' as label from sample_events where id is not null and id <> '' and {_PERIODS} group by id union all select value, upper(label[1]) || label[2:] from links group by label, value",
-    "graph_upsert_edges": f"with {_links(_PERIODS)} select distinct src, rel, value as dst from links",
-    "graph_upsert_idempotent": f"with {_links()} select (select count(distinct id) from sample_events where id is not null and id <> '') + (select count(*) from (select distinct label, value from links)) as n_nodes, (select count(*) from (select distinct src, rel, value from links)) as n_edges",
+    "graph_upsert": f"with {_links(_PERIODS)}, last_rows as (select id, arg_max(seq, (case when ingested_at >= timestamp '2025-04-01' then 1 else 0 end) * 1000000000000 + seq) as seq from sample_events where id is not null and id <> '' and {_PERIODS} group by id) select e.id, 'Event' as label, coalesce(e.type, 'unknown') as type, coalesce(e.impact, '') as description, e.seq from last_rows r join sample_events e using (seq) union all select value, upper(label[1]) || label[2:], null, null, null from links group by label, value",
+    "graph_upsert_edges": f"with {_links(_PERIODS)} select distinct src, rel, value as dst, upper(label[1]) || label[2:] as dst_label from links",
+    "graph_store": f"with {_links(_PERIODS)} select rel, upper(label[1]) || label[2:] as dst_label, count(distinct (src, value)) as n from links group by 1, 2 union all select 'node', upper(label[1]) || label[2:], count(distinct value) from links group by 1, 2 union all select 'node', 'Event', count(distinct id) from sample_events where id is not null and id <> '' and {_PERIODS}",
+    "graph_upsert_idempotent": f"with {_links()} select (select count(distinct id) from sample_events where id is not null and id <> '') + (select count(*) from (select distinct label, value from links)) as n_nodes, (select count(*) from (select distinct src, rel, value, label from links)) as n_edges",
     "chat_messages": "select qid, cast(case when gold_answer is not null and gold_answer <> '' then 2 else 1 end as int) as n_messages, case when gold_answer is not null and gold_answer <> '' then 'system' else 'user' end as first_role, question as last_content from qa_eval",
 }

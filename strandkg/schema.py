@@ -17,6 +17,8 @@ KG = T.StructType([T.StructField("entities", T.ArrayType(_strings("name", "type"
 EXTRACTION_LOG = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("raw_text", T.StringType()), T.StructField("extraction_result", KG), T.StructField("latency", T.DoubleType())])
 NODE = _strings("id", "label", "props")
 EDGE = _strings("src", "rel", "dst")
+#: Edges of the persistent store: its nodes are told apart by label and name.
+STORE_EDGE = _strings("src", "rel", "dst", "dst_label")
 
 # The relations of an event record, in their order.
 EVENT_ONTOLOGY = {"location": "occurs_in", "time": "occurs_on", "cause": "caused_by", "impact": "has_impact", "measure": "handled_by", "source": "sourced_from"}
