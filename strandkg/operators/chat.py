@@ -1,6 +1,6 @@
 """The boundary to language models: a backend protocol, a registry, and operators that call it in batches.
 
-A backend is made once per partition from its configuration. A call that fails gives an empty answer. Tasks may be run again, so a prompt may be sent twice; backends of temperature 0 or with a
+A backend is made once per partition from its configuration. A call that fails gives an empty reply and its error; what an answer then says is the caller's to state. Tasks may be run again, so a prompt may be sent twice; backends of temperature 0 or with a
 store of answers make that harmless.
 """
 
@@ -23,6 +23,8 @@ EXTRACT_PROMPT = (
     "Extract the entities and the relations between them from the text below. Reply with one JSON object only:\n"
     '{"entities": [{"name": "...", "type": "..."}], "relations": [{"head": "...", "relation": "...", "tail": "..."}]}\nText:\n{text}'
 )
+EXTRACT_SYSTEM = "You extract information precisely."
+ANSWER_SYSTEM = "You answer questions about disasters from a knowledge graph."
 ANSWER_PROMPT = "Answer the question from the known facts only, and say so where they don't suffice.\nQuestion: {question}\nKnown facts:\n{context}\nAnswer:"
 JSON_TEMPERATURE = 0.1
 
@@ -51,25 +53,61 @@ class HttpBackend:
     def __init__(self, config: dict) -> None:
         from strandkg.sources.readers import secret
 
+        if not config.get("url"):
+            raise ValueError("the configuration of a service needs its url")
         self.config, self.key = config, secret(config.get("key_name", "LLM_API_KEY"))
 
+    def body(self, prompt: str, system: str | None, json_mode: bool) -> dict:
+        kind = {"response_format": {"type": "json_object"}} if json_mode else {}
+        return {"model": self.config.get("model_name", ""), "messages": message_list(prompt, system), "temperature": JSON_TEMPERATURE if json_mode else self.config.get("temperature", 0.1)} | kind
+
+    def headers(self) -> dict:
+        return {"Authorization": f"Bearer {self.key}"}
+
+    def reply(self, answer: dict) -> str:
+        return answer["choices"][0]["message"]["content"]
+
     def chat(self, prompt: str, system: str | None = None, json_mode: bool = False) -> str:
         import urllib.request
 
-        body = {"model": self.config.get("model_name", ""), "messages": message_list(prompt, system), "temperature": JSON_TEMPERATURE if json_mode else self.config.get("temperature", 0.1)}
-        request = urllib.request.Request(self.config["url"], json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"})
+        request = urllib.request.Request(self.config["url"], json.dumps(self.body(prompt, system, json_mode)).encode(), {"Content-Type": "application/json"} | self.headers())
         with urllib.request.urlopen(request, timeout=self.config.get("timeout", 120)) as reply:
-            return json.load(reply)["choices"][0]["message"]["content"]
+            return self.reply(json.load(reply))
+
+
+class FoldedHttpBackend(HttpBackend):
+    """A generate-content service without a system role: the system message goes in front of the prompt, and the temperature is the service's own, whatever the configuration says."""
+
+    TEMPERATURE = 0.7
+
+    def body(self, prompt: str, system: str | None, json_mode: bool) -> dict:
+        settings = {"temperature": JSON_TEMPERATURE if json_mode else self.TEMPERATURE, "responseMimeType": "application/json" if json_mode else "text/plain"}
+        return {"contents": [{"role": "user", "parts": [{"text": folded(prompt, system)}]}], "generationConfig": settings}
 
+    def headers(self) -> dict:
+        return {self.config.get("key_header", "x-goog-api-key"): self.key}
 
-BACKENDS: dict[str, Callable[[dict], Backend]] = {"offline": OfflineBackend, "http": HttpBackend}
+    def reply(self, answer: dict) -> str:
+        return "".join(part.get("text", "") for part in answer["candidates"][0]["content"]["parts"])
+
+
+BACKENDS: dict[str, Callable[[dict], Backend]] = {"offline": OfflineBackend, "http": HttpBackend, "http_folded": FoldedHttpBackend}
+
+
+def check_provider(config: dict) -> None:
+    """An error here, where the configuration is read, rather than in the tasks."""
+    if (name := config.get("provider", "offline")) not in BACKENDS:
+        raise ValueError(f"unknown provider {name!r}; known: {', '.join(sorted(BACKENDS))}; register a backend of that name in chat.BACKENDS, or run with the offline stand-ins")
 
 
 def make_backend(config: dict) -> Backend:
-    name = config.get("provider", "offline")
-    if name not in BACKENDS:
-        raise ValueError(f"unknown provider {name!r}; known: {', '.join(sorted(BACKENDS))}")
-    return BACKENDS[name](config)
+    check_provider(config)
+    return BACKENDS[config.get("provider", "offline")](config)
+
+
+def folded(prompt: str, system: str | None = None) -> str:
+    """One text where a service has no system role."""
+    return f"System: {system}\nUser: {prompt}" if system else prompt
 
 
 def message_list(prompt: str, system: str | None = None) -> list[dict]:
@@ -89,25 +127,30 @@ def fill(template: str, **columns: Column) -> Column:
     return out
 
 
-def chat(prompts: DataFrame, key: str, config: dict, json_mode: bool = False) -> DataFrame:
-    """(key, reply, latency) of ``prompts`` (key, prompt)."""
+def chat(prompts: DataFrame, key: str, config: dict, json_mode: bool = False, system: str | None = None) -> DataFrame:
+    """(key, reply, latency, error) of ``prompts`` (key, prompt); ``error`` is null where the call went well."""
+    check_provider(config)
+    factory = BACKENDS[config.get("provider", "offline")]  # sent along, so that registering one at the driver is enough
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         backend = None
         for batch in batches:
-            backend = backend or make_backend(config)
-            replies, took = [], []
+            backend = backend or factory(config)
+            replies, took, errors = [], [], []
             for prompt in batch.column("prompt").to_pylist():
-                began = time.monotonic()
+                began, error = time.monotonic(), None
                 try:
-                    replies.append(backend.chat(prompt or "", json_mode=json_mode) or "")
-                except Exception:  # noqa: BLE001 - whatever a service does, the other rows go on
+                    replies.append(backend.chat(prompt or "", system, json_mode) or "")
+                except Exception as e:  # noqa: BLE001 - whatever a service does, the other rows go on
                     replies.append("")
+                    error = f"{type(e).__name__}: {e}"
                 took.append(time.monotonic() - began)
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(replies, pa.string()), pa.array(took, pa.float64())], names=[key, "reply", "latency"])
+                errors.append(error)
+            columns = [batch.column(key), pa.array(replies, pa.string()), pa.array(took, pa.float64()), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "reply", "latency", "error"])
 
     kind = dict(prompts.dtypes)[key]
-    return prompts.select(key, "prompt").mapInArrow(run, f"`{key}` {kind}, reply string, latency double")
+    return prompts.select(key, "prompt").mapInArrow(run, f"`{key}` {kind}, reply string, latency double, error string")
 
 
 def parse_extraction(reply: Column) -> Column:
@@ -117,14 +160,22 @@ def parse_extraction(reply: Column) -> Column:
     return F.struct(F.coalesce(found["entities"], empty_e).alias("entities"), F.coalesce(found["relations"], empty_r).alias("relations"))
 
 
-def extract(texts: DataFrame, config: dict) -> DataFrame:
-    """(doc_id, extraction_result, latency) of texts (doc_id, text)."""
-    asked = texts.select("doc_id", fill(EXTRACT_PROMPT, text=F.col("text")).alias("prompt"))
-    return chat(asked, "doc_id", config, json_mode=True).select("doc_id", parse_extraction(F.col("reply")).alias("extraction_result"), "latency")
+def extract(texts: DataFrame, config: dict, prompt: str = EXTRACT_PROMPT, system: str = EXTRACT_SYSTEM, fallback: DataFrame | None = None) -> DataFrame:
+    """(doc_id, extraction_result, latency, status) of texts (doc_id, text).
+
+    ``status`` is ``ok``, or ``empty`` where no entity was found. Then the result is that of ``fallback`` (one row: entities, relations), where given, and the status ``fallback``.
+    """
+    asked = texts.select("doc_id", fill(prompt, text=F.col("text")).alias("prompt"))
+    found = chat(asked, "doc_id", config, json_mode=True, system=system).select("doc_id", parse_extraction(F.col("reply")).alias("extraction_result"), "latency")
+    empty = F.size("extraction_result.entities") == 0
+    if fallback is None:
+        return found.select("*", F.when(empty, "empty").otherwise("ok").alias("status"))
+    instead = F.from_json(F.lit(fallback.select(F.to_json(F.struct("entities", "relations"))).first()[0]), KG)  # one row
+    return found.select("doc_id", F.when(empty, instead).otherwise(F.col("extraction_result")).alias("extraction_result"), "latency", F.when(empty, "fallback").otherwise("ok").alias("status"))
 
 
-def answer(contexts: DataFrame, config: dict) -> DataFrame:
-    """(qid, draft_answer) of contexts (qid, text, context, status); a question without context is answered by its sentinel, not by the model."""
-    asked = contexts.where("status = 'ok'").select("qid", fill(ANSWER_PROMPT, question=F.col("text"), context=F.col("context")).alias("prompt"))
-    replied = chat(asked, "qid", config).select("qid", F.col("reply").alias("draft_answer"))
+def answer(contexts: DataFrame, config: dict, prompt: str = ANSWER_PROMPT, system: str = ANSWER_SYSTEM, failed: str = "") -> DataFrame:
+    """(qid, draft_answer) of contexts (qid, text, context, status); a question without context is answered by its sentinel, not by the model, one whose call failed by ``failed``."""
+    asked = contexts.where("status = 'ok'").select("qid", fill(prompt, question=F.col("text"), context=F.col("context")).alias("prompt"))
+    replied = chat(asked, "qid", config, system=system).select("qid", F.when(F.col("error").isNull(), F.col("reply")).otherwise(F.lit(failed)).alias("draft_answer"))
     return replied.unionByName(contexts.where("status <> 'ok'").select("qid", F.col("context").alias("draft_answer")))

@@ -8,17 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandkg.functions import text
-from strandkg.operators import chat, context, graph, vector
+from strandkg.operators import chat, context, encode, graph, vector
 from strandkg.operators.bm25 import Bm25Index
 from strandkg.plans import evaluate, rag
 from strandkg.schema import EVENT_ONTOLOGY, Config
-from strandkg.session import shared_dir, table, written
+from strandkg.session import once, shared_dir, table, written
 from strandkg.sources.sinks import GraphStore, graphml_lines
 
 OFFLINE = {"provider": "offline"}
 #: Searches ask with every row whose id is divisible by this.
 EVERY = 50
-#: Of the queries named ..._hops. The SQL of those without it in their name is fixed at one hop.
+#: The configured hops of a context.
 HOPS = Config().graph_hops
 
 
@@ -30,6 +30,26 @@ def _event_edges(spark: SparkSession, d: str, ontology: dict[str, str] = EVENT_O
     return graph.event_edges(_events(spark, d), "id", ontology, F.col("seq"))
 
 
+def _stored_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The event graph's edges, written once for all queries that walk it."""
+    return once(spark, d, "event-edges", ("sample_events",), lambda: written(_event_edges(spark, d), "event-edges"))
+
+
+def _event_index(spark: SparkSession, d: str) -> Bm25Index:
+    """The lexical index of the events, made once for all queries that search it."""
+    return once(spark, d, "event-index", ("sample_events",), lambda: Bm25Index(_events(spark, d).select(F.col("seq").alias("id"), text.lexical_text().alias("text"))))
+
+
+def _document_index(spark: SparkSession, d: str) -> Bm25Index:
+    return once(spark, d, "document-index", ("documents",), lambda: Bm25Index(_documents(spark, d)))
+
+
+def _event_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The encoded events, made once."""
+    rows = _events(spark, d).select(F.col("seq").alias("id"), text.vector_text().alias("text"))
+    return once(spark, d, "event-vectors", ("sample_events",), lambda: written(encode.encode(rows, "text"), "event-vectors"))
+
+
 def _geo_edges(spark: SparkSession, d: str) -> DataFrame:
     def edge(name: str, src: str, dst: str, kinds: tuple[str, str], rel: str) -> DataFrame:
         ends = [F.concat(F.lit(f"{k}_"), F.col(c)) for k, c in zip(kinds, (src, dst), strict=True)]
@@ -88,12 +108,12 @@ def extract_entity_graph(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kg_neighbors_out(spark: SparkSession, d: str) -> DataFrame:
-    return graph.neighbors(_event_edges(spark, d), _event_seeds(spark, d), "out")
+    return graph.neighbors(_stored_edges(spark, d), _event_seeds(spark, d), "out")
 
 
 def kg_neighbors_in(spark: SparkSession, d: str) -> DataFrame:
     places = table(spark, d, "canon_values").where(f"canon_id % {EVERY} = 0 and field = 'location'")
-    return graph.neighbors(_event_edges(spark, d), places.select(F.col("canon_id").alias("qid"), F.concat(F.lit("location_"), "value").alias("id")), "in")
+    return graph.neighbors(_stored_edges(spark, d), places.select(F.col("canon_id").alias("qid"), F.concat(F.lit("location_"), "value").alias("id")), "in")
 
 
 def kg_hop0(spark: SparkSession, d: str) -> DataFrame:
@@ -115,13 +135,8 @@ def kg_hop3(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kg_hop_multi_seed(spark: SparkSession, d: str) -> DataFrame:
-    """Two hops from many events over impacts: events that share an impact."""
-    return graph.hop_subgraph(_event_edges(spark, d, {"impact": "has_impact"}), _event_seeds(spark, d), 2)
-
-
-def kg_hop_multi_seed_all(spark: SparkSession, d: str) -> DataFrame:
-    """The configured hops from many events over all relations."""
-    return graph.hop_subgraph(_event_edges(spark, d), _event_seeds(spark, d), HOPS)
+    """The configured hops from many events over impacts: events that share an impact."""
+    return graph.hop_subgraph(_event_edges(spark, d, {"impact": "has_impact"}), _event_seeds(spark, d), HOPS)
 
 
 def kg_triples(spark: SparkSession, d: str) -> DataFrame:
@@ -159,13 +174,13 @@ def bm25_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
-    index = Bm25Index(_documents(spark, d))
+    index = _document_index(spark, d)
     words = index.raw.agg(F.count(F.lit(1)).alias("n_words"), F.round(F.avg("raw"), 6).alias("mean_idf"))
     return words.select(F.lit(index.n_docs).cast("long").alias("n_docs"), F.round(F.lit(index.avgdl), 6).alias("avgdl"), "n_words", "mean_idf")
 
 
 def bm25_idf(spark: SparkSession, d: str) -> DataFrame:
-    return Bm25Index(_documents(spark, d)).idf.select("tok", "df", F.round("idf", 6).alias("idf"))
+    return _document_index(spark, d).idf.select("tok", "df", F.round("idf", 6).alias("idf"))
 
 
 def _all_questions(spark: SparkSession, d: str) -> DataFrame:
@@ -177,8 +192,7 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _event_hits(spark: SparkSession, d: str, k: int, questions: DataFrame | None = None) -> DataFrame:
-    corpus = _events(spark, d).select(F.col("seq").alias("id"), text.lexical_text().alias("text"))
-    return Bm25Index(corpus).search(questions if questions is not None else _questions(spark, d), k)
+    return _event_index(spark, d).search(questions if questions is not None else _questions(spark, d), k)
 
 
 def bm25_topk_batch(spark: SparkSession, d: str) -> DataFrame:
@@ -211,97 +225,83 @@ def vec_threshold_all(spark: SparkSession, d: str) -> DataFrame:
     return vector.above(*_vectors(spark, d), 0.4)
 
 
-def _naive(spark: SparkSession, d: str, hits: DataFrame | None = None) -> DataFrame:
+def _text_hits(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """Events whose text is like the question's."""
+    return rag.vector_hits(_event_vectors(spark, d), _questions(spark, d), k=k)
+
+
+def vec_text_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _text_hits(spark, d, 3)
+
+
+def _naive(spark: SparkSession, d: str) -> DataFrame:
     records = _events(spark, d).withColumn("event_id", F.col("id")).withColumn("id", F.col("seq"))
-    return rag.naive_context(hits if hits is not None else _event_hits(spark, d, 3), records, text.lexical_text(), _questions(spark, d))
+    return rag.naive_context(_text_hits(spark, d, 3), records, text.lexical_text(), _questions(spark, d))
 
 
 def naive_rag_context(spark: SparkSession, d: str) -> DataFrame:
     return _naive(spark, d).select("qid", "context", "n_lines", "status")
 
 
-def _graph_context(spark: SparkSession, d: str, hits: DataFrame | None = None, hops: int = 1) -> DataFrame:
+def _around(spark: SparkSession, d: str, hits: DataFrame) -> DataFrame:
+    """The graph context of the events that were hit."""
     ids = _events(spark, d).where("id is not null and id <> ''").select("seq", F.col("id").alias("event"))
-    hits = hits if hits is not None else _event_hits(spark, d, 3)
-    seeds = hits.join(ids, F.col("id") == F.col("seq")).select("qid", F.col("event").alias("id"))
-    return rag.graph_context(seeds, _event_edges(spark, d), hops, _questions(spark, d))
+    seeds = written(hits.join(ids, F.col("id") == F.col("seq")).select("qid", F.col("event").alias("id")), "seeds")
+    return rag.graph_context(seeds, _stored_edges(spark, d), HOPS, _questions(spark, d))
 
 
-def graph_rag_context(spark: SparkSession, d: str) -> DataFrame:
-    return _graph_context(spark, d).select("qid", "context", "n_lines", "status")
+def _graph_context(spark: SparkSession, d: str) -> DataFrame:
+    return _around(spark, d, _event_hits(spark, d, 3))
 
 
-def graph_rag_context_hops(spark: SparkSession, d: str) -> DataFrame:
-    return _graph_context(spark, d, hops=HOPS).select("qid", "context", "n_lines", "status")
+def graph_rag_context(spark: SparkSession, d: str) -> DataFrame:
+    return _graph_context(spark, d).select("qid", "context", "n_lines", "status")
 
 
 def answer_offline(spark: SparkSession, d: str) -> DataFrame:
     return chat.answer(_graph_context(spark, d), OFFLINE)
 
 
-def answer_offline_hops(spark: SparkSession, d: str) -> DataFrame:
-    return chat.answer(_graph_context(spark, d, hops=HOPS), OFFLINE)
-
-
-def _label_edges(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "embeddings")
-    return rows.select(F.concat(F.lit("vec_"), "vec_id").alias("src"), F.lit("has_label").alias("rel"), F.concat(F.lit("label_"), "label").alias("dst"))
+def vector_graph_rag_context(spark: SparkSession, d: str) -> DataFrame:
+    """The graph around the one event most like the question."""
+    return _around(spark, d, _text_hits(spark, d, 1)).select("qid", "context", "n_lines", "status")
 
 
 def _vector_questions(spark: SparkSession, d: str) -> DataFrame:
     return _vectors(spark, d)[1].select(F.col("id").alias("qid"), F.lit("").alias("text"))
 
 
-def _node(hits: DataFrame) -> DataFrame:
-    return hits.select("qid", F.concat(F.lit("vec_"), "id").alias("id"))
-
+def _entity_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return graph.entity_graph(_extracted(spark, d), F.col("row_id"))
 
-def _vector_context(spark: SparkSession, d: str, hops: int) -> DataFrame:
-    seeds = _node(vector.top_k(*_vectors(spark, d), 1, 0.3))
-    return rag.graph_context(seeds, _label_edges(spark, d), hops, _vector_questions(spark, d)).select("qid", "context", "n_lines", "status")
-
-
-def vector_graph_rag_context(spark: SparkSession, d: str) -> DataFrame:
-    return _vector_context(spark, d, 1)
 
-
-def vector_graph_rag_context_hops(spark: SparkSession, d: str) -> DataFrame:
-    return _vector_context(spark, d, HOPS)
+def node_match(spark: SparkSession, d: str) -> DataFrame:
+    """Entities whose name is like the question."""
+    return rag.match_nodes(_entity_graph(spark, d)[0], _questions(spark, d))
 
 
 def semantic_neighborhood(spark: SparkSession, d: str) -> DataFrame:
-    matched = _node(vec_threshold_all(spark, d))
-    return rag.neighborhood_context(matched, _label_edges(spark, d), _vector_questions(spark, d)).select("qid", "context", "n_lines", "status")
+    """The edges around the entities whose name is like the question."""
+    nodes, edges = _entity_graph(spark, d)
+    matched = written(rag.match_nodes(nodes, _questions(spark, d)).select("qid", "id"), "matched")
+    return rag.neighborhood_context(matched, edges, _questions(spark, d)).select("qid", "context", "n_lines", "status")
 
 
 def sentinel_no_hit(spark: SparkSession, d: str) -> DataFrame:
-    matched = _node(vector.above(*_vectors(spark, d), 2.0))
-    return rag.neighborhood_context(matched, _label_edges(spark, d), _vector_questions(spark, d)).select("qid", "context", "status")
+    matched = vector.above(*_vectors(spark, d), 2.0).select("qid", F.col("id").cast("string").alias("id"))
+    return rag.neighborhood_context(matched, _geo_edges(spark, d), _vector_questions(spark, d)).select("qid", "context", "status")
 
 
 def eval_hit_rate(spark: SparkSession, d: str) -> DataFrame:
-    records = _events(spark, d).select(F.col("seq").alias("id"), "impact")
-    return evaluate.hit_rate(evaluate.hits_gold(_event_hits(spark, d, 1), records, _questions(spark, d)))
-
-
-def eval_hit_rate_all(spark: SparkSession, d: str) -> DataFrame:
-    """The hit rate over the whole gold table; the SQL of ``eval_hit_rate`` is fixed at every 50th question."""
+    """Over the whole gold table."""
     records, gold = _events(spark, d).select(F.col("seq").alias("id"), "impact"), _all_questions(spark, d)
     return evaluate.hit_rate(evaluate.hits_gold(_event_hits(spark, d, 1, gold), records, gold))
 
 
-def _comparison(spark: SparkSession, d: str, hops: int) -> DataFrame:
-    hits = written(_event_hits(spark, d, 3), "hits")
-    made = evaluate.compare(_questions(spark, d), _naive(spark, d, hits), _graph_context(spark, d, hits, hops), OFFLINE)
-    return made.select("question", "graphrag_answer", "baseline_answer", "baseline_context_len", "graph_context_triples")
-
-
 def qa_comparison(spark: SparkSession, d: str) -> DataFrame:
-    return _comparison(spark, d, 1)
-
-
-def qa_comparison_hops(spark: SparkSession, d: str) -> DataFrame:
-    return _comparison(spark, d, HOPS)
+    """The hit records themselves against the graph around the best of them, both by vector."""
+    made = evaluate.compare(_questions(spark, d), _naive(spark, d), _around(spark, d, _text_hits(spark, d, 1)), OFFLINE)
+    return made.select("question", "graphrag_answer", "baseline_answer", "baseline_context_len", "graph_context_triples")
 
 
 def extract_parse(spark: SparkSession, d: str) -> DataFrame:
@@ -359,8 +359,7 @@ _FUNCTIONS = (
     kg_edges_events, kg_nodes_events, kg_graph_size, kg_edges_orders, kg_falsy_skip, kg_last_write_wins, kg_neighbors_out, kg_neighbors_in, kg_hop0, kg_hop1, kg_hop2, kg_hop3,
     kg_hop_multi_seed, kg_triples, kg_context_arrow, kg_context_bullets, kg_graphml, text_concat, bm25_tokens, bm25_stats, bm25_idf, bm25_topk_batch, bm25_top1, vec_cosine,
     vec_topk_threshold, vec_topk_batch, vec_threshold_all, naive_rag_context, graph_rag_context, answer_offline, vector_graph_rag_context, semantic_neighborhood, sentinel_no_hit,
-    kg_hop_multi_seed_all, graph_rag_context_hops, answer_offline_hops, vector_graph_rag_context_hops, qa_comparison_hops,
-    eval_hit_rate, eval_hit_rate_all, qa_comparison, extract_parse, extract_entity_graph, extract_offline, graph_upsert, graph_upsert_edges, graph_store, graph_upsert_idempotent, chat_messages,
+    vec_text_topk, node_match, eval_hit_rate, qa_comparison, extract_parse, extract_entity_graph, extract_offline, graph_upsert, graph_upsert_edges, graph_store, graph_upsert_idempotent, chat_messages,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -409,28 +408,61 @@ def _index(corpus: str, column: str) -> str:
 
 
 _DOC_INDEX = _index("select doc_id as id, text from documents", "text")
-_SEARCH = (
-    _index(f"select seq as id, {_LEXICAL} as text from sample_events", "text")
-    + f""",
-    questions as (select qid, question as text, gold_answer from qa_eval where cast(substr(qid, 2) as bigint) % {EVERY} = 0),
+_ASKED = f"questions as (select qid, question as text, gold_answer from qa_eval where cast(substr(qid, 2) as bigint) % {EVERY} = 0)"
+_EVERY_ASKED = "questions as (select qid, question as text, gold_answer from qa_eval)"
+
+
+def _search(asked: str) -> str:
+    return (
+        _index(f"select seq as id, {_LEXICAL} as text from sample_events", "text")
+        + f""",
+    {asked},
     asked as (select qid, tok, count(*) as qn from (select qid, unnest({_TOKENS.format("text")}) as tok from questions) group by 1, 2),
     scored as (select a.qid, p.id, sum(a.qn * i.idf * (p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * d.dl / s.avgdl)))) as score
       from asked a join idf i on a.tok = i.tok join postings p on a.tok = p.tok join docs d on p.id = d.id, stats s group by 1, 2),
     every as (select q.qid, d.id, round(coalesce(x.score, 0), 6) as score from questions q cross join docs d left join scored x on q.qid = x.qid and d.id = x.id),
     ranked as (select qid, id, score, cast(row_number() over (partition by qid order by score desc, id) as int) as rank from every)"""
-)
-_SEEDED = f"""{_links()}, seeds as (select distinct r.qid, e.id from ranked r join sample_events e on r.id = e.seq where r.rank <= 3 and e.id is not null and e.id <> ''),
-    lines as (select s.qid, string_agg(concat_ws(' ', '-', e.src, e.rel, e.dst), chr(10) order by concat_ws(' ', '-', e.src, e.rel, e.dst)) as context, min(concat_ws(' ', '-', e.src, e.rel, e.dst)) as first_line, cast(count(*) as int) as n_lines
-      from seeds s join edges e on s.id = e.src group by 1)"""
+    )
+
+
+_SEARCH = _search(_ASKED)
+_HEX = "strpos('0123456789abcdef', substr(h, {0}, 1)) - 1"
+
+
+def _dims(name: str, rows: str) -> str:
+    """Vectors of the hashing encoder, a row for each dimension that is not 0, and their lengths. ``rows``: (id, text)."""
+    return f"""{name} as (select id, dim, sum(s) as v from (select id, ({_HEX.format(3)}) * 16 + {_HEX.format(4)} as dim, case when ({_HEX.format(6)}) % 2 = 1 then 1 else -1 end as s from (select id, md5(t) as h from (
+      select id, unnest(l || list_transform(range(1, len(l)), lambda i: l[i] || l[i + 1])) as t from (select id, regexp_extract_all(lower(text), '[a-z0-9]+|[\\x{{3400}}-\\x{{9fff}}]') as l from ({rows}))))) group by 1, 2 having sum(s) <> 0),
+    {name}_length as (select id, sqrt(sum(v * v)) as n from {name} group by id)"""
+
+
+_VECTOR = "concat_ws(' ', nullif(id, ''), nullif(type, ''), nullif(location, ''), nullif(impact, ''), nullif(cause, ''))"
+_LIKE = "select q.id as qid, d.id as id, round(sum(q.v * d.v) / (any_value(a.n) * any_value(b.n)), 6) as score from q_dims q join {0} d using (dim) join q_dims_length a on a.id = q.id join {0}_length b on b.id = d.id group by 1, 2"
+_ASKED_DIMS = _ASKED + ", " + _dims("q_dims", "select qid as id, text from questions")
+_TEXT_HITS = f"""{_ASKED_DIMS}, {_dims("e_dims", f"select seq as id, {_VECTOR} as text from sample_events")},
+    like_text as (select qid, id, score, cast(row_number() over (partition by qid order by score desc, id desc) as int) as rank from ({_LIKE.format("e_dims")})),
+    text_hits as (select * from like_text where rank <= 3 and score > 0.3)"""
+
+
+def _around_sql(seeds: str) -> str:
+    """Lines and their number around the events of ``seeds`` (qid, id, 0)."""
+    return f"""{_links()}, {_hop("edges", seeds, HOPS)},
+    lines as (select qid, string_agg(line, chr(10) order by line) as context, min(line) as first_line, cast(count(*) as int) as n_lines from (select qid, concat_ws(' ', '-', src, rel, dst) as line from found) group by 1)"""
+
+
+_SEEDED = _around_sql("select r.qid, e.id, 0 from ranked r join sample_events e on r.id = e.seq where r.rank <= 3 and e.id is not null and e.id <> ''")
+_ANCHORED = _around_sql("select r.qid, e.id, 0 from text_hits r join sample_events e on r.id = e.seq where r.rank = 1 and e.id is not null and e.id <> ''")
 _NAIVE = f"""naive as (select r.qid, string_agg('[' || r.rank || '] ' || {_LEXICAL}, chr(10) order by r.rank) as context, cast(count(*) as int) as n_lines, min_by('[' || r.rank || '] ' || {_LEXICAL}, r.rank) as first_line
-      from ranked r join sample_events e on r.id = e.seq where r.rank <= 3 group by 1)"""
+      from text_hits r join sample_events e on r.id = e.seq group by 1)"""
 _COS = f"cos as (select q.vec_id as qid, v.vec_id as id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) as score from embeddings q cross join embeddings v where q.vec_id % {EVERY} = 0), best as (select qid, id, score, cast(row_number() over (partition by qid order by score desc, id desc) as int) as rank from cos)"
-_LABELS = "label_edges as (select 'vec_' || vec_id as src, 'has_label' as rel, 'label_' || label as dst from embeddings)"
 _PERIODS = "(ingested_at < timestamp '2025-10-01' or ingested_at >= timestamp '2025-04-01')"
 _XML = "replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 _SENTINELS = context.NO_HIT, context.NO_NODE, context.NO_TRIPLES
 _ENTS = "ents as (select row_id, e.name as name, e.type as type, pos from (select row_id, unnest(extraction_result.entities) as e, generate_subscripts(extraction_result.entities, 1) as pos from results_extraction) where e.name is not null)"
 _RELS = "rels as (select row_id, r.head as head, r.relation as relation, r.tail as tail, pos from (select row_id, unnest(extraction_result.relations) as r, generate_subscripts(extraction_result.relations, 1) as pos from results_extraction) where r.head is not null and r.tail is not null)"
+_ENTITY_GRAPH = f"{_ENTS}, {_RELS}, ids as (select name as id from ents union select head from rels union select tail from rels), entity_edges as (select head as src, arg_max_null(relation, row_id * 100000 + pos) as rel, tail as dst from rels group by head, tail)"
+_NODE_HITS = f"{_ASKED_DIMS}, {_ENTITY_GRAPH}, {_dims('n_dims', 'select id, id as text from ids')}, node_hits as (select qid, id, score from ({_LIKE.format('n_dims')}) where score > 0.4)"
+_STATUS = "case when {0}.n_lines > 0 then 'ok' else 'empty' end as status"
 
 SQL = {
     "kg_edges_events": f"with {_links()} select src, rel, dst from edges",
@@ -464,14 +496,18 @@ SQL = {
     "vec_topk_threshold": f"with {_COS} select qid, id, score, rank from best where rank <= 3 and score > 0.3",
     "vec_topk_batch": f"with {_COS} select qid, id, score, rank from best where rank <= 10",
     "vec_threshold_all": f"with {_COS} select qid, id, score from cos where score > 0.4",
-    "naive_rag_context": f"with {_SEARCH}, {_NAIVE} select q.qid, coalesce(n.context, '{_SENTINELS[0]}') as context, coalesce(n.n_lines, 0) as n_lines, case when n.n_lines > 0 then 'ok' else 'empty' end as status from questions q left join naive n on q.qid = n.qid",
-    "graph_rag_context": f"with {_SEARCH}, {_SEEDED} select q.qid, coalesce(l.context, '{_SENTINELS[2]}') as context, coalesce(l.n_lines, 0) as n_lines, case when l.n_lines > 0 then 'ok' else 'empty' end as status from questions q left join lines l on q.qid = l.qid",
-    "answer_offline": f"with {_SEARCH}, {_SEEDED} select q.qid, coalesce(l.first_line, '{_SENTINELS[2]}') as draft_answer from questions q left join lines l on q.qid = l.qid",
-    "vector_graph_rag_context": f"with {_COS}, {_LABELS} select b.qid, concat_ws(' ', '-', e.src, e.rel, e.dst) as context, cast(1 as int) as n_lines, 'ok' as status from best b join label_edges e on e.src = 'vec_' || b.id where b.rank = 1",
-    "semantic_neighborhood": f"with {_COS}, {_LABELS} select c.qid, string_agg(e.src || ' --[' || e.rel || ']--> ' || e.dst, chr(10) order by e.src || ' --[' || e.rel || ']--> ' || e.dst) as context, cast(count(*) as int) as n_lines, 'ok' as status from cos c join label_edges e on e.src = 'vec_' || c.id where c.score > 0.4 group by c.qid",
+    "vec_text_topk": f"with {_TEXT_HITS} select qid, id, score, rank from text_hits",
+    "node_match": f"with {_NODE_HITS} select qid, id, score from node_hits",
+    "naive_rag_context": f"with {_TEXT_HITS}, {_NAIVE} select q.qid, coalesce(n.context, '{_SENTINELS[0]}') as context, coalesce(n.n_lines, 0) as n_lines, {_STATUS.format('n')} from questions q left join naive n on q.qid = n.qid",
+    "graph_rag_context": f"with recursive {_SEARCH}, {_SEEDED} select q.qid, coalesce(l.context, '{_SENTINELS[2]}') as context, coalesce(l.n_lines, 0) as n_lines, {_STATUS.format('l')} from questions q left join lines l on q.qid = l.qid",
+    "answer_offline": f"with recursive {_SEARCH}, {_SEEDED} select q.qid, coalesce(l.first_line, '{_SENTINELS[2]}') as draft_answer from questions q left join lines l on q.qid = l.qid",
+    "vector_graph_rag_context": f"with recursive {_TEXT_HITS}, {_ANCHORED} select q.qid, coalesce(l.context, '{_SENTINELS[2]}') as context, coalesce(l.n_lines, 0) as n_lines, {_STATUS.format('l')} from questions q left join lines l on q.qid = l.qid",
+    "semantic_neighborhood": f"""with {_NODE_HITS}, near as (select distinct qid, e.src || ' --[' || coalesce(e.rel, '{context.UNKNOWN_RELATION}') || ']--> ' || e.dst as line from node_hits h join (select src as node, * from (select src, coalesce(rel, 'related_to') as rel, dst from entity_edges) union all select dst, * from (select src, coalesce(rel, 'related_to') as rel, dst from entity_edges)) e on h.id = e.node),
+      lines as (select qid, string_agg(line, chr(10) order by line) as context, cast(count(*) as int) as n_lines from near group by qid)
+      select q.qid, coalesce(l.context, '{_SENTINELS[1]}') as context, coalesce(l.n_lines, 0) as n_lines, {_STATUS.format('l')} from questions q left join lines l on q.qid = l.qid""",
     "sentinel_no_hit": f"select vec_id as qid, '{_SENTINELS[1]}' as context, 'empty' as status from embeddings where vec_id % {EVERY} = 0",
-    "eval_hit_rate": f"with {_SEARCH}, hits as (select q.qid, coalesce(contains(e.impact, q.gold_answer), false) as hit from questions q left join (select * from ranked where rank = 1) r on q.qid = r.qid left join sample_events e on r.id = e.seq) select count(*) as n, count(*) filter (where hit) as n_hit, coalesce(round(avg(case when hit then 1.0::double else 0.0::double end), 6), 0.0) as hit_rate from hits",
-    "qa_comparison": f"with {_SEARCH}, {_SEEDED}, {_NAIVE} select q.text as question, coalesce(l.first_line, '{_SENTINELS[2]}') as graphrag_answer, coalesce(n.first_line, '{_SENTINELS[0]}') as baseline_answer, cast(length(coalesce(n.context, '{_SENTINELS[0]}')) as int) as baseline_context_len, coalesce(l.n_lines, 0) as graph_context_triples from questions q left join naive n on q.qid = n.qid left join lines l on q.qid = l.qid",
+    "eval_hit_rate": f"with {_search(_EVERY_ASKED)}, hits as (select q.qid, coalesce(contains(e.impact, q.gold_answer), false) as hit from questions q left join (select * from ranked where rank = 1) r on q.qid = r.qid left join sample_events e on r.id = e.seq) select count(*) as n, count(*) filter (where hit) as n_hit, coalesce(round(avg(case when hit then 1.0::double else 0.0::double end), 6), 0.0) as hit_rate from hits",
+    "qa_comparison": f"with recursive {_TEXT_HITS}, {_ANCHORED}, {_NAIVE} select q.text as question, coalesce(l.first_line, '{_SENTINELS[2]}') as graphrag_answer, coalesce(n.first_line, '{_SENTINELS[0]}') as baseline_answer, cast(length(coalesce(n.context, '{_SENTINELS[0]}')) as int) as baseline_context_len, coalesce(l.n_lines, 0) as graph_context_triples from questions q left join naive n on q.qid = n.qid left join lines l on q.qid = l.qid",
     "extract_parse": "select row_id, 'json' as kind, cast(coalesce(len(extraction_result.entities), 0) as int) as n_entities, cast(coalesce(len(extraction_result.relations), 0) as int) as n_relations from results_extraction union all select row_id, 'text', 0, 0 from results_extraction",
     "extract_offline": "select row_id, coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(raw_text, '[0-9]{4}年[0-9]{1,2}月'))), '|'), '') as months from results_extraction",
     "graph_upsert": f"with {_links(_PERIODS)}, last_rows as (select id, arg_max(seq, (case when ingested_at >= timestamp '2025-04-01' then 1 else 0 end) * 1000000000000 + seq) as seq from sample_events where id is not null and id <> '' and {_PERIODS} group by id) select e.id, 'Event' as label, coalesce(e.type, 'unknown') as type, coalesce(e.impact, '') as description, e.seq from last_rows r join sample_events e using (seq) union all select value, upper(label[1]) || label[2:], null, null, null from links group by label, value",

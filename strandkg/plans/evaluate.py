@@ -19,15 +19,15 @@ def hit_rate(hits: DataFrame) -> DataFrame:
     return hits.agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("n_hit"), F.coalesce(F.round(F.avg(F.col("hit").cast("double")), 6), F.lit(0.0)).alias("hit_rate"))
 
 
-def compare(questions: DataFrame, baseline: DataFrame, graph: DataFrame, config: dict | None = None) -> DataFrame:
+def compare(questions: DataFrame, baseline: DataFrame, graph: DataFrame, config: dict | None = None, **prompts: str) -> DataFrame:
     """(question, baseline_answer, graphrag_answer, baseline_context_len, graph_context_triples); answers null without a model configuration."""
     none = F.lit(None).cast("string").alias("draft_answer")
-    answered = lambda c: chat.answer(c, config) if config else c.select("qid", none)
+    answered = lambda c: chat.answer(c, config, **prompts) if config else c.select("qid", none)
     left = baseline.select("qid", F.length("context").alias("baseline_context_len")).join(answered(baseline).withColumnRenamed("draft_answer", "baseline_answer"), "qid")
     right = graph.select("qid", F.col("n_lines").alias("graph_context_triples")).join(answered(graph).withColumnRenamed("draft_answer", "graphrag_answer"), "qid")
     return questions.select("qid", F.col("text").alias("question")).join(left, "qid").join(right, "qid").select("question", "baseline_answer", "graphrag_answer", "baseline_context_len", "graph_context_triples")
 
 
-def extraction_log(texts: DataFrame, config: dict) -> DataFrame:
+def extraction_log(texts: DataFrame, config: dict, **prompts: str) -> DataFrame:
     """(doc_id, raw_text, extraction_result, latency)."""
-    return texts.select("doc_id", F.col("text").alias("raw_text")).join(chat.extract(texts, config), "doc_id")
+    return texts.select("doc_id", F.col("text").alias("raw_text")).join(chat.extract(texts, config, **prompts).drop("status"), "doc_id")

@@ -38,3 +38,5 @@ class Config:
     top_k: int = 3
     llm: dict = field(default_factory=lambda: {"provider": "offline", "model_name": "", "temperature": 0.1})
     embedding_model: str = ""
+    #: ``extract``, ``extract_system``, ``answer``, ``answer_system``: what stands in place of the prompts of ``operators.chat``.
+    prompts: dict = field(default_factory=dict)

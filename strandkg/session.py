@@ -5,10 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
@@ -44,6 +47,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(str(Path(sf_dir) / f"{name}.parquet") if "://" not in sf_dir else f"{sf_dir}/{name}.parquet")
 
 
+_once: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], make: Callable[[], T]) -> T:
+    """What ``make`` gives for the data folder, made once per application while the files of ``tables`` stay as they are (names, sizes and times are compared)."""
+    state = []
+    for t in tables:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        state += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at)]
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _once or _once[key][0] != state:
+        _once[key] = (state, make())
+    return _once[key][1]
+
+
 _shipped: set[str] = set()
 
 

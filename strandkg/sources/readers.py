@@ -37,6 +37,16 @@ def text_rows(spark: SparkSession, *texts: str) -> DataFrame:
     return spark.createDataFrame([(f"doc_{i:03d}", t) for i, t in enumerate(texts, 1)], "doc_id string, text string")
 
 
+def inline_kg(spark: SparkSession, entities: list[tuple], relations: list[tuple]) -> DataFrame:
+    """One extraction result given literally: (name, type) and (head, relation, tail)."""
+    return spark.createDataFrame([(entities, relations)], schema.KG)
+
+
+def line_order() -> F.Column:
+    """Where a row of a JSON-lines file stands: greater later in a file; over several files by their split."""
+    return F.monotonically_increasing_id()
+
+
 def _flat_yaml(text: str) -> dict:
     """Nested mappings of scalars by indentation: what a configuration needs where no YAML library is there."""
     root: dict = {}
@@ -58,8 +68,13 @@ def _flat_yaml(text: str) -> dict:
     return root
 
 
-def read_config(path: str) -> schema.Config:
-    """The YAML configuration; a missing file ends the program with status 1."""
+def read_config(path: str, offline: bool = False) -> schema.Config:
+    """The YAML configuration; a missing file ends the program with status 1.
+
+    A provider or encoder that nothing is registered for is an error here. ``offline``: the stand-ins that need no network and no model take the place of both.
+    """
+    from strandkg.operators import chat, encode
+
     if not Path(path).exists():
         print(f"no configuration at {path}", file=sys.stderr)
         raise SystemExit(1)
@@ -71,12 +86,29 @@ def read_config(path: str) -> schema.Config:
     except ImportError:
         raw = _flat_yaml(text)
     retriever = raw.get("retriever", {})
-    kept = {k: raw[k] for k in ("data_path", "qa_path", "graph_hops", "llm") if k in raw}
-    return schema.Config(**kept, retriever=retriever.get("type", "bm25"), top_k=retriever.get("top_k", 3), embedding_model=raw.get("embedding", {}).get("model_name", ""))
+    kept = {k: raw[k] for k in ("data_path", "qa_path", "graph_hops", "llm", "prompts") if k in raw}
+    embedding = raw.get("embedding", {}).get("model_name", "")
+    if offline:
+        kept["llm"], embedding = kept.get("llm", {}) | {"provider": "offline"}, "hashing"
+    config = schema.Config(**kept, retriever=retriever.get("type", "bm25"), top_k=retriever.get("top_k", 3), embedding_model=embedding)
+    chat.check_provider(config.llm)
+    encode.factory_of(config.embedding_model)
+    return config
+
+
+def load_env(path: str = ".env") -> None:
+    """Names and values of a ``.env`` file into the environment; what is set there already stays."""
+    if not Path(path).exists():
+        return
+    for line in Path(path).read_text("utf-8-sig").splitlines():
+        name, found, value = line.strip().removeprefix("export ").partition("=")
+        if found and not name.startswith("#"):
+            os.environ.setdefault(name.strip(), value.strip().strip("\"'"))
 
 
 def secret(name: str) -> str:
-    """A secret from the environment; secrets are never in plans or files."""
+    """A secret from the environment or the ``.env`` file of the working folder; secrets are never in plans or files of this package."""
+    load_env()
     if not (value := os.environ.get(name)):
         raise ValueError(f"set {name} in the environment")
     return value

@@ -10,7 +10,7 @@ from strandkg.operators import chat, context, graph, vector
 from strandkg.operators.bm25 import Bm25Index
 from strandkg.plans import evaluate, rag
 from strandkg.sources import readers
-from strandkg.sources.sinks import GraphStore, write_graphml, write_json, write_report
+from strandkg.sources.sinks import GraphStore, write_graph_database, write_graphml, write_json, write_report
 from strandkg.streaming.ingest import ingest
 
 EVENTS = [
@@ -82,12 +82,29 @@ def test_vector_order_threshold_and_blocks(spark, rows, monkeypatch):
     q = v.where("id in (1, 3)")
     want = [(1, 1, 1.0, 2), (1, 2, 1.0, 1), (1, 6, 0.707107, 3)]
     assert rows(vector.top_k(v, q, 3, 0.3)) == want
-    monkeypatch.setattr(vector, "BLOCK", 1)
-    assert rows(vector.top_k(v, q, 3, 0.3)) == want
+    for name, size in (("BLOCK", 1), ("TILE", 1)):
+        monkeypatch.setattr(vector, name, size)
+        assert rows(vector.top_k(v, q, 3, 0.3)) == want
     assert rows(vector.above(v, q, 0.8)) == [(1, 1, 1.0), (1, 2, 1.0)]
     assert vector.top_k(v.limit(0), q, 3).count() == 0 and vector.top_k(v, q.limit(0), 3).count() == 0
 
 
+def test_vector_top_k_against_brute_force(spark, rows, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(vector, "TILE", 200)
+    rng = np.random.default_rng(2)
+    m = rng.integers(-2, 3, (300, 3)).astype(float)  # many ties
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, vector array<double>")
+    unit = vector._unit(m.tolist())
+    want = []
+    for q in range(0, 300, 50):
+        scores = np.round(unit @ unit[q], 6)
+        order = sorted(range(300), key=lambda i: (-scores[i], -i))[:7]
+        want += [(q, i, float(scores[i]), n) for n, i in enumerate(order, 1)]
+    assert rows(vector.top_k(v, v.where("id % 50 = 0"), 7, None)) == sorted(want, key=repr)
+
+
 def test_contexts_and_status(spark, rows):
     t = spark.createDataFrame([(1, "a", "r", "b"), (1, "a", None, "c")], "qid int, s string, r string, o string")
     q = spark.createDataFrame([(1, "x"), (2, "y")], "qid int, text string")
@@ -113,6 +130,109 @@ def test_backends(spark, monkeypatch):
     assert [e["name"] for e in log.first()["extraction_result"]["entities"]] == ["2020年7月", "2021年1月"]
 
 
+def test_what_services_are_sent(monkeypatch):
+    monkeypatch.setenv("LLM_API_KEY", "k")
+    http, other = (chat.make_backend({"provider": p, "url": "http://127.0.0.1", "temperature": 0.5}) for p in ("http", "http_folded"))
+    assert http.body("p", "s", True)["response_format"] == {"type": "json_object"} and http.body("p", "s", True)["temperature"] == 0.1
+    assert "response_format" not in http.body("p", None, False) and http.body("p", "s", False)["temperature"] == 0.5
+    assert http.body("p", "s", False)["messages"][0] == {"role": "system", "content": "s"}
+    sent = other.body("p", "s", False)
+    assert sent["contents"][0]["parts"][0]["text"] == "System: s\nUser: p" and sent["generationConfig"]["temperature"] == 0.7
+    assert other.body("p", None, True)["generationConfig"] == {"temperature": 0.1, "responseMimeType": "application/json"}
+    assert other.reply({"candidates": [{"content": {"parts": [{"text": "a"}, {"text": "b"}]}}]}) == "ab" and http.reply({"choices": [{"message": {"content": "a"}}]}) == "a"
+    with pytest.raises(ValueError, match="url"):
+        chat.make_backend({"provider": "http"})
+
+
+def test_system_message_failures_and_own_backends(spark, rows, monkeypatch):
+    class Echo:
+        def __init__(self, config):
+            self.config = config
+
+        def chat(self, prompt, system=None, json_mode=False):
+            if "boom" in prompt:
+                raise OSError("gone")
+            return f"{system}|{json_mode}|{prompt}"
+
+    monkeypatch.setitem(chat.BACKENDS, "echo", Echo)  # at the driver only
+    asked = spark.createDataFrame([("a", "hi"), ("b", "boom")], "k string, prompt string")
+    assert rows(chat.chat(asked, "k", {"provider": "echo"}, True, "S").drop("latency")) == [("a", "S|True|hi", None), ("b", "", "OSError: gone")]
+    lines = spark.createDataFrame([("a", "q", "c", "ok"), ("b", "boom", "c", "ok"), ("c", "q", "none", "empty")], "qid string, text string, context string, status string")
+    got = dict(rows(chat.answer(lines, {"provider": "echo"}, "{question}-{context}", "S", failed=context.FAILED)))
+    assert got == {"a": "S|False|q-c", "b": context.FAILED, "c": "none"}
+
+
+def test_extraction_falls_back(spark):
+    texts = readers.text_rows(spark, "2020年7月洪水", "没有时间")
+    instead = readers.inline_kg(spark, [("甲", "地点"), ("乙", None)], [("甲", "r", "乙")])
+    got = {r["doc_id"]: r for r in chat.extract(texts, {}, fallback=instead).collect()}
+    assert [got[k]["status"] for k in ("doc_001", "doc_002")] == ["ok", "fallback"]
+    assert [e["name"] for e in got["doc_002"]["extraction_result"]["entities"]] == ["甲", "乙"] and len(got["doc_002"]["extraction_result"]["relations"]) == 1
+    assert {r["status"] for r in chat.extract(texts, {}).collect()} == {"ok", "empty"}
+    nodes, edges = graph.entity_graph(instead)
+    assert (nodes.count(), edges.count()) == (2, 1)
+
+
+def test_own_tokenizer(spark):
+    docs = spark.createDataFrame([(1, "A-B"), (2, "C")], "id long, text string")
+    index = Bm25Index(docs, tokenizer=lambda c: F.split(F.lower(F.coalesce(c, F.lit(""))), "-"))
+    assert index.search(spark.createDataFrame([("q", "x-b")], "qid string, text string"), 1).first()["id"] == 1
+
+
+CONFIG = """\ufeff# settings
+data_path: "{0}/e.jsonl"
+qa_path: "{0}/q.jsonl"
+
+graph_hops: 2
+
+retriever:
+  type: "vector" # or "bm25"
+  top_k: 3
+
+llm:
+  provider: "somebody" # a service
+  model_name: "model-1"
+  temperature: 0.1
+
+embedding:
+  model_name: "some-sentence-model"
+"""
+
+
+def test_a_configuration_of_services_runs_with_stand_ins(spark, tmp_path, capsys):
+    from strandkg.__main__ import main
+
+    write = lambda name, rows_, fields: (tmp_path / name).write_text("\n".join(json.dumps(dict(zip(fields, r, strict=True)), ensure_ascii=False) for r in rows_), "utf-8-sig")
+    write("e.jsonl", EVENTS, schema.EVENT.names)
+    write("q.jsonl", [("q1", "甲县淹没农田的洪水", "农田"), ("q2", "乙县水库见底", "水库")], schema.QA.names)
+    (tmp_path / "texts").mkdir()
+    (tmp_path / "texts/a.txt").write_text("2020年7月洪水", "utf-8-sig")
+    (tmp_path / "c.yaml").write_text(CONFIG.format(tmp_path), "utf-8")
+    with pytest.raises(ValueError, match="somebody"):
+        readers.read_config(str(tmp_path / "c.yaml"))
+    config = readers.read_config(str(tmp_path / "c.yaml"), offline=True)
+    assert (config.retriever, config.top_k, config.graph_hops, config.llm["provider"], config.llm["model_name"]) == ("vector", 3, 2, "offline", "model-1")
+    c = str(tmp_path / "c.yaml")
+    assert main(["--offline", "ask", c, "甲县淹没农田的洪水"]) == main(["--offline", "evaluate", c]) == 0
+    assert main(["--offline", "compare", c, str(tmp_path / "r"), "乙县水库见底"]) == main(["--offline", "pipeline", c, str(tmp_path / "texts"), "甲县淹没农田的洪水"]) == 0
+    assert main(["build", str(tmp_path / "e.jsonl"), str(tmp_path / "s")]) == main(["graphml", str(tmp_path / "e.jsonl"), str(tmp_path / "x")]) == 0
+    assert main(["extract", str(tmp_path / "texts"), str(tmp_path / "l")]) == 0
+    said = capsys.readouterr().out
+    assert "- e1 " in said and "19" in said
+    assert spark.read.option("header", True).csv(str(tmp_path / "r")).count() == 1
+
+
+def test_env_file(tmp_path, monkeypatch):
+    (tmp_path / ".env").write_text("# keys\nexport A_KEY='one'\nB_KEY=two\n\nnonsense\n")
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setenv("B_KEY", "set")
+    monkeypatch.delenv("A_KEY", raising=False)
+    assert (readers.secret("A_KEY"), readers.secret("B_KEY")) == ("one", "set")
+    monkeypatch.delenv("A_KEY", raising=False)
+    with pytest.raises(ValueError, match="C_KEY"):
+        readers.secret("C_KEY")
+
+
 @pytest.fixture(scope="module")
 def numbered(events):
     return events.withColumn("seq", F.substring("id", 2, 1).cast("long"))
@@ -141,6 +261,9 @@ def test_engine_compares_and_evaluates(spark, numbered):
     assert tuple(engine.hit_rate(gold).first()) == (2, 1, 0.5)
     with pytest.raises(ValueError, match="retriever"):
         rag.Engine(numbered, schema.Config(retriever="guess"))
+    nodes, edges = graph.event_nodes(numbered, "id", schema.EVENT_ONTOLOGY), graph.event_edges(numbered, "id", schema.EVENT_ONTOLOGY)
+    near = {r["qid"]: r for r in engine.semantic(spark.createDataFrame([("a", "location_甲县"), ("b", "zzz")], "qid string, text string"), nodes, edges, 0.9).collect()}
+    assert near["a"]["context"] == "e1 --[occurs_in]--> location_甲县" and near["b"]["context"] == context.NO_NODE
 
 
 def test_encoder(spark):
@@ -193,17 +316,96 @@ def test_store_upsert_is_idempotent(spark, events, tmp_path):
     assert store.read()[0].count() == 0
 
 
+def _props(store):
+    return {r["id"]: json.loads(r["props"])["description"] for r in store.read()[0].where("label = 'Event'").collect()}
+
+
+def test_store_last_row_wins_and_writes_touched_buckets_only(spark, events, tmp_path):
+    store = GraphStore(spark, str(tmp_path / "g"), buckets=16)
+    rows_of = lambda *impacts: spark.createDataFrame([(e, "flood", "甲县", None, x, None, None, None, n) for n, (e, x) in enumerate(impacts)], schema.EVENT.simpleString()[7:-1].replace(":", " ") + ", n long")
+    first = rows_of(("e1", "z first"), ("e1", "a last"), ("e2", "two"))
+    store.upsert(*graph.store_nodes(first, F.col("n")))
+    assert _props(store) == {"e1": "a last", "e2": "two"}
+    before = store._manifest()["nodes"]
+    store.upsert(*graph.store_nodes(rows_of(("e1", "b newer")), F.col("n")))
+    assert _props(store) == {"e1": "b newer", "e2": "two"}
+    after = store._manifest()["nodes"]
+    assert {b for b in after if after[b] != before.get(b)} < set(after)
+    for i in range(5):
+        store.upsert(*graph.store_nodes(rows_of(("e3", f"v{i}")), F.col("n")))
+    assert _props(store) == {"e1": "b newer", "e2": "two", "e3": "v4"} and len(store._numbers()) == store.KEPT
+    live = {f for n in store._numbers() for f in store._manifest(n)["nodes"].values()}
+    on_disk = {str(p.relative_to(tmp_path / "g")) for p in (tmp_path / "g/data").glob("*/nodes/bucket=*")}
+    assert live <= on_disk and len(on_disk - live) <= len(after) * 2
+    ends = {tuple(r) for r in store.read()[1].select("dst", "dst_label").collect()}
+    assert ("甲县", "Location") in ends and ("v4", "Impact") in ends
+
+
+def test_store_survives_a_failed_write(spark, events, tmp_path, monkeypatch):
+    store = GraphStore(spark, str(tmp_path / "g"))
+    store.upsert(*graph.store_nodes(events))
+    monkeypatch.setattr(GraphStore, "_publish", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        store.upsert(*graph.store_nodes(events.limit(1).selectExpr("'e9' as id", *[c for c in schema.EVENT.names if c != "id"])))
+    monkeypatch.undo()
+    assert store.read()[0].count() == 19
+    (tmp_path / "g/manifests/000000000002.json").write_text("{}")  # another writer was faster
+    monkeypatch.setattr(store, "_numbers", lambda: [1])
+    with pytest.raises(RuntimeError, match="another writer"):
+        store._publish({})
+
+
+def test_graph_database_writes_in_batches(spark, events, tmp_path, monkeypatch):
+    """With a stand-in for the driver that writes down what it is sent."""
+    (tmp_path / "neo4j.py").write_text(
+        f"""
+import json, uuid
+class Tx:
+    def run(self, query, rows):
+        open({str(tmp_path)!r} + "/sent-" + uuid.uuid4().hex, "w").write(json.dumps([query, rows]))
+        return self
+    def consume(self): pass
+class Session:
+    def __enter__(self): return self
+    def __exit__(self, *a): pass
+    def execute_write(self, f): f(Tx())
+class Driver(Session):
+    def session(self): return Session()
+class GraphDatabase:
+    @staticmethod
+    def driver(uri, auth): assert auth == ("u", "secret"); return Driver()
+"""
+    )
+    spark.sparkContext.addPyFile(str(tmp_path / "neo4j.py"))
+    with pytest.raises(ValueError, match="NO_SUCH_KEY"):
+        write_graph_database(*graph.store_nodes(events), "bolt://x", "u", "NO_SUCH_KEY")
+    (tmp_path / ".env").write_text("GRAPH_KEY=secret\n")
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setenv("GRAPH_KEY", "secret")
+    nodes, edges = graph.store_nodes(events)
+    readers_env = "import os; os.environ.setdefault('GRAPH_KEY', 'secret')"
+    spark.sparkContext.parallelize(range(8), 8).foreach(lambda _: exec(readers_env))
+    write_graph_database(nodes.coalesce(1), edges.coalesce(1), "bolt://x", "u", "GRAPH_KEY", batch=2)
+    sent = [json.loads(p.read_text()) for p in tmp_path.glob("sent-*")]
+    assert all(len(rows) <= 2 for _, rows in sent)
+    merged = [(q, r) for q, rows in sent for r in rows]
+    assert sum("MATCH" not in q for q, _ in merged) == 19 and sum("MATCH" in q for q, _ in merged) == 18
+    assert any("MERGE (n:`Location` {name: row.id})" in q for q, _ in merged) and any(r.get("props", {}).get("type") == "flood" for _, r in merged)
+
+
 def test_sinks(spark, events, tmp_path):
     nodes, edges = graph.event_nodes(events, "id", schema.EVENT_ONTOLOGY), graph.event_edges(events, "id", schema.EVENT_ONTOLOGY)
     write_graphml(nodes, edges, str(tmp_path / "g"))
     import xml.etree.ElementTree as ET
 
-    text = "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "g")).collect())
+    text = "".join(p.read_text("utf-8") for p in sorted((tmp_path / "g").glob("part-*")))
     root = ET.fromstring(text.split("?>", 1)[1])
     assert len(root.findall(".//{*}node")) == 19 and len(root.findall(".//{*}edge")) == 18
     write_json(edges, str(tmp_path / "j"))
     write_report(edges, str(tmp_path / "c"))
     assert spark.read.json(str(tmp_path / "j")).count() == spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 18
+    (report,) = (tmp_path / "c").glob("*.csv")
+    assert report.read_bytes().startswith(b"\xef\xbb\xbfsrc,rel,dst\n")
 
 
 def test_stream_ingest(spark, tmp_path):
