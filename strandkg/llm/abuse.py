@@ -31,6 +31,8 @@ from strandkg.llm.textarrays import blocks, code_points, window_hashes
 CATEGORIES = ("abuse", "hate", "sexual")
 MAX_LABELLED = 6000
 BITS = 20
+#: The bucket of no n-gram.
+NONE = 1 << BITS
 NGRAMS = (1, 2, 3, 4, 6)
 #: Cues of form: patterns of linear time over readable sentences.
 CUES = (r"[0-9]", r"[!?]", r"你|您|\byou\b|\byour\b", r"[a-z]", r"^.{0,12}$")
@@ -87,16 +89,29 @@ def cues(lines: list[str]) -> np.ndarray:
     return np.stack([pc.match_substring_regex(column, p).to_numpy(zero_copy_only=False) for p in CUES], axis=1).astype(np.float32)
 
 
-def ngrams(lines: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per length of n-gram (sentence, bucket) of each place where one begins. Figures are all alike."""
+def buckets(lines: list[str]) -> tuple[np.ndarray, Iterator[np.ndarray]]:
+    """Where each sentence begins (one entry more than sentences), and per length of n-gram the bucket of the one that begins at each character, ``NONE`` where it would cross into the next sentence. Figures are all alike."""
     points, starts = code_points(lines)
     points = np.where((points > 48) & (points < 58), np.uint32(48), points)
+
+    def each() -> Iterator[np.ndarray]:
+        for k in NGRAMS:
+            bucket = (window_hashes(points, k) >> np.uint64(64 - BITS)).astype(np.int32)
+            for back in range(1, k):  # the last k - 1 characters of a sentence begin none
+                at = starts[1:] - back
+                bucket[at[(at >= starts[:-1]) & (at < len(bucket))]] = NONE
+            yield bucket
+
+    return starts, each()
+
+
+def ngrams(lines: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per length of n-gram (sentence, bucket) of each place where one begins."""
+    starts, each = buckets(lines)
     owner = np.repeat(np.arange(len(lines), dtype=np.int32), np.diff(starts))
-    for k in NGRAMS:
-        bucket = (window_hashes(points, k) >> np.uint64(64 - BITS)).astype(np.int32)
-        at = owner[: len(bucket)]
-        inside = np.flatnonzero(np.arange(len(bucket)) + k <= starts[at + 1])
-        yield at[inside], bucket[inside]
+    for bucket in each:
+        inside = np.flatnonzero(bucket != NONE)
+        yield owner[inside], bucket[inside]
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
@@ -113,16 +128,17 @@ class Model:
 
     def __init__(self) -> None:
         self.dense = np.zeros((len(CUES), len(CATEGORIES)))
-        self.hashed = np.zeros((1 << BITS, len(CATEGORIES)), np.float32)
+        self.hashed = np.zeros((NONE + 1, len(CATEGORIES)), np.float32)
         self.theta = np.array([THETA] * len(CATEGORIES), float)
 
     def margins(self, lines: list[str]) -> np.ndarray:
         """w.x of each readable sentence and category; every n-gram with a weight counts."""
-        out = np.zeros((len(lines), len(CATEGORIES)))
-        for at, bucket in ngrams(lines):
-            weights = self.hashed[bucket]
-            for c in range(len(CATEGORIES)):
-                out[:, c] += np.bincount(at, weights[:, c], len(lines))
+        starts, each = buckets(lines)
+        at_character = np.zeros((starts[-1] + 1, len(CATEGORIES)), np.float32)
+        for bucket in each:
+            at_character[: len(bucket)] += self.hashed[bucket]
+        out = np.add.reduceat(at_character, starts[:-1], axis=0, dtype=float)
+        out[np.diff(starts) == 0] = 0
         return out * _scale(lines)[:, None] + cues(lines) @ self.dense
 
     def judge(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +171,7 @@ class Model:
         # The n-grams of documents with a category, numbered; sentences as rows of them.
         parts = list(ngrams(lines))
         kept = np.unique(np.concatenate([b[dirty[a]] for a, b in parts]))
-        number = np.full(1 << BITS, -1, np.int32)
+        number = np.full(NONE, -1, np.int32)
         number[kept] = np.arange(len(kept))
         owner, gram = np.concatenate([a for a, _ in parts]), number[np.concatenate([b for _, b in parts])]
         size = np.bincount(owner, minlength=len(lines))

@@ -84,17 +84,19 @@ def test_found_has_stated_columns(spark, small):
 
 def test_scoring_equals_the_rows_of_the_fit():
     """The margins of a sentence are the same in the fit, in a batch and alone, whatever stands beside it; small weights count."""
-    lines = ["水位报告说涨了5米", "你看水位", "those rivermen walk", "水位"]
+    lines = ["水位报告说涨了5米", "", "你看水位", "水", "those rivermen walk", "水位", ""]
     rng, m = np.random.default_rng(3), abuse.Model()
-    m.hashed[:] = rng.normal(0, 0.001, m.hashed.shape)
+    m.hashed[: abuse.NONE] = rng.normal(0, 0.001, (abuse.NONE, 3))
     m.dense[:] = rng.normal(0, 1, m.dense.shape)
     parts = list(abuse.ngrams(lines))
     owner, gram = np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
     order = np.argsort(owner, kind="stable")
-    rows = abuse._Rows(gram[order], np.searchsorted(owner[order], np.arange(len(lines) + 1)), abuse._scale(lines), abuse.cues(lines), 1 << abuse.BITS)
-    fitted = np.stack([rows.dot(m.dense[:, c], m.hashed[:, c].astype(float)) for c in range(3)], axis=1)
+    rows = abuse._Rows(gram[order], np.searchsorted(owner[order], np.arange(len(lines) + 1)), abuse._scale(lines), abuse.cues(lines), abuse.NONE)
+    fitted = np.stack([rows.dot(m.dense[:, c], m.hashed[: abuse.NONE, c].astype(float)) for c in range(3)], axis=1)
     assert np.allclose(m.margins(lines), fitted, atol=1e-5)
     assert np.allclose(np.concatenate([m.margins([t]) for t in lines]), fitted, atol=1e-5)
+    for at, bucket in abuse.ngrams(lines):
+        assert all(len(lines[i]) for i in at) and (bucket < abuse.NONE).all()
 
 
 def test_masked_words_read_plainly():
