@@ -40,6 +40,8 @@ CUES = (r"[0-9]", r"[!?]", r"你|您|\byou\b|\byour\b", r"[a-z]", r"^.{0,12}$")
 THETA, LOWEST, DECAY = (1.0, 4.0), 0.3, 2e-5
 #: Of the fit: rounds of mining, sentences mined in a round for each document with the category (and as a least number), steps in a round.
 ROUNDS, MINED, LEAST, STEPS = 4, 2, 500, 120
+#: Characters of labelled text worked on at a time in the fit.
+FIT_BLOCK = 200_000
 
 _markup = re.compile(r"<[^<>]*>")
 _sentence = re.compile(r"[^。！？!?；\n]+[。！？!?；]*[”」』]?")
@@ -169,22 +171,27 @@ class Model:
         named = [set(x.split("+")) & set(CATEGORIES) for x in labels]
         dirty = np.array([bool(x) for x in named])[bag]
         # The n-grams of documents with a category, numbered; sentences as rows of them.
-        parts = list(ngrams(lines))
-        kept = np.unique(np.concatenate([b[dirty[a]] for a, b in parts]))
-        number = np.full(NONE, -1, np.int32)
+        known = np.zeros(NONE + 1, bool)
+        for part in blocks([len(t) for t in lines], FIT_BLOCK):
+            for at, bucket in ngrams(lines[part]):
+                known[bucket[dirty[part][at]]] = True
+        kept = np.flatnonzero(known)
+        number = np.full(NONE + 1, -1, np.int32)
         number[kept] = np.arange(len(kept))
-        owner, gram = np.concatenate([a for a, _ in parts]), number[np.concatenate([b for _, b in parts])]
-        size = np.bincount(owner, minlength=len(lines))
-        owner, gram = owner[gram >= 0], gram[gram >= 0]
-        order = np.argsort(owner, kind="stable")
-        owner, gram = owner[order], gram[order]
-        edges = np.searchsorted(owner, np.arange(len(lines) + 1))
-        rows = _Rows(gram, edges, _scale(lines), cues(lines), len(kept))
+        grams, sizes, counts = [], [], []
+        for part in blocks([len(t) for t in lines], FIT_BLOCK):
+            parts = [(at, number[bucket]) for at, bucket in ngrams(lines[part])]
+            n = part.stop - part.start
+            sizes.append(sum(np.bincount(at, minlength=n) for at, _ in parts))
+            at, gram = np.concatenate([at[g >= 0] for at, g in parts]), np.concatenate([g[g >= 0] for _, g in parts])
+            grams.append(gram[np.argsort(at, kind="stable")])
+            counts.append(np.bincount(at, minlength=n))
+        size = np.concatenate(sizes)
+        rows = _Rows(np.concatenate(grams), np.concatenate([[0], np.cumsum(np.concatenate(counts))]), _scale(lines), cues(lines), len(kept))
         for c, category in enumerate(CATEGORIES):
             has = np.array([category in x for x in named])
-            clean = np.zeros(len(kept), bool)
-            clean[gram[~has[bag][owner]]] = True
-            unseen = np.bincount(owner, ~clean[gram], len(lines)) / np.maximum(1, size)
+            clean = rows.seen(~has[bag])
+            unseen = rows.sums((~clean).astype(float)) / np.maximum(1, size)
             w, v = self._rounds(c, rows, bag, has, unseen)
             self.dense[:, c], self.hashed[kept, c] = w, v
         return self
@@ -218,10 +225,25 @@ class _Rows:
 
     def __init__(self, gram: np.ndarray, edges: np.ndarray, scale: np.ndarray, dense: np.ndarray, width: int) -> None:
         self.gram, self.edges, self.scale, self.dense, self.width = gram, edges, scale, dense, width
-        self.owner = np.repeat(np.arange(len(scale)), np.diff(edges))
 
     def dot(self, w: np.ndarray, v: np.ndarray) -> np.ndarray:
-        return np.bincount(self.owner, v[self.gram], len(self.scale)) * self.scale + self.dense @ w
+        return self.sums(v) * self.scale + self.dense @ w
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Of each row the sum of its n-grams' values, many rows at a time."""
+        out = np.zeros(len(self.scale))
+        for part in blocks(np.diff(self.edges).tolist()):
+            low, high = self.edges[part.start], self.edges[part.stop]
+            at = np.repeat(np.arange(part.stop - part.start), np.diff(self.edges[part.start : part.stop + 1]))
+            out[part] = np.bincount(at, values[self.gram[low:high]], part.stop - part.start)
+        return out
+
+    def seen(self, wanted: np.ndarray) -> np.ndarray:
+        """Which n-grams the ``wanted`` rows have."""
+        out = np.zeros(self.width, bool)
+        for i in np.flatnonzero(wanted):
+            out[self.gram[self.edges[i] : self.edges[i + 1]]] = True
+        return out
 
     def take(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(owner, n-gram, value, cues) of documents that are the sum of one sentence and, where not -1, a second one."""
