@@ -184,11 +184,12 @@ def _verify(threshold: float):  # noqa: ANN202
 
 def _candidates(leaves: DataFrame, depth: int, threshold: float, seen: DataFrame | None) -> DataFrame:
     """(a, b) of the texts, a < b, that share a prefix of that depth in some tree, may be similar enough by their numbers of runs and were not ``seen``."""
-    prefix = F.shiftrightunsigned("path", 8 * (LEVELS - depth)).alias("prefix")
-    left = leaves.select(F.col("id").alias("a"), F.col("n").alias("n_a"), "tree", prefix)
-    right = left.select(F.col("a").alias("b"), F.col("n_a").alias("n_b"), "tree", "prefix")
+    # Tree and prefix as one number: should two ever get the same, verification tells them apart.
+    node = F.xxhash64("tree", F.shiftrightunsigned("path", 8 * (LEVELS - depth))).alias("node")
+    left = leaves.select(F.col("id").alias("a"), F.col("n").alias("n_a"), node)
+    right = left.select(F.col("a").alias("b"), F.col("n_a").alias("n_b"), "node")
     enough = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold)
-    pairs = left.join(right, ["tree", "prefix"]).where((F.col("a") < F.col("b")) & enough).select("a", "b").distinct()
+    pairs = left.join(right, "node").where((F.col("a") < F.col("b")) & enough).select("a", "b").distinct()
     return written(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "candidates")
 
 
