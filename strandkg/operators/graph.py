@@ -82,8 +82,22 @@ def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def hop_subgraph(edges: DataFrame, seeds: DataFrame, hops: int, max_degree: int | None = None) -> DataFrame:
-    """The induced subgraph within ``hops`` of the seeds, per question."""
-    return induced_edges(edges, hop_nodes(edges, seeds, hops, max_degree))
+    """The induced subgraph within ``hops`` of the seeds, per question.
+
+    Edges at a node that is nearer than ``hops`` belong to it without a further look, as their other end is within ``hops``. Only edges between two of the outermost nodes need both ends looked up, and of these
+    only such as join nodes that are outermost for any question at all.
+    """
+    if hops == 0 or max_degree is not None:
+        return induced_edges(edges, hop_nodes(edges, seeds, hops, max_degree))
+    inner = written(hop_nodes(edges, seeds, hops - 1), "inner")
+    of = lambda end: inner.select("qid", F.col("id").alias(end))
+    columns = ["qid", "src", "rel", "dst"]
+    leaving, entering = edges.join(of("src"), "src").select(*columns), edges.join(of("dst"), "dst").join(of("src"), ["qid", "src"], "left_anti").select(*columns)
+    near = written(leaving.unionByName(entering), "near")
+    outermost = near.select("qid", F.explode(F.array("src", "dst")).alias("id")).join(inner, ["qid", "id"], "left_anti")
+    ids = written(outermost.select("id").distinct(), "outermost")
+    between = written(edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"), "between")
+    return near if between.isEmpty() else near.unionByName(induced_edges(between, outermost.distinct()).select(*columns))
 
 
 def triples(edges: DataFrame) -> DataFrame:

@@ -7,13 +7,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandkg import schema
 from strandkg.functions import text
 from strandkg.operators import chat, context, encode, graph, vector
 from strandkg.operators.bm25 import Bm25Index
 from strandkg.plans import evaluate, rag
 from strandkg.schema import EVENT_ONTOLOGY, Config
 from strandkg.session import once, shared_dir, table, written
+from strandkg.sources import readers, sinks
 from strandkg.sources.sinks import GraphStore, graphml_lines
+from strandkg.streaming.ingest import ingest
 
 OFFLINE = {"provider": "offline"}
 #: Searches ask with every row whose id is divisible by this.
@@ -350,6 +353,74 @@ def graph_upsert_idempotent(spark: SparkSession, d: str) -> DataFrame:
     return graph.graph_size(graph.upsert_nodes(once_n, nodes), graph.upsert_edges(once_e, edges))
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder in the shared one, deleted when the application ends."""
+    path = f"{shared_dir(spark)}/strandkg/files-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def _as_lines(spark: SparkSession, d: str, name: str, *columns: str) -> str:
+    """A table as a folder of JSON lines."""
+    path = _folder(spark)
+    sinks.write_json(table(spark, d, name).select(*columns), path)
+    return path
+
+
+def jsonl_events(spark: SparkSession, d: str) -> DataFrame:
+    """All events through JSON lines."""
+    return readers.read_events(spark, _as_lines(spark, d, "sample_events", *schema.EVENT.names))
+
+
+def jsonl_questions(spark: SparkSession, d: str) -> DataFrame:
+    return readers.read_questions(spark, _as_lines(spark, d, "qa_eval", *schema.QA.names))
+
+
+def jsonl_log(spark: SparkSession, d: str) -> DataFrame:
+    """The extraction log through its file format."""
+    log = readers.read_extraction_log(spark, _as_lines(spark, d, "results_extraction", *schema.EXTRACTION_LOG.names), lines=True)
+    sizes = [F.coalesce(F.size(f"extraction_result.{c}"), F.lit(-1)).alias(f"n_{c}") for c in ("entities", "relations")]
+    return log.select("doc_id", "raw_text", F.round("latency", 6).alias("latency"), *sizes, F.array_join("extraction_result.entities.name", "|", "null").alias("names"))
+
+
+def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """The size of a store into which the events came as files of JSON lines."""
+    folder = _folder(spark)
+    events = _events(spark, d).select("seq", *schema.EVENT.names)
+    for i in range(2):  # all of them twice: an upsert is idempotent
+        events.drop("seq").write.mode("append").json(f"{folder}/in")
+        ingest(spark, f"{folder}/in", f"{folder}/store", f"{folder}/checkpoint").awaitTermination()
+    return graph.graph_size(*GraphStore(spark, f"{folder}/store").read())
+
+
+def extract_log(spark: SparkSession, d: str) -> DataFrame:
+    """A run of extraction over all texts."""
+    texts = table(spark, d, "results_extraction").select(F.col("row_id").alias("doc_id"), F.col("raw_text").alias("text"))
+    made = evaluate.extraction_log(texts, OFFLINE)
+    return made.select(F.col("doc_id").alias("row_id"), F.length("raw_text").alias("n_chars"), F.size("extraction_result.entities").alias("n_entities"), (F.col("latency") >= 0).alias("timed"))
+
+
+def _engine(spark: SparkSession, d: str, retriever: str) -> rag.Engine:
+    return rag.Engine(_events(spark, d), Config(retriever=retriever, embedding_model="hashing"))
+
+
+def engine_retrieve(spark: SparkSession, d: str) -> DataFrame:
+    """The engine's hits by the configured retriever, either one."""
+    made = [_engine(spark, d, r).retrieve(_questions(spark, d)).select(F.lit(r).alias("retriever"), "qid", "id", "rank") for r in ("bm25", "vector")]
+    return made[0].unionByName(made[1])
+
+
+def engine_answer(spark: SparkSession, d: str) -> DataFrame:
+    """The engine's answers with the size of their evidence."""
+    made = _engine(spark, d, "bm25").answer(_questions(spark, d))
+    return made.select("qid", F.coalesce(F.size("evidence"), F.lit(0)).alias("n_evidence"), "draft_answer")
+
+
+def engine_text_only(spark: SparkSession, d: str) -> DataFrame:
+    return _engine(spark, d, "bm25").text_only(_questions(spark, d))
+
+
 def chat_messages(spark: SparkSession, d: str) -> DataFrame:
     made = table(spark, d, "qa_eval").select("qid", chat.messages(F.col("question"), F.col("gold_answer")).alias("m"))
     return made.select("qid", F.size("m").alias("n_messages"), F.col("m")[0]["role"].alias("first_role"), F.element_at("m", -1)["content"].alias("last_content"))
@@ -359,7 +430,7 @@ _FUNCTIONS = (
     kg_edges_events, kg_nodes_events, kg_graph_size, kg_edges_orders, kg_falsy_skip, kg_last_write_wins, kg_neighbors_out, kg_neighbors_in, kg_hop0, kg_hop1, kg_hop2, kg_hop3,
     kg_hop_multi_seed, kg_triples, kg_context_arrow, kg_context_bullets, kg_graphml, text_concat, bm25_tokens, bm25_stats, bm25_idf, bm25_topk_batch, bm25_top1, vec_cosine,
     vec_topk_threshold, vec_topk_batch, vec_threshold_all, naive_rag_context, graph_rag_context, answer_offline, vector_graph_rag_context, semantic_neighborhood, sentinel_no_hit,
-    vec_text_topk, node_match, eval_hit_rate, qa_comparison, extract_parse, extract_entity_graph, extract_offline, graph_upsert, graph_upsert_edges, graph_store, graph_upsert_idempotent, chat_messages,
+    vec_text_topk, node_match, jsonl_events, jsonl_questions, jsonl_log, stream_ingest, extract_log, engine_retrieve, engine_answer, engine_text_only, eval_hit_rate, qa_comparison, extract_parse, extract_entity_graph, extract_offline, graph_upsert, graph_upsert_edges, graph_store, graph_upsert_idempotent, chat_messages,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -514,5 +585,13 @@ SQL = {
     "graph_upsert_edges": f"with {_links(_PERIODS)} select distinct src, rel, value as dst, upper(label[1]) || label[2:] as dst_label from links",
     "graph_store": f"with {_links(_PERIODS)} select rel, upper(label[1]) || label[2:] as dst_label, count(distinct (src, value)) as n from links group by 1, 2 union all select 'node', upper(label[1]) || label[2:], count(distinct value) from links group by 1, 2 union all select 'node', 'Event', count(distinct id) from sample_events where id is not null and id <> '' and {_PERIODS}",
     "graph_upsert_idempotent": f"with {_links()} select (select count(distinct id) from sample_events where id is not null and id <> '') + (select count(*) from (select distinct label, value from links)) as n_nodes, (select count(*) from (select distinct src, rel, value, label from links)) as n_edges",
+    "jsonl_events": "select id, type, location, time, impact, cause, measure, source from sample_events",
+    "jsonl_questions": "select qid, question, gold_answer from qa_eval",
+    "jsonl_log": "select doc_id, raw_text, round(latency, 6) as latency, coalesce(len(extraction_result.entities), -1)::int as n_entities, coalesce(len(extraction_result.relations), -1)::int as n_relations, case when extraction_result.entities is not null then array_to_string(list_transform(extraction_result.entities, lambda e: coalesce(e.name, 'null')), '|') end as names from results_extraction",
+    "stream_ingest": f"with {_links()} select (select count(distinct id) from sample_events where id is not null and id <> '') + (select count(*) from (select distinct label, value from links)) as n_nodes, (select count(*) from (select distinct src, rel, value, label from links)) as n_edges",
+    "extract_log": "select row_id, length(raw_text)::int as n_chars, coalesce(len(list_distinct(regexp_extract_all(raw_text, '[0-9]{4}年[0-9]{1,2}月'))), 0)::int as n_entities, true as timed from results_extraction",
+    "engine_retrieve": f"with {_SEARCH}, {_TEXT_HITS.removeprefix(_ASKED + ', ')} select 'bm25' as retriever, qid, id, rank from ranked where rank <= 3 union all select 'vector', qid, id, rank from text_hits",
+    "engine_answer": f"with recursive {_SEARCH}, {_SEEDED} select q.qid, coalesce(l.n_lines, 0) as n_evidence, coalesce(l.first_line, '{_SENTINELS[2]}') as draft_answer from questions q left join lines l on q.qid = l.qid",
+    "engine_text_only": f"with {_SEARCH} select r.qid, e.impact from ranked r join sample_events e on r.id = e.seq where r.rank = 1",
     "chat_messages": "select qid, cast(case when gold_answer is not null and gold_answer <> '' then 2 else 1 end as int) as n_messages, case when gold_answer is not null and gold_answer <> '' then 'system' else 'user' end as first_role, question as last_content from qa_eval",
 }

@@ -27,9 +27,9 @@ def read_texts(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.regexp_extract("_metadata.file_name", r"^(.*)\.txt$", 1).alias("doc_id"), F.regexp_replace("value", "^\\ufeff", "").alias("text"))
 
 
-def read_extraction_log(spark: SparkSession, path: str) -> DataFrame:
-    """A log of extraction runs: one JSON array."""
-    return spark.read.schema(schema.EXTRACTION_LOG).option("multiLine", True).json(path)
+def read_extraction_log(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A log of extraction runs: files of one JSON array each, which one task reads, or of JSON lines, as ``write_json`` writes them, which many share."""
+    return spark.read.schema(schema.EXTRACTION_LOG).option("multiLine", not lines).json(path)
 
 
 def text_rows(spark: SparkSession, *texts: str) -> DataFrame:

@@ -50,6 +50,24 @@ def test_induced_edges_between_boundary_nodes(spark, rows):
     assert rows(graph.hop_subgraph(edges, seeds, 1)) == [(1, "a", "r", "b"), (1, "a", "r", "c"), (1, "a", "s", "a"), (1, "b", "x", "c")]
 
 
+@pytest.mark.parametrize("hops", [1, 2, 3])
+def test_subgraphs_of_random_graphs(spark, hops):
+    import random
+
+    r = random.Random(hops)
+    edges = {(f"n{r.randrange(60)}", f"n{r.randrange(60)}") for _ in range(80)}
+    seeds = [(q, f"n{r.randrange(60)}") for q in range(6) for _ in range(2)]
+    want = set()
+    for q in range(6):
+        near = {n for k, n in seeds if k == q}
+        for _ in range(hops):
+            near |= {b for s, t in edges for a, b in ((s, t), (t, s)) if a in near}
+        want |= {(q, s, t) for s, t in edges if s in near and t in near}
+    df = spark.createDataFrame([(s, "r", t) for s, t in edges], schema.EDGE)
+    got = [tuple(x) for x in graph.hop_subgraph(df, spark.createDataFrame(seeds, "qid int, id string"), hops).select("qid", "src", "dst").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_entity_graph_keeps_unlisted_ends(spark, rows):
     kg = spark.createDataFrame([([("a", "T"), ("b", None)], [("a", "r1", "b"), ("a", "r2", "b"), ("b", "r", "z"), ("b", "r", None)])], schema.KG)
     nodes, edges = graph.entity_graph(kg)
