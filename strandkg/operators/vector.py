@@ -25,8 +25,10 @@ _HIT = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64(
 _DDL = "qid long, id long, score double"
 
 
-def _unit(rows: list) -> np.ndarray:
-    m = np.array(rows, float).reshape(len(rows), -1)
+def _unit(rows: list | pa.Array) -> np.ndarray:
+    """Vectors of one length as the rows of a matrix, each scaled to length 1; zero vectors stay."""
+    flat = rows.flatten().to_numpy(zero_copy_only=False).astype(float) if isinstance(rows, pa.Array) else np.array(rows, float)
+    m = flat.reshape(len(rows), -1)
     norms = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
@@ -54,7 +56,7 @@ def _scan(queries: list[tuple], k: int | None, threshold: float | None):  # noqa
             for start in range(0, batch.num_rows, tile):
                 part = batch.slice(start, tile)
                 ids = part.column("id").to_numpy()
-                scores = np.round(matrix @ _unit(part.column("vector").to_pylist()).T, 6)
+                scores = np.round(matrix @ _unit(part.column("vector")).T, 6)
                 if k is None:
                     q, i = np.nonzero(scores > threshold)
                     yield pa.RecordBatch.from_arrays([pa.array(qids[q]), pa.array(ids[i]), pa.array(scores[q, i])], schema=_HIT)
