@@ -33,7 +33,7 @@ def _unit(rows: list | pa.Array) -> np.ndarray:
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query index, score, id) of the ``k`` best in each row of ``scores``, NaN first, ties to the greater id. Only what is no worse than the k-th score is sorted."""
     ranked = np.where(np.isnan(scores), np.inf, scores)
     n = ranked.shape[1]
@@ -64,7 +64,7 @@ def _scan(queries: list[tuple], k: int | None, threshold: float | None):  # noqa
                 every = np.broadcast_to(ids, scores.shape)
                 if kept is not None:
                     scores, every = np.concatenate([kept[0], scores], axis=1), np.concatenate([kept[1], every], axis=1)
-                q, s, x = _best(scores, every, k)
+                q, s, x = best_of(scores, every, k)
                 width = min(k, scores.shape[1])
                 kept = s.reshape(-1, width), x.reshape(-1, width)
         if kept is not None:
