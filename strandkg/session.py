@@ -51,14 +51,15 @@ _once: dict[tuple, object] = {}
 
 
 def once(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], make: Callable[[], T]) -> T:
-    """What ``make`` gives for the data folder, made once per application while the files of ``tables`` stay as they are (names, sizes and times are compared)."""
+    """What ``make`` gives for the data folder, made once per application while the files of ``tables`` stay as they are (names, sizes and times are compared) and the shared folder is there."""
     state = []
     for t in tables:
         at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
         fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
         state += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at)]
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _once or _once[key][0] != state:
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/strandkg")
+    if key not in _once or _once[key][0] != state or not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         _once[key] = (state, make())
     return _once[key][1]
 

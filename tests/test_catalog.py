@@ -63,8 +63,9 @@ def test_graph_contexts_by_brute_force(spark, small):
 
 
 def test_written_once_until_the_files_change(spark, tmp_path):
-    from strandkg.session import once
+    from strandkg.session import once, shared_dir
 
+    spark.range(1).write.mode("overwrite").parquet(f"{shared_dir(spark)}/strandkg/any")
     made = []
     make = lambda: made.append(1) or len(made)
     spark.range(3).write.parquet(str(tmp_path / "t.parquet"))
