@@ -3,7 +3,7 @@
 Ordered rules for emptiness, refusal in several languages, copied questions, script and language mismatch, and unfinished endings; every
 rule that holds is emitted, in that order. The rules see content, not punctuation. Whether an answer without a closing mark is the whole text of a known
 statement (a complete answer however short) is a set question and is settled by joins for the answers in
-doubt only: their distinct texts are sent to the scan of the statements, by Spark's own choice as a broadcast, and of the statements only those they equal are kept. Answers in no doubt are passed by.
+doubt only: their distinct texts are sent to the scan of the statements as a broadcast of ``MAX_BYTES`` at most (beyond that both sides are shuffled), and of the statements only those they equal are kept. Answers in no doubt are passed by.
 
 Null or blank answers are ``empty``; a null question makes only ``empty``, ``refusal`` and ``truncated`` possible. Very long answers are read whole. Repeated rows
 give rows each. Empty tables give an empty result.
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from strandkg.session import written
 
+#: Bytes of answers in doubt that may be broadcast.
+MAX_BYTES = 16_000_000
 ORDER = ("empty", "refusal", "copied", "other_language", "truncated")
 # What stands in place of an answer.
 PLACEHOLDERS = frozenset("na n/a null none nil nan tbd todo unknown undefined empty noanswer notavailable xxx 无 空 暂无 暂缺 待补 待补充 待填 待定 未填 未知 不详 略 见上 同上 无答案 没有答案 暂无答案 无内容 暂无数据".split())
@@ -195,8 +197,11 @@ def judge(pairs: DataFrame, statements: DataFrame) -> DataFrame:
 
     judged = written(pairs.select("qid", "question", "gold_answer").mapInArrow(run, "qid string, defects array<string>, statement string"), "judged")
     doubtful = judged.where("statement is not null")
-    # Only statements that are asked for leave their scan: the answers in doubt are few beside them.
-    known = statements.select(F.trim("statement").alias("statement")).join(doubtful.select("statement").distinct(), "statement", "left_semi").distinct()
-    settled = doubtful.join(known.withColumn("whole", F.lit(True)), "statement", "left")
+    asked = written(doubtful.select("statement").distinct(), "asked")
+    size = asked.agg(F.coalesce(F.sum(F.octet_length("statement") + 60), F.lit(0))).first()[0]
+    sent = F.broadcast if size <= MAX_BYTES else lambda df: df
+    # Only statements that are asked for leave their scan; there are no more of them than are asked for.
+    known = written(statements.select(F.trim("statement").alias("statement")).join(sent(asked), "statement", "left_semi").distinct(), "known")
+    settled = doubtful.join(sent(known.withColumn("whole", F.lit(True))), "statement", "left")
     kept = F.when(F.col("whole"), F.array_remove("defects", "truncated")).otherwise(F.col("defects"))
     return judged.where("statement is null").select("qid", "defects").unionByName(settled.select("qid", kept.alias("defects")).where("size(defects) > 0"))

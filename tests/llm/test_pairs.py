@@ -24,7 +24,9 @@ def test_rules(question, answer, want):
     assert pairs.defects(question, answer)[0] == want
 
 
-def test_whole_statements_are_complete(spark, rows):
+@pytest.mark.parametrize("most", [pairs.MAX_BYTES, 0])
+def test_whole_statements_are_complete(spark, rows, monkeypatch, most):
+    monkeypatch.setattr(pairs, "MAX_BYTES", most)
     asked = spark.createDataFrame([("a", Q, "边坡局部失稳"), ("b", Q, "边坡局部"), ("c", Q, "边坡局部失稳"), (None, Q, None)], "qid string, question string, gold_answer string")
     known = spark.createDataFrame([("边坡局部失稳", 1), ("边坡局部失稳", 2), (None, 3)], "statement string, qid int")
     assert rows(pairs.judge(asked, known)) == [("b", ["truncated"]), (None, ["empty"])]
