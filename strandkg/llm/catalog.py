@@ -137,6 +137,9 @@ SQL = {
     "p6_found": f"with {_PLAIN} select row_id, field, pos from odd",
     "p6_repaired": f"with {_PLAIN} select row_id, field, pos, plain from odd",
     "p7_found": f"with {_SHARED} select least(a.row_id, b.row_id) as row_id_a, greatest(a.row_id, b.row_id) as row_id_b from near join texts a on a.t = t1 join texts b on b.t = t2 where t1 < t2 or a.row_id < b.row_id",
+    "p7_groups": f"""with recursive {_SHARED}, reps as (select t, min(row_id) as rep from texts group by t), links as (select t1, t2 from near where t1 < t2 union all select t2, t1 from near where t1 < t2),
+      reach(t, u) as (select t, t from reps union select r.t, l.t2 from reach r join links l on r.u = l.t1), classes as (select r.t as t, min(rep) as group_id from reach r join reps on reps.t = r.u group by 1), counts as (select t1 as t, count(*) as n from links group by 1)
+      select row_id, group_id, coalesce(n, 0) as n_links from texts join classes using (t) left join counts using (t)""",
     "p3_found": "select row_id, case when regexp_matches(raw_text, '[^。！？；\\n]{601,}') then 'yes' else 'no' end as forced from results_extraction where length(raw_text) > 600",
     "p3_pieces": f"with recursive {_PIECES} select row_id, (row_number() over (partition by row_id order by low) - 1)::int as piece, (case when low > 0 then low - 60 else 0 end)::int as start, high::int as \"end\", substr(raw_text, (case when low > 0 then low - 60 else 0 end) + 1, high - (case when low > 0 then low - 60 else 0 end)) as text, level::int as level from leaves join cuts using (row_id)",
     "p8_found": _LEAKS,
