@@ -108,11 +108,14 @@ class Orphans:
         per_key = self.counts.groupBy("key").agg(F.sum("n").alias("n"))
         total = self.counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
         self.heavy = written(per_key.where(F.col("n") > max(total * heavy_share, HEAVY)).select("key"), "heavy")  # at most 1 / heavy_share keys
+        self.n_heavy = self.heavy.count()
         self.levels = written(self._all_levels(), "levels")
 
-    def _split(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Rows of heavy keys and of the others; the heavy keys are few by their definition where a key needs ``HEAVY`` references."""
-        heavy = F.broadcast(self.heavy) if self.heavy.count() <= SMALL else self.heavy
+    def _split(self, rows: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+        """Rows of heavy keys (None where no key is heavy) and of the others; the heavy keys are few by their definition where a key needs ``HEAVY`` references."""
+        if not self.n_heavy:
+            return None, rows
+        heavy = F.broadcast(self.heavy) if self.n_heavy <= SMALL else self.heavy
         return rows.join(heavy, "key", "left_semi"), rows.join(heavy, "key", "left_anti")
 
     @staticmethod
@@ -123,12 +126,14 @@ class Orphans:
     def _all_levels(self) -> DataFrame:
         """Every count with its level."""
         heavy, light = self._split(self.counts)
-        heavy_lives = self._small(self._split(self.lives)[0], "heavy-lives")
+        out = self._levels_of(light, self.lives)
+        return out if heavy is None else out.unionByName(self._levels_of(heavy, self._small(self._split(self.lives)[0], "heavy-lives")))
+
+    @staticmethod
+    def _levels_of(counts: DataFrame, lives: DataFrame) -> DataFrame:
         columns = [*_GROUP, "n", "level", "mixed"]
-        none = [F.lit(0).alias("level"), F.lit(False).alias("mixed")]
-        parts = [_settled(heavy, heavy_lives).select(*columns), heavy.join(heavy_lives, "key", "left_anti").select(*_GROUP, "n", *none)]
-        parts += [_settled(light, self.lives).select(*columns), light.join(self.lives, "key", "left_anti").select(*_GROUP, "n", *none)]
-        return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+        missing = counts.join(lives, "key", "left_anti").select(*_GROUP, "n", F.lit(0).alias("level"), F.lit(False).alias("mixed"))
+        return _settled(counts, lives).select(*columns).unionByName(missing)
 
     def _mixed(self) -> DataFrame:
         """The references of mixed counts, each by itself: (ref_no, row_id, rel_pos, side, key, at, month, level)."""
@@ -147,7 +152,9 @@ class Orphans:
         lost = self.levels.where("not mixed and level < 3").select(*_GROUP, "level")
         heavy_lost, light_lost = self._split(lost)
         heavy, light = self._split(self.refs)
-        found = heavy.join(self._small(heavy_lost, "heavy-lost"), _GROUP).unionByName(light.join(light_lost, _GROUP))
+        found = light.join(light_lost, _GROUP)
+        if heavy is not None:
+            found = found.unionByName(heavy.join(self._small(heavy_lost, "heavy-lost"), _GROUP))
         return found.unionByName(self._mixed().where("level < 3")).select("row_id", "rel_pos", "side", "key", "at", _status().alias("status"))
 
 
