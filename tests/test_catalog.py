@@ -93,3 +93,25 @@ def test_only_a_missing_subpackage_is_passed_over(monkeypatch):
     monkeypatch.setattr(builtins, "__import__", without("ahocorasick"))
     with pytest.raises(ModuleNotFoundError):
         entry.queries()
+
+
+def _no_edge_listed(monkeypatch):
+    """An error wherever the edges of each question are listed."""
+    from strandkg.operators import graph
+
+    def listed(*args, **kw):
+        raise AssertionError("the edges of each question were listed")
+
+    monkeypatch.setattr(graph, "hop_subgraph", listed)
+
+
+def _equals_sql(spark, duck, small, name):
+    df = entry.queries()[name](spark, small)
+    want = duck.execute(entry.oracle_sql()[name])
+    columns = [x[0] for x in want.description]
+    assert _norm(df.columns, df.collect()) == _norm(columns, want.fetchall())
+
+
+def test_answer_offline_lists_no_edges(spark, duck, small, monkeypatch):
+    _no_edge_listed(monkeypatch)
+    _equals_sql(spark, duck, small, "answer_offline")

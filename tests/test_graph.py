@@ -434,3 +434,16 @@ def test_stream_ingest(spark, tmp_path):
         ingest(spark, str(tmp_path / "in"), str(tmp_path / "g"), str(tmp_path / "c")).awaitTermination(120)
     nodes, edges = GraphStore(spark, str(tmp_path / "g")).read()
     assert (nodes.count(), edges.count()) == (19, 18)
+
+
+@pytest.mark.parametrize("hops", [0, 1, 2, 3])
+def test_summaries_of_random_graphs(spark, rows, hops):
+    import random
+
+    r = random.Random(hops)
+    edges = {(f"n{r.randrange(60)}", f"n{r.randrange(60)}") for _ in range(90)} | {("n1", "n1"), ("n2", "n2")}
+    df = spark.createDataFrame([(s, r.choice(["r", "x", None]), t) for s, t in sorted(edges)], schema.EDGE)
+    seeds = spark.createDataFrame([(q, f"n{r.randrange(60)}") for q in range(8) for _ in range(2)] + [(8, "n1"), (8, "n2"), (9, "nowhere")], "qid int, id string")
+    line = F.concat_ws(" ", F.lit("-"), "src", F.coalesce("rel", F.lit("related_to")), "dst")
+    want = graph.hop_subgraph(df, seeds, hops).groupBy("qid").agg(F.count(F.lit(1)).cast("int"), F.min(line))
+    assert rows(graph.hop_summary(df, seeds, hops, line)) == rows(want)
