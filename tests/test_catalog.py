@@ -115,3 +115,13 @@ def _equals_sql(spark, duck, small, name):
 def test_answer_offline_lists_no_edges(spark, duck, small, monkeypatch):
     _no_edge_listed(monkeypatch)
     _equals_sql(spark, duck, small, "answer_offline")
+
+
+def test_qa_comparison_lists_no_edges_and_searches_once(spark, duck, small, monkeypatch):
+    from strandkg.operators import vector
+
+    _no_edge_listed(monkeypatch)
+    searched, top_k = [], vector.top_k
+    monkeypatch.setattr(vector, "top_k", lambda *args, **kw: searched.append(1) or top_k(*args, **kw))
+    _equals_sql(spark, duck, small, "qa_comparison")
+    assert len(searched) == 1

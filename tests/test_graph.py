@@ -447,3 +447,21 @@ def test_summaries_of_random_graphs(spark, rows, hops):
     line = F.concat_ws(" ", F.lit("-"), "src", F.coalesce("rel", F.lit("related_to")), "dst")
     want = graph.hop_subgraph(df, seeds, hops).groupBy("qid").agg(F.count(F.lit(1)).cast("int"), F.min(line))
     assert rows(graph.hop_summary(df, seeds, hops, line)) == rows(want)
+
+
+def test_vector_scan_keeps_what_comes_near(spark, rows, monkeypatch):
+    import numpy as np
+
+    v = spark.createDataFrame([(i, x) for i, x in enumerate([[1.0, 0.0], [1.0, 1e-6], [1.0, 1.0], [float("nan"), 0.0], [0.0, 1.0]] * 40)], "id long, vector array<double>").coalesce(1)
+    whole = rows(vector.top_k(v, v.where("id < 5"), 3, None))
+    computed, better = [], vector.better
+    monkeypatch.setattr(vector, "better", lambda kept, q, s, i: computed.append(len(q)) or better(kept, q, s, i))
+    monkeypatch.setattr(vector, "TILE", 1)
+    queries = [(i, x) for i, x in enumerate(np.eye(4).tolist())]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(np.repeat(np.eye(4), 100, axis=0).tolist(), pa.list_(pa.float64()))], names=["id", "vector"])
+    (got,) = vector._scan(queries, 2, None)(iter([batch]))
+    assert got.column("id").to_pylist() == [99, 98, 199, 198, 299, 298, 399, 398]
+    assert sum(computed) < 4 * 400  # not every pair
+    assert rows(vector.top_k(v, v.where("id < 5"), 3, None)) == whole
