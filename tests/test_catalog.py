@@ -125,3 +125,8 @@ def test_qa_comparison_lists_no_edges_and_searches_once(spark, duck, small, monk
     monkeypatch.setattr(vector, "top_k", lambda *args, **kw: searched.append(1) or top_k(*args, **kw))
     _equals_sql(spark, duck, small, "qa_comparison")
     assert len(searched) == 1
+
+
+def test_engine_answer_lists_no_edges(spark, duck, small, monkeypatch):
+    _no_edge_listed(monkeypatch)
+    _equals_sql(spark, duck, small, "engine_answer")
