@@ -465,3 +465,35 @@ def test_vector_scan_keeps_what_comes_near(spark, rows, monkeypatch):
     assert got.column("id").to_pylist() == [99, 98, 199, 198, 299, 298, 399, 398]
     assert sum(computed) < 4 * 400  # not every pair
     assert rows(vector.top_k(v, v.where("id < 5"), 3, None)) == whole
+
+
+@pytest.mark.parametrize(("tile", "terms", "k"), [(2_000_000, 1_000_000, 3), (50, 40, 1), (50, 40, 200)])
+def test_bm25_against_brute_force(spark, rows, monkeypatch, tile, terms, k):
+    import math
+    import random
+    from collections import Counter
+
+    from strandkg.operators import bm25
+
+    monkeypatch.setattr(bm25, "TILE", tile)
+    monkeypatch.setattr(bm25, "TERMS", terms)
+    r = random.Random(k)
+    word = lambda: f"w{int(r.paretovariate(0.7)) % 40}"
+    docs = [(i, " ".join(word() for _ in range(r.randrange(9)))) for i in r.sample(range(2000), 500)]
+    asked = [(f"q{i}", " ".join(word() for _ in range(r.randrange(5)))) for i in range(30)] + [("same", "w3 unheard w5"), ("again", "w5 w3"), ("none", "unheard")]
+    df, length = Counter(t for _, x in docs for t in set(x.split())), sum(len(x.split()) for _, x in docs) / len(docs)
+    raw = {t: math.log(len(docs) - n + 0.5) - math.log(n + 0.5) for t, n in df.items()}
+    idf = {t: x if x >= 0 else 0.25 * sum(raw.values()) / len(raw) for t, x in raw.items()}
+    want = []
+    for q, text in asked:
+        scored = []
+        for i, x in docs:
+            tf, dl = Counter(x.split()), len(x.split())
+            scored.append((-round(sum(idf[t] * tf[t] * 2.5 / (tf[t] + 1.5 * (0.25 + 0.75 * dl / length)) for t in text.split() if t in tf), 6), i))
+        want += [(q, i, -s + 0.0, n) for n, (s, i) in enumerate(sorted(scored)[:k], 1)]
+    sent, block = [], bm25.Bm25Index._block
+    monkeypatch.setattr(bm25.Bm25Index, "_block", lambda self, b, k: sent.extend(b) or block(self, b, k))
+    index = bm25.Bm25Index(spark.createDataFrame(docs, "id long, text string").repartition(3))
+    got = index.search(spark.createDataFrame(asked, "qid string, text string"), k)
+    assert [(q, i, round(s, 5), n) for q, i, s, n in rows(got)] == sorted([(q, i, round(s, 5), n) for q, i, s, n in want], key=repr)
+    assert len(sent) == len({tuple(sorted(t for t in x.split() if t in df)) for _, x in asked})  # those of the same terms once
