@@ -130,3 +130,17 @@ def test_qa_comparison_lists_no_edges_and_searches_once(spark, duck, small, monk
 def test_engine_answer_lists_no_edges(spark, duck, small, monkeypatch):
     _no_edge_listed(monkeypatch)
     _equals_sql(spark, duck, small, "engine_answer")
+
+
+@pytest.mark.parametrize("name", ["graph_rag_context", "vector_graph_rag_context"])
+def test_contexts_write_no_edges_by_question(spark, duck, small, monkeypatch, name):
+    from strandkg.operators import graph
+
+    written = graph.written
+
+    def checked(df, *args):
+        assert not {"qid", "src"} <= set(df.columns)
+        return written(df, *args)
+
+    monkeypatch.setattr(graph, "written", checked)
+    _equals_sql(spark, duck, small, name)
