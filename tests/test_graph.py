@@ -497,3 +497,13 @@ def test_bm25_against_brute_force(spark, rows, monkeypatch, tile, terms, k):
     got = index.search(spark.createDataFrame(asked, "qid string, text string"), k)
     assert [(q, i, round(s, 5), n) for q, i, s, n in rows(got)] == sorted([(q, i, round(s, 5), n) for q, i, s, n in want], key=repr)
     assert len(sent) == len({tuple(sorted(t for t in x.split() if t in df)) for _, x in asked})  # those of the same terms once
+
+
+def test_contexts_are_not_collected_whole(spark, rows):
+    """Texts of a context are sorted outside of any aggregation, and null lines count but are not there."""
+    t = spark.createDataFrame([(q, f"s{i % 7}{i}", "r", None if i == 5 else "o") for q in (None, 1, 2, 3) for i in range(3000)], "qid int, s string, r string, o string")
+    made = context.joined(t, context.arrow())
+    assert "collect_list" not in made._jdf.queryExecution().optimizedPlan().toString()
+    want = "\n".join(sorted(f"s{i % 7}{i} --[r]--> o" for i in range(3000) if i != 5))
+    assert rows(made) == sorted([(q, want, 3000) for q in (None, 1, 2, 3)], key=repr)
+    assert rows(context.joined(t.limit(0), context.arrow())) == []
