@@ -11,7 +11,7 @@ def _asked(spark, small, column):
     return sorted(r[0] for r in spark.read.parquet(f"{small}/qa_eval.parquet").select(column).collect())
 
 
-@pytest.mark.parametrize("name", ["answer_offline", "engine_answer", "graph_rag_context"])
+@pytest.mark.parametrize("name", ["answer_offline", "engine_answer", "graph_rag_context", "vector_graph_rag_context"])
 def test_every_question_has_a_row(spark, small, name):
     assert sorted(r["qid"] for r in entry.queries()[name](spark, small).select("qid").collect()) == _asked(spark, small, "qid")
 
